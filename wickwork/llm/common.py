@@ -42,3 +42,41 @@ def id_crc(col: str = "doc_id") -> Column:
 def hash_share(col: Column) -> Column:
     """A number in [0, 1) fixed by the value of ``col``: the basis of repeatable bounded samples."""
     return (F.xxhash64(col, F.lit(20240229)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
+
+
+def map_texts(docs: DataFrame, make, fields: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of ``docs`` and new ``fields`` computed from whole texts (null: empty).
+
+    ``make()`` is called once a task and gives a function from a list of texts to the columns of ``fields``.
+    """
+    import pyarrow as pa
+
+    need = list(dict.fromkeys((*carry, "text")))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [x.strip().split(" ", 1)[0] for x in _fields(fields)]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            made = work(texts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=[*carry, *names])
+
+    return docs.select(*need).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), fields]))
+
+
+def _fields(fields: str) -> list[str]:
+    """The fields of a DDL string, split at commas outside angle brackets."""
+    out, depth = [""], 0
+    for c in fields:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def share_for(wanted: int, total: int) -> float:
+    """The hash share that keeps about ``wanted`` of ``total`` rows."""
+    return 1.0 if total <= wanted else wanted / total

@@ -9,12 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 from wickwork.llm.common import table
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wickwork.llm.piece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wickwork.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wickwork.llm.url_filter import url_filter
 
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wickwork.llm.compression_quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wickwork.llm.language_id import predict_language
+
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wickwork.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wickwork.llm.quality_rules import quality_rules
 
@@ -22,7 +56,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_piece_codec": op3_piece_codec,
+    "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_compression_quality": op7_compression_quality,
+    "op8_language_id": op8_language_id,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
