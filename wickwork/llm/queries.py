@@ -25,6 +25,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wickwork.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wickwork.llm.url_filter import url_filter
 
@@ -58,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_piece_codec": op3_piece_codec,
     "op4_packing": op4_packing,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_compression_quality": op7_compression_quality,
     "op8_language_id": op8_language_id,
