@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from wickwork.llm.common import table
 
 
+def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wickwork.llm.additive_ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wickwork.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +74,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_additive_ann": op1_additive_ann,
+    "op2_pii": op2_pii,
     "op3_piece_codec": op3_piece_codec,
     "op4_packing": op4_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
