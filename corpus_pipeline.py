@@ -1,11 +1,61 @@
-"""Corpus pipeline: language ID, quality rules, near-dedup, secret scans, packing, each stage over all its predecessor kept."""
+"""Corpus pipeline: language ID, quality rules, near-dedup, secret scans, packing.
+
+Each stage works on all that its predecessor kept. The first four return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text is kept if its best language has at least this share; an even guess among four has 0.25.
+MIN_LANGUAGE_SHARE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language in particular, go."""
+    from wickwork.llm.language_id import identify, train
+
+    found = identify(docs, train(docs), COLUMNS)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, and robust outliers of their language and source, go."""
+    from wickwork.llm.quality_rules import quality_rules as judged
+
+    return judged(docs, carry=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or similar texts stays."""
+    from wickwork.llm.minhash_dedup import keep_one
+
+    return keep_one(docs.select(*COLUMNS))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets; every document stays."""
+    from wickwork.llm.secret_scan import redact_secrets
+
+    found = redact_secrets(docs, carry=COLUMNS)
+    changed = F.col("n_secrets") > 0
+    text = F.when(changed, F.col("redacted")).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("redacted").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    from wickwork.llm.packing import pack_documents
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
 
-STAGES: list = []
-#: No stage but the rules can be told in SQL; the tests hold run() against a brute-force version.
+STAGES = [("language ID", language_id), ("quality rules", quality_rules), ("near-dedup", near_dedup), ("secret scans", secret_scan), ("packing", packing)]
+#: A trained network and consistent samples are no SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
@@ -17,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = staged(docs, name)
+            docs = staged(docs, name.replace(" ", "-"))
     return docs
