@@ -25,7 +25,7 @@ def over(n: int) -> str:
 
 
 def r4(x: str) -> str:
-    return f"floor(({x})*10000+0.5)/10000"
+    return f"floor(({x})*10000+0.5001)/10000"
 
 
 def bars(src: str, name: str) -> str:
