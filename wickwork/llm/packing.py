@@ -11,7 +11,9 @@ repeated rows are packed as often as they occur; an empty table gives an empty r
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
 
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.common import staged
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 CACHE_CHARS = 64
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -32,18 +34,26 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
+        gc.disable()  # no cycles are made here, and a full collection would walk the caches
+
         self.inner = Tokenizer.from_file(path)
         if self.inner.encode("a b", add_special_tokens=False).ids != self.inner.encode("a", add_special_tokens=False).ids + self.inner.encode("b", add_special_tokens=False).ids:
             raise ValueError("blanks are part of this file's tokens")
         added = self.inner.get_added_tokens_decoder()
         self.delimiter_id = min(added)
         self.delimiter = added[self.delimiter_id].content
+        vocabulary = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        marks = r"([!-&(-/:;=-@\[-`{-~]*)"
+        self.plain = re.compile(f"{marks}([A-Za-zÀ-ÖØ-öø-ÿ]+){marks}").fullmatch
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _fresh(self, words: list[str]) -> list[bytes]:
+    def _delimited(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, many in one call: joined by the delimiter's token, and cut at its id."""
         import numpy as np
 
@@ -57,23 +67,58 @@ class WordTokenizer:
         for w in words:
             if w not in found:
                 found[w] = np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return [found[w] for w in words]
+        return found
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain letters, each one word to the tokenizer: blank-separated, and cut at word ends."""
+        import numpy as np
+
+        ids = np.array(self.inner.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):
+            raise ValueError("a word of letters came out as more than one word")
+        data, ends = ids.tobytes(), ends.tolist()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words not in the cache. Marks before and after letters are words of their own to the tokenizer."""
+        cache, old, out, parts, other = self.cache, self.old, {}, {}, []
+        for w in words:
+            if (found := old.get(w)) is not None:
+                out[w] = found
+                continue
+            m = self.plain(w)
+            if m:
+                parts[w] = (m[1], m[2].lower(), m[3])
+            else:
+                other.append(w)
+        cores = {c for _, c, _ in parts.values()}
+        new = [c for c in cores if c not in cache]
+        ids = {c: cache[c] for c in cores if c in cache}
+        for k in range(0, len(new), 20_000):
+            ids |= self._letters(new[k : k + 20_000])
+        marks = {"": b""}
+        new = {x for a, _, b in parts.values() for x in (a, b)} - {""}
+        if new:
+            marks |= self._delimited(list(new))
+        for w, (a, core, b) in parts.items():
+            out[w] = marks[a] + ids[core] + marks[b]
+        for k in range(0, len(other), 2_000):
+            out |= self._delimited(other[k : k + 2_000])
+        return out
 
     def coded(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache, old, out = self.cache, self.old, []
-        missing = set().union(*split).difference(cache)
-        fresh = {w: old[w] for w in missing if w in old}
-        new = [w for w in missing if w not in fresh]
-        for k in range(0, len(new), 2_000):
-            part = new[k : k + 2_000]
-            fresh.update(zip(part, self._fresh(part), strict=True))
-        get = cache.get
+        get, split, held, missing = self.cache.get, [t.replace("\n", " ").split(" ") for t in texts], [], set()
         for words in split:
-            out.append(b"".join([x if (x := get(w)) is not None else fresh[w] for w in words]))
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            self.old, self.cache = cache, {}
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, x in zip(words, ids, strict=False) if x is None])
+            held.append(ids)
+        fresh = self._fresh(missing) if missing else {}
+        out = [b"".join(ids) if None not in ids else b"".join([fresh[w] if x is None else x for w, x in zip(words, ids, strict=False)]) for words, ids in zip(split, held, strict=True)]
+        if len(self.cache) + len(fresh) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
         self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_CHARS)
         return out
 
