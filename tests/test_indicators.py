@@ -59,7 +59,7 @@ def test_prefix_gives_the_same_values(spark):
     whole = I.indicator_frame(c).filter("rn = 200").select("symbol_id", *cols).orderBy("symbol_id").collect()
     first = I.prepared(c).filter("rn <= 200").select(*c.columns)
     part = I.indicator_frame(first).filter("rn = 200").select("symbol_id", *cols).orderBy("symbol_id").collect()
-    assert len(whole) == 3
+    assert len(whole) == 4
     for a, b in zip(whole, part, strict=True):
         for k in cols:
             assert a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-9), k
