@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.common import staged
 
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
