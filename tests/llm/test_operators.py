@@ -261,6 +261,44 @@ def test_op5_against_brute_force(spark):
     assert got == {d: find(d) for d in ids}
 
 
+def crafted(groups, shared):
+    """Rows (node, bands, shingles) for the search of links: nodes of a group are near copies, nodes of different groups are not alike.
+
+    ``shared`` names the band that all nodes of a bucket share: (band, groups) each; other bands are unique.
+    """
+    rng, rows, keys = np.random.default_rng(7), [], iter(range(10**6, 10**9))
+    place = {g: (band, -1 - k) for k, (band, members) in enumerate(shared) for g in members}
+    for g, size in groups.items():
+        base = rng.choice(1 << 32, 200, replace=False).astype("u4")
+        for k in range(size):
+            own = base.copy()
+            own[k] = rng.integers(1 << 32)
+            bands = [next(keys) for _ in range(20)]
+            bands[place[g][0]] = place[g][1]
+            rows.append((hashlib.md5(f"{g} {k}".encode()).digest(), bands, np.sort(own).tobytes()))
+    return rows
+
+
+def linked_groups(spark, rows, options):
+    from wickwork.llm.minhash_dedup import similarity_links
+
+    frame = spark.createDataFrame(rows, "node binary, bands array<long>, shingles binary")
+    return dict(similarity_links(frame, np.ones(1 << options.feature_bits, "f4"), options).collect())
+
+
+def test_op5_links_of_the_last_turn_stay(spark):
+    """A small group settled while a large bucket, whose members share one band only, is still open."""
+    from wickwork.llm.minhash_dedup import DedupOptions
+
+    groups = {"lone 1": 1, "lone 2": 1, "twins": 2} | {f"other {k}": 1 for k in range(30)}
+    rows = crafted(groups, [(3, ["lone 1", "lone 2", "twins"]), (5, [g for g in groups if g.startswith("other")])])
+    # The star of the small bucket compares the twins with a lone node: they are settled afterwards.
+    for turn in range(6):
+        moved = [(hashlib.md5(n + bytes([turn])).digest(), b, s) for n, b, s in rows]
+        labels = linked_groups(spark, moved, DedupOptions(group=4))
+        assert labels.get(moved[2][0], 1) == labels.get(moved[3][0], 2)
+
+
 def test_op5_shingles_are_words_of_five():
     from wickwork.llm.minhash_dedup import Shingler
 

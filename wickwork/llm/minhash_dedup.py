@@ -354,6 +354,8 @@ def similarity_links(rows: DataFrame, idf, o: DedupOptions) -> DataFrame:
         star = members.join(centres, "bucket").filter(F.col("node") != F.col("centre"))
         star = staged(star.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}), "star")
         if star.isEmpty():
+            if links:  # those settled in the last turn
+                labels = components(reduce(DataFrame.unionByName, [linked, *links]))
             break
         if vectors is None:  # nodes without company in the first turn never have any
             active = star.select("node").unionByName(star.select(F.col("centre").alias("node"))).distinct()
