@@ -299,6 +299,38 @@ def test_op5_links_of_the_last_turn_stay(spark):
         assert labels.get(moved[2][0], 1) == labels.get(moved[3][0], 2)
 
 
+def test_op5_pairs_of_a_large_bucket_against_brute_force(spark):
+    """Near copies that share one band, in a bucket far larger than a task settles, or one of two large buckets, are linked."""
+    from wickwork.llm.minhash_dedup import DedupOptions, Likeness
+
+    groups = {f"pair {k}": 1 + k % 3 for k in range(45)}
+    rows = crafted(groups, [(5, list(groups))])
+    for k, (_, bands, _) in enumerate(rows):  # a part shares a later band, in which its copies may be apart
+        bands[11] = -99 if k % 4 else bands[11]
+    o = DedupOptions(group=4)
+    labels = linked_groups(spark, rows, o)
+    like = Likeness(np.ones(1 << o.feature_bits, "f4"), o)
+    parsed = [like.parsed(r[2]) for r in rows]
+    every = like.every_similarity(parsed)
+    for i in range(len(rows)):
+        for j in range(i):
+            s = like.similarity(parsed[i], parsed[j])
+            assert abs(every[i, j] - s) < 1e-5
+            assert (labels.get(rows[i][0], i) == labels.get(rows[j][0], j)) == (s >= 0.8)
+
+
+def test_op5_similarities_of_all_pairs():
+    """Repeats, rows that share a feature in numbers below and above the step from pairs to matrices, and rows without company."""
+    from wickwork.llm.minhash_dedup import DedupOptions, Likeness
+
+    rng, o = np.random.default_rng(4), DedupOptions()
+    like = Likeness(rng.uniform(1, 2, 1 << o.feature_bits).astype("f4"), o)
+    rows = [like.parsed(np.sort(np.concatenate((rng.integers(0, 60, 80), rng.integers(0, 4000, 300)))).astype("u4").tobytes()) for _ in range(70)]
+    rows.append(like.parsed(np.arange(10**6, 10**6 + 9, dtype="u4").tobytes()))
+    every = like.every_similarity(rows)
+    assert max(abs(every[i, j] - like.similarity(rows[i], rows[j])) for i in range(71) for j in range(i)) < 1e-5
+
+
 def test_op5_shingles_are_words_of_five():
     from wickwork.llm.minhash_dedup import Shingler
 

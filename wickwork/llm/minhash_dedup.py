@@ -7,9 +7,9 @@
 3. Nodes that share a band meet in a bucket. A bucket is a star: every node is compared with one centre, so pairs
    grow with the members and not with their square. Where a comparison fails, the members that may still be alike
    (those that failed, and by the triangle inequality those near the border) and are not yet of one class are
-   compared further: in one task where they are few and small, which gives back the links that join classes; in
-   blocks, those outside the main class against all, where that class holds most; else in finer buckets, keyed by a
-   further band, and at last in blocks as well.
+   compared further, each pair in the bucket of the last band that it shares: in one task where they are few and small,
+   which gives back the links that join classes; else in blocks, those outside the main class against all. Where many
+   are outside the main class, further stars with other centres come first, as long as they halve those.
 4. Links of similarity >= ``threshold`` are joined to classes; a class is named by its least doc_id.
 
 Defined results: null texts, empty texts and texts without a word are a class each; texts under ``words`` words are one
@@ -39,7 +39,7 @@ class DedupOptions:
     feature_bits: int = 18
     #: Keys (about 40 bytes each) that are broadcast at most.
     broadcast_rows: int = 500_000
-    #: Members and bytes of an unsettled group that one task settles; larger ones are split by further bands.
+    #: Members and bytes of an unsettled group that one task settles; larger ones are settled in blocks of four times the members.
     group: int = 256
     group_bytes: int = 32 << 20
 
@@ -255,6 +255,40 @@ class Likeness:
         common = float((self.idf[(both & self.mask).astype("i8")] * np.minimum(x[1][i], y[1][j])).sum())
         return common / (x[2] + y[2] - common)
 
+    def every_similarity(self, rows):
+        """The similarities of all pairs of ``rows``, to about six digits.
+
+        The n-th repeat of a shingle is a feature of its own, so common weights are sums over common features: by products
+        of matrices for features that many rows hold, pair by pair for the others.
+        """
+        import numpy as np
+
+        n, many, width = len(rows), 32, 4096
+        key = [np.repeat(u.astype("u8"), c) << np.uint64(32) | (np.arange(c.sum()) - np.repeat(c.cumsum() - c, c)).astype("u8") for u, c, _ in rows]
+        row = np.repeat(np.arange(n), [len(k) for k in key])
+        key, at, held = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
+        weight = self.idf[((key >> np.uint64(32)) & np.uint64(self.mask)).astype("i8")]
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        common = np.zeros((n, n))
+        some = (held[at] > 1) & (held[at] <= many)
+        f, r = at[some], row[some]
+        for k in range(1, many):
+            same = np.flatnonzero(f[k:] == f[:-k])
+            if not len(same):
+                break
+            common += np.bincount(r[same] * n + r[same + k], weight[f[same]], n * n).reshape(n, n)
+        common += common.T
+        f, r = at[held[at] > many], row[held[at] > many]
+        columns, f = np.unique(f, return_inverse=True)
+        for c in range(0, len(columns), width):
+            i, j = np.searchsorted(f, (c, c + width))
+            x = np.zeros((n, min(width, len(columns) - c)), "f4")
+            x[r[i:j], f[i:j] - c] = np.sqrt(weight[columns[f[i:j]]])
+            common += x @ x.T
+        whole = np.array([x[2] for x in rows])
+        return common / (whole[:, None] + whole - common)
+
 
 def weighted_similarity(pairs: DataFrame, vectors: DataFrame, idf, o: DedupOptions) -> DataFrame:
     """a, b, s: the weighted Jaccard similarity of each pair of nodes."""
@@ -274,7 +308,7 @@ def weighted_similarity(pairs: DataFrame, vectors: DataFrame, idf, o: DedupOptio
 def settled(groups: DataFrame, idf, o: DedupOptions) -> DataFrame:
     """a, b, s: links that join the classes of each group (bucket, at, node, label, bands, shingles), of bounded size.
 
-    A pair that shares an earlier band than the group's was compared there.
+    A pair that shares a later band than the group's is compared there.
     """
     held = groups.sparkSession.sparkContext.broadcast(idf)
 
@@ -283,45 +317,48 @@ def settled(groups: DataFrame, idf, o: DedupOptions) -> DataFrame:
 
         like = Likeness(held.value, o)
         t = t.sort_by("node")
-        node, label, first = t.column("node").to_pylist(), t.column("label").to_pylist(), t.column("first").to_pylist()[0]
+        node, label, at = t.column("node").to_pylist(), t.column("label").to_pylist(), t.column("at").to_pylist()[0]
         bands = np.array(t.column("bands").to_pylist(), "i8")
         rows = [like.parsed(x) for x in t.column("shingles").to_pylist()]
-        root = {x: x for x in label}
+        number = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+        root = list(range(number.max() + 1))
 
         def find(x):
             while root[x] != x:
+                root[x] = root[root[x]]
                 x = root[x]
             return x
 
+        near = (like.every_similarity(rows) >= o.threshold - 1e-4) & (number[:, None] > number)
+        for b in range(at + 1, o.bands):
+            near &= bands[:, None, b] != bands[:, b]
         out = []
-        for i in range(len(node)):
-            early = (bands[:i, :first] == bands[i, :first]).any(1)
-            for j in range(i):
-                if not early[j] and (x := find(label[i])) != (y := find(label[j])):
-                    s = like.similarity(rows[i], rows[j], o.threshold)
-                    if s >= o.threshold:
-                        root[x] = y
-                        out.append((node[j], node[i], s))
+        for i, j in np.argwhere(near).tolist():
+            if (x := find(number[i])) != (y := find(number[j])):
+                s = like.similarity(rows[i], rows[j], o.threshold)
+                if s >= o.threshold:
+                    root[x] = y
+                    out.append((node[min(i, j)], node[max(i, j)], s))
         return pa.table({"a": pa.array([r[0] for r in out], pa.binary()), "b": pa.array([r[1] for r in out], pa.binary()), "s": pa.array([r[2] for r in out], pa.float64())})
 
     return groups.groupBy("bucket").applyInArrow(run, "a binary, b binary, s double")
 
 
 def blocks(large: DataFrame, o: DedupOptions) -> DataFrame:
-    """Groups of bounded size (bucket, first, node, label) in which every pair of ``large`` of different classes meets.
+    """Groups of bounded size (bucket, at, node, label) in which every pair of ``large`` of different classes meets.
 
     The main class of a group and the rest are cut into parts; parts of the rest meet each other and those of the main.
     """
-    half = o.group // 2
-    parts = lambda n: F.greatest(F.ceil(F.col(n) / half), F.lit(1)).cast("int")
-    rows = large.withColumns({"_k": parts("n_other"), "_m": parts("n_main"), "_rest": F.col("label") != F.col("main")})
+    half, half_bytes = 2 * o.group, o.group_bytes / 2
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / half), F.ceil(F.col(size) / half_bytes), F.lit(1)).cast("int")
+    rows = large.withColumns({"_k": parts("n_other", "b_other"), "_m": parts("n_main", "b_main"), "_rest": F.col("label") != F.col("main")})
     rows = rows.withColumn("_i", F.pmod(F.xxhash64("node"), F.when(F.col("_rest"), F.col("_k")).otherwise(F.col("_m"))).cast("int"))
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     meet = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
     rest = F.concat(F.transform(to("_k"), lambda j: meet("rest", F.least("_i", j), F.greatest("_i", j))), F.transform(to("_m"), lambda j: meet("main", F.col("_i"), j)))
     main = F.transform(to("_k"), lambda i: meet("main", i, F.col("_i")))
-    out = rows.select("bucket", "node", "label", F.explode(F.when(F.col("_rest"), rest).otherwise(main)).alias("b"))
-    return out.select(F.xxhash64("bucket", "b").alias("bucket"), F.lit(0).alias("first"), "node", "label").distinct()
+    out = rows.select("bucket", "at", "node", "label", F.explode(F.when(F.col("_rest"), rest).otherwise(main)).alias("b"))
+    return out.select(F.xxhash64("bucket", "b").alias("bucket"), "at", "node", "label").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,64 +375,53 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def stars(members: DataFrame, turn: int) -> DataFrame:
+    """bucket, at, node, centre, and both as a < b: each member of a bucket (bucket, at, node) but its centre."""
+    centres = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("c.node").alias("centre"))
+    star = members.join(centres, "bucket").filter(F.col("node") != F.col("centre"))
+    return staged(star.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}), "star")
+
+
 def similarity_links(rows: DataFrame, idf, o: DedupOptions) -> DataFrame:
     """node, label: the classes of linked nodes among ``rows`` (node, bands, shingles; a node may repeat)."""
     spark = rows.sparkSession
     bands = staged(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands")), "bands")
-    # ``first``: the band of a bucket of the first turn; 0 in finer buckets.
-    members = bands.select("node", F.posexplode("bands").alias("at", "key")).select(F.xxhash64("at", "key").alias("bucket"), "at", F.col("at").alias("first"), "node")
-    vectors: DataFrame | None = None
-    known: list[DataFrame] = []
-    links: list[DataFrame] = []
-    labels = spark.createDataFrame([], "node binary, label binary")
-    turn = 0
+    members = bands.select("node", F.posexplode("bands").alias("at", "key")).select(F.xxhash64("at", "key").alias("bucket"), "at", "node")
+    star = stars(members, 0)
+    if star.isEmpty():
+        return spark.createDataFrame([], "node binary, label binary")
+    # Nodes without company never have any.
+    active = star.select("node").unionByName(star.select(F.col("centre").alias("node"))).distinct()
+    vectors = rows.select("node", "shingles").join(active, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    vectors = staged(vectors.join(bands, "node"), "vectors")
+    every = staged(weighted_similarity(star.select("a", "b").distinct(), vectors, idf, o), "similarities")
+    links = [every.filter(F.col("s") >= o.threshold)]
+    scored = star.join(every, ["a", "b"]).select("bucket", "at", "node", "s")
+    failed = scored.filter(F.col("s") < o.threshold).groupBy("bucket").agg(F.max("s").alias("near"))
+    open_ = scored.join(failed, "bucket").filter((F.col("s") < o.threshold) | (F.col("s") <= F.col("near") + (1 - o.threshold)))
+    open_ = staged(open_.select("bucket", "at", "node").join(vectors.select("node", F.length("shingles").alias("size")), "node"), "open")
+    turn, before = 0, None
     while True:
-        centres = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("c.node").alias("centre"))
-        star = members.join(centres, "bucket").filter(F.col("node") != F.col("centre"))
-        star = staged(star.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}), "star")
-        if star.isEmpty():
-            if links:  # those settled in the last turn
-                labels = components(reduce(DataFrame.unionByName, [linked, *links]))
-            break
-        if vectors is None:  # nodes without company in the first turn never have any
-            active = star.select("node").unionByName(star.select(F.col("centre").alias("node"))).distinct()
-            vectors = rows.select("node", "shingles").join(active, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-            vectors = staged(vectors.join(bands, "node"), "vectors")
-        pairs = star.select("a", "b").distinct()
-        for k in known:
-            pairs = pairs.join(k, ["a", "b"], "left_anti")
-        known.append(staged(weighted_similarity(pairs, vectors, idf, o), "similarities"))
-        every = reduce(DataFrame.unionByName, known)
-        linked = reduce(DataFrame.unionByName, [every.filter(F.col("s") >= o.threshold), *links])
-        labels = components(linked)
-        scored = star.join(every, ["a", "b"]).select("bucket", "at", "first", "node", "s")
-        failed = scored.filter(F.col("s") < o.threshold).groupBy("bucket").agg(F.max("s").alias("near"))
-        open_ = scored.join(failed, "bucket").filter((F.col("s") < o.threshold) | (F.col("s") <= F.col("near") + (1 - o.threshold)))
-        open_ = open_.join(labels, "node", "left").join(vectors.select("node", F.length("shingles").alias("size")), "node")
-        open_ = staged(open_.select("bucket", "at", "first", "node", "size", F.coalesce("label", "node").alias("label")), "open")
-        mixed = open_.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("x <> y")
-        here = (F.col("n") <= o.group) & (F.col("bytes") <= o.group_bytes)
-        left = staged(open_.join(mixed.select("bucket", here.alias("here")), "bucket"), "unsettled")
-        groups = left.filter("here").select("bucket", "first", "node", "label").join(vectors, "node")
-        links.append(staged(settled(groups, idf, o), "settled"))
-        large = left.filter("not here")
-        if not large.isEmpty():
-            counts = large.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-            main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("n_main"), (F.sum("k") - F.max("k")).alias("n_other"))
-            large = staged(large.join(main, "bucket"), "large")
-            # Few outside the main class, or no band left to split by: blocks. In the first turn, pairs of the last band's
-            # bucket met in an earlier one, but for those that share the last band alone.
-            ends = (F.col("at") == o.bands - 1) & (F.lit(turn > 0))
-            direct = large.filter((F.col("n_other") <= 2 * o.group) | ends)
-            links.append(staged(settled(blocks(direct, o).join(vectors, "node"), idf, o), "settled"))
-            large = large.filter((F.col("n_other") > 2 * o.group) & (F.col("at") < o.bands - 1))
-        if large.isEmpty():
-            labels = components(reduce(DataFrame.unionByName, [linked, *links]))
+        labels = components(reduce(DataFrame.unionByName, links))
+        labelled = staged(open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("size").alias("b"))
+        most = F.struct("k", "label")
+        sums = counts.groupBy("bucket").agg(F.max_by("label", most).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("n"), F.max_by("b", most).alias("b_main"), F.sum("b").alias("bytes"))
+        sums = sums.filter("n > n_main").withColumns({"n_other": F.col("n") - F.col("n_main"), "b_other": F.col("bytes") - F.col("b_main")})
+        left = staged(labelled.join(sums, "bucket"), "unsettled")
+        wide = left.filter(F.col("n_other") > 16 * o.group)
+        outside = wide.filter(F.col("label") != F.col("main")).count()
+        if outside == 0 or (before is not None and 2 * outside > before):
             break
-        finer = large.join(bands, "node").select("bucket", "at", "node", F.posexplode("bands").alias("next", "key")).filter(F.col("next") > F.col("at"))
-        members = staged(finer.select(F.xxhash64("bucket", "next", "key").alias("bucket"), F.col("next").alias("at"), F.lit(0).alias("first"), "node"), "members")
-        turn += 1
-    return labels
+        turn, before = turn + 1, outside
+        own = wide.select("bucket", "at", "node")
+        again = stars(own, turn).join(wide.select("bucket", "node", "label"), ["bucket", "node"])
+        again = again.join(wide.select("bucket", F.col("node").alias("centre"), F.col("label").alias("of")), ["bucket", "centre"]).filter(F.col("label") != F.col("of"))
+        links.append(staged(weighted_similarity(again.select("a", "b").distinct(), vectors, idf, o).filter(F.col("s") >= o.threshold), "similarities"))
+    here = (F.col("n") <= o.group) & (F.col("bytes") <= o.group_bytes)
+    groups = left.filter(here).select("bucket", "at", "node", "label").unionByName(blocks(left.filter(~here), o))
+    links.append(staged(settled(groups.join(vectors, "node"), idf, o), "settled"))
+    return components(reduce(DataFrame.unionByName, links))
 
 
 def near_duplicates(docs: DataFrame, options: DedupOptions | None = None) -> DataFrame:
