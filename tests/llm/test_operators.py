@@ -428,6 +428,20 @@ def test_op9_incremental_entropy():
     assert s.spans("key Zk3v9QpL7xTn2WbR8sYc now") == [("entropy", 4, 24)]
 
 
+def test_op9_base64_with_slashes():
+    from wickwork.llm.secret_scan import EntropyOptions, EntropyScanner
+
+    s, rng = EntropyScanner(EntropyOptions()), random.Random(10)
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert s.spans(f"aws_secret_access_key = {key}")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for size, least in ((24, 0.9), (40, 0.99)):
+        drawn = [t for t in ("".join(rng.choices(letters, k=size)) for _ in range(6000)) if "/" in t]
+        assert sum(bool(s.spans(f"key {t} now")) for t in drawn) >= least * len(drawn)
+    for path in ("src/main/java/com/exampleSite/UserService2", "example.com/de/articles/2024/page-17", "2024/01/31/backup-files/archive12"):
+        assert s.spans(f"see {path} end") == []
+
+
 def plain_statistics(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     at, seen, dup = defaultdict(list), set(), 0

@@ -3,7 +3,7 @@
 Candidates are runs of key characters. A window moves over each; counts of characters are kept as it moves, and with
 them the sum of c log c, so a step costs two table look-ups. Windows above the threshold of the candidate's class
 (hexadecimal, alphanumeric, base64) are joined to spans. Candidates that fit the allow-list, and windows that lack
-digits or letters, are left alone.
+digits (with ``+`` and ``/`` in base64) or letters, are left alone.
 
 Defined results: a null text counts as empty and has no spans; whole texts are scanned at any length; repeated rows
 give repeated results; an empty table gives an empty result; other columns are left out.
@@ -25,6 +25,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}+")
 _HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
 _ALNUM = re.compile(r"[0-9A-Za-z]+")
+_BASE64 = re.compile(r"[0-9A-Za-z+/]+={0,2}")
+#: Words in one case, capitalised or in camel case, with numbers between and a short one at the end; or a number.
+_WORD = r"(?:[A-Z]+|[A-Z]?[a-z]+|[a-z]*(?:[A-Z][a-z]{2,})+)"
+_PART = rf"(?=[^/]{{1,19}}(?:/|\Z))(?:[0-9._-]+|{_WORD}(?:[._-]+(?:{_WORD}|[0-9]+))*[._-]*[0-9]{{0,4}})"
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,7 @@ class EntropyOptions:
         r"[0-9.+/_=-]+",  # numbers, dates and rules
         r"[A-Za-z]+([._/=+-]+[A-Za-z]+)*[._/=+-]*[0-9]{0,4}",  # words, with a short number at the end
         r"(.)\1*",  # one character
-        r"/?([A-Za-z0-9_-]{1,19}/)+[A-Za-z0-9_.-]{0,19}",  # paths of short parts
+        rf"/?({_PART}/)+({_PART})?",  # paths of short parts that are words or numbers
         r"([A-Za-z0-9_-]{1,19}\.)+[A-Za-z]{2,10}(/[A-Za-z0-9_./=-]{0,19})?",  # host names
     )
 
@@ -57,20 +61,22 @@ class EntropyScanner:
         """Joined windows of ``text`` above the threshold of its class."""
         o, w, clog = self.o, self.o.window, self.clog
         most = (math.log2(w) - o.thresholds[self.kind(text)]) * w  # entropy = log2(w) - sum(c log2 c) / w
+        # In base64 two of its 64 characters are neither digits nor letters: they count as digits.
+        digit = frozenset("0123456789+/") if _BASE64.fullmatch(text) else None
         counts: dict[str, int] = {}
         held, digits, letters, out = 0.0, 0, 0, []
         for k, c in enumerate(text):
             n = counts.get(c, 0)
             counts[c] = n + 1
             held += clog[n + 1] - clog[n]
-            digits += c.isdigit()
+            digits += c in digit if digit else c.isdigit()
             letters += c.isalpha()
             if k >= w:
                 gone = text[k - w]
                 n = counts[gone]
                 counts[gone] = n - 1
                 held += clog[n - 1] - clog[n]
-                digits -= gone.isdigit()
+                digits -= gone in digit if digit else gone.isdigit()
                 letters -= gone.isalpha()
             if k >= w - 1 and held <= most + 1e-9 and digits >= o.min_digits and letters >= o.min_letters:
                 if out and out[-1][1] > k - w:
