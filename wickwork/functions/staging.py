@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder: they cut lineage, are read by many branches, and survive lost executors."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -9,17 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where it is unset, a session on one machine gets one of its own; a cluster must name it."""
+    conf = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (conf.get("spark.master", "") + "[").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="wickwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    Results are lazy and may read such a table until the session ends; then the folder goes.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
