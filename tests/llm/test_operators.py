@@ -228,7 +228,7 @@ def test_op4_level_array_is_the_sum_of_squares_rule():
 
 def test_op5_against_brute_force(spark):
     """Every pair of weighted similarity 0.8 or more is linked, and every member has such a partner."""
-    from wickwork.llm.minhash_dedup import DedupOptions, Likeness, Shingler, feature_frequencies, near_duplicates, smoothed_idf
+    from wickwork.llm.minhash_dedup import DedupOptions, Likeness, Shingler, near_duplicates, shingle_weights
 
     rng = random.Random(7)
     base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(120)) for _ in range(30)]
@@ -243,7 +243,7 @@ def test_op5_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     o = DedupOptions()
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, o).collect()}
-    like, sh = Likeness(smoothed_idf(feature_frequencies(docs, o), o), o), Shingler(5)
+    like, sh = Likeness(shingle_weights(docs, o)), Shingler(5)
     parsed = {d: like.parsed(np.sort(sh.shingles(t).astype("u4")).tobytes()) for d, t in rows}
     root = {d: d for d, _ in rows}
 
@@ -279,11 +279,17 @@ def crafted(groups, shared):
     return rows
 
 
+def even_weights():
+    from wickwork.llm.minhash_dedup import ShingleWeights
+
+    return ShingleWeights(np.zeros((3, 1 << 17), "f4"), 1000)
+
+
 def linked_groups(spark, rows, options):
     from wickwork.llm.minhash_dedup import similarity_links
 
     frame = spark.createDataFrame(rows, "node binary, bands array<long>, shingles binary")
-    return dict(similarity_links(frame, np.ones(1 << options.feature_bits, "f4"), options).collect())
+    return dict(similarity_links(frame, even_weights(), options).collect())
 
 
 def test_op5_links_of_the_last_turn_stay(spark):
@@ -309,7 +315,7 @@ def test_op5_pairs_of_a_large_bucket_against_brute_force(spark):
         bands[11] = -99 if k % 4 else bands[11]
     o = DedupOptions(group=4)
     labels = linked_groups(spark, rows, o)
-    like = Likeness(np.ones(1 << o.feature_bits, "f4"), o)
+    like = Likeness(even_weights())
     parsed = [like.parsed(r[2]) for r in rows]
     every = like.every_similarity(parsed)
     for i in range(len(rows)):
@@ -321,10 +327,10 @@ def test_op5_pairs_of_a_large_bucket_against_brute_force(spark):
 
 def test_op5_similarities_of_all_pairs():
     """Repeats, rows that share a feature in numbers below and above the step from pairs to matrices, and rows without company."""
-    from wickwork.llm.minhash_dedup import DedupOptions, Likeness
+    from wickwork.llm.minhash_dedup import Likeness, ShingleWeights
 
-    rng, o = np.random.default_rng(4), DedupOptions()
-    like = Likeness(rng.uniform(1, 2, 1 << o.feature_bits).astype("f4"), o)
+    rng = np.random.default_rng(4)
+    like = Likeness(ShingleWeights(rng.integers(0, 900, (3, 1 << 17)).astype("f4"), 1000))
     rows = [like.parsed(np.sort(np.concatenate((rng.integers(0, 60, 80), rng.integers(0, 4000, 300)))).astype("u4").tobytes()) for _ in range(70)]
     rows.append(like.parsed(np.arange(10**6, 10**6 + 9, dtype="u4").tobytes()))
     every = like.every_similarity(rows)

@@ -1,33 +1,23 @@
-"""Shared helpers: table access, shared-folder staging, bounded driver models."""
+"""Shared helpers: table access, batches in slices, state of worker processes, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickwork.functions.staging import shared_dir, staged
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["hash_share", "id_crc", "map_texts", "share_for", "shared_dir", "sliced", "staged", "table", "text_of", "worker_state"]
 
+#: Rows of a batch that are worked on at once: bounds what a Python worker holds beside the batch.
+SLICE = 256
+_state: dict[str, object] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="wickwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(col: str = "text") -> Column:
@@ -44,6 +34,27 @@ def hash_share(col: Column) -> Column:
     return (F.xxhash64(col, F.lit(20240229)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("double")
 
 
+def worker_state(key: str, make: Callable):
+    """``make()``, kept for the next tasks of this worker process.
+
+    One key at a time: workers are reused from stage to stage, and what an earlier operator held must not add up.
+    """
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+def sliced(batches, rows: int = SLICE) -> Iterator:
+    """The batches in slices of at most ``rows`` rows; freed Arrow memory goes back when they end."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(docs: DataFrame, make, fields: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` of ``docs`` and new ``fields`` computed from whole texts (null: empty).
 
@@ -57,7 +68,7 @@ def map_texts(docs: DataFrame, make, fields: str, carry: tuple[str, ...] = ("doc
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             made = work(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=[*carry, *names])

@@ -1,9 +1,8 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-1. Texts become multisets of hashed word shingles. Document frequencies are counted over all documents in a fixed
-   number of hashed features; the smoothed idf, scaled to [1, 2], and the term frequency give a shingle's weight.
+1. Texts become multisets of hashed word shingles. Document frequencies of shingles are counted over all documents in
+   a count-min sketch of fixed size; the smoothed idf, scaled to (1, 2], times the term frequency is a shingle's weight.
 2. Equal texts collapse to one node by their digest. Each node gets ``bands * rows`` consistent weighted samples.
-   A sample's random draws belong to the feature, its identity to the full 64-bit shingle.
 3. Nodes that share a band meet in a bucket. A bucket is a star: every node is compared with one centre, so pairs
    grow with the members and not with their square. Where a comparison fails, the members that may still be alike
    (those that failed, and by the triangle inequality those near the border) and are not yet of one class are
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import map_texts, staged, text_of
+from wickwork.llm.common import map_texts, sliced, staged, text_of, worker_state
 
 
 @dataclass(frozen=True)
@@ -36,12 +35,16 @@ class DedupOptions:
     bands: int = 20
     rows: int = 3
     threshold: float = 0.8
-    feature_bits: int = 18
+    #: Rows and bits of a row of the sketch of document frequencies.
+    sketch_rows: int = 3
+    sketch_bits: int = 17
+    #: Bits of a shingle that choose its random draws.
+    draw_bits: int = 14
     #: Keys (about 40 bytes each) that are broadcast at most.
     broadcast_rows: int = 500_000
     #: Members and bytes of an unsettled group that one task settles; larger ones are settled in blocks of four times the members.
     group: int = 256
-    group_bytes: int = 32 << 20
+    group_bytes: int = 8 << 20
 
 
 def _mix(x):
@@ -58,7 +61,7 @@ def _mix(x):
 class Shingler:
     """Hashes of word shingles, by prefix sums over the bytes of a text."""
 
-    BLOCK = 1 << 20
+    BLOCK = 1 << 16
 
     def __init__(self, words: int):
         import numpy as np
@@ -108,53 +111,78 @@ class Shingler:
         return _mix(out + self.factors[k:] * np.uint64(k - m))
 
 
-class Sampler:
-    """Consistent weighted samples of a multiset of shingles."""
+class ShingleWeights:
+    """Smoothed idf of 32-bit shingles in (1, 2], from a count-min sketch of document frequencies.
+
+    A cell counts the documents of all shingles in it: on average T / cells too many, where T is the number of distinct
+    (document, shingle) pairs. That mean is taken off the least cell of a shingle; what is left is off by about its square
+    root, so frequencies far above the root of T / cells are right at any input, and rarer ones count as rare.
+    """
 
-    def __init__(self, idf, options: DedupOptions):
+    def __init__(self, table, documents: int):
         import numpy as np
 
-        self.o, self.idf, self.log_idf = options, idf, np.log(idf)
-        self.mask, self.n = np.uint64(len(idf) - 1), options.bands * options.rows
-        # One row a feature: what a single occurrence is worth to each hash.
-        self.once = np.empty((len(idf), self.n), "f4")
-        all_h = np.arange(self.n, dtype="u8")
-        for f in range(0, len(idf), 4096):
-            features = np.arange(f, min(f + 4096, len(idf)), dtype="u8")
-            self.once[f : f + 4096] = self.value(all_h[None], features[:, None], self.log_idf[f : f + 4096, None])[0]
+        self.table, self.n = table, documents
+        self.noise = float(table[0].sum()) / table.shape[1]
+        self.shift = np.uint64(32 - int(table.shape[1]).bit_length() + 1)
 
     @staticmethod
-    def draws(h, feature):
-        """r, log c and beta of Ioffe's scheme: two Gamma(2, 1) draws and a uniform one."""
+    def cell(x, row: int, shift):
         import numpy as np
 
-        seed = _mix(feature + np.uint64(0x9E3779B97F4A7C15) * (h + np.uint64(1)))
-        u = [((_mix(seed + np.uint64(k)) >> np.uint64(11)).astype("f8") + 0.5) / float(1 << 53) for k in range(1, 6)]
-        return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
+        factor = np.uint64((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)[row])
+        return (((x * factor) & np.uint64(0xFFFFFFFF)) >> shift).astype("i8")
 
-    def value(self, h, feature, log_weight):
-        """log a, whose least element is sampled, and t."""
+    def of(self, shingles):
         import numpy as np
 
-        r, c, beta = self.draws(h, feature)
-        t = np.floor(log_weight / r + beta)
-        return c - r * (t - beta) - r, t
+        x = shingles.astype("u8") & np.uint64(0xFFFFFFFF)
+        least = self.table[0][self.cell(x, 0, self.shift)]
+        for row in range(1, len(self.table)):
+            least = np.minimum(least, self.table[row][self.cell(x, row, self.shift)])
+        df = np.maximum(1.0, least - self.noise)
+        return 1 + np.log((1 + self.n) / np.minimum(1 + df, 1 + self.n)) / max(np.log(1.0 + self.n), 1e-9)
+
+
+class Sampler:
+    """Consistent weighted samples of a multiset of shingles.
+
+    The draws r, c and beta of Ioffe's scheme (two Gamma(2, 1) and a uniform one) are tables over ``draw_bits`` bits of a
+    shingle. Of shingles that share draws in one text the heavier, then the smaller hash, stands for both, as in min-hashing.
+    """
+
+    BLOCK = 2048
+
+    def __init__(self, weights: ShingleWeights, options: DedupOptions):
+        import numpy as np
+
+        self.o, self.weights, self.n = options, weights, options.bands * options.rows
+        self.mask, self.h = np.uint64((1 << options.draw_bits) - 1), np.arange(self.n, dtype="u8") * np.uint64(0x632BE59BD9B4E019)
+        shape = (1 << options.draw_bits, self.n)
+        self.r, self.c, self.beta = np.empty(shape, "f4"), np.empty(shape, "f4"), np.empty(shape, "f4")
+        for f in range(0, shape[0], 1024):
+            feature = np.arange(f, min(f + 1024, shape[0]), dtype="u8")[:, None]
+            seed = _mix(feature + np.uint64(0x9E3779B97F4A7C15) * (np.arange(self.n, dtype="u8") + np.uint64(1)))
+            u = [((_mix(seed + np.uint64(k)) >> np.uint64(11)).astype("f8") + 0.5) / float(1 << 53) for k in range(1, 6)]
+            self.r[f : f + 1024], self.c[f : f + 1024], self.beta[f : f + 1024] = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
 
     def samples(self, shingles, counts):
         """One 64-bit code a hash."""
         import numpy as np
 
-        feature = shingles & self.mask
-        all_h = np.arange(self.n, dtype="u8")
-        values = self.once[feature.astype("i8")]
-        many = np.flatnonzero(counts > 1)
-        for s in range(0, len(many), 4096):
-            part = many[s : s + 4096]
-            values[part] = self.value(all_h[None], feature[part][:, None], (self.log_idf[feature[part].astype("i8")] + np.log(counts[part]))[:, None])[0]
-        best = values.argmin(0)
-        weight = self.log_idf[feature[best].astype("i8")] + np.log(counts[best])
-        t = self.value(all_h, feature[best], weight)[1]
-        return _mix(shingles[best] + _mix(t.astype("i8").view("u8") + all_h * np.uint64(0x632BE59BD9B4E019)))
+        log_weight = (np.log(self.weights.of(shingles)) + np.log(counts)).astype("f4")
+        feature = (shingles & self.mask).astype("i8")
+        least, best, turn = np.full(self.n, np.inf, "f4"), np.zeros(self.n, "i8"), np.zeros(self.n, "f4")
+        for s in range(0, len(shingles), self.BLOCK):
+            f = feature[s : s + self.BLOCK]
+            r, beta = self.r[f], self.beta[f]
+            t = np.floor(log_weight[s : s + self.BLOCK, None] / r + beta)
+            value = self.c[f] - r * (t - beta) - r
+            at = value.argmin(0)
+            found = np.take_along_axis(value, at[None], 0)[0]
+            better = found < least
+            least[better], best[better], turn[better] = found[better], at[better] + s, np.take_along_axis(t, at[None], 0)[0][better]
+        return _mix(shingles[best] + _mix(turn.astype("i8").view("u8") + self.h))
 
     def band_keys(self, codes):
         import numpy as np
@@ -167,55 +195,51 @@ class Sampler:
         return out.view("i8")
 
 
-_samplers: dict[str, Sampler] = {}
-
-
-def sampler(held, key: str, o: DedupOptions) -> Sampler:
-    """The sampler of a broadcast idf table, built once a worker process; one is kept."""
-    if key not in _samplers:
-        _samplers.clear()
-        _samplers[key] = Sampler(held.value, o)
-    return _samplers[key]
-
+def shingle_weights(docs: DataFrame, o: DedupOptions) -> ShingleWeights:
+    """The sketch over all of ``docs``: of fixed size at any input, so it may pass through the driver.
 
-def feature_frequencies(docs: DataFrame, o: DedupOptions) -> DataFrame:
-    """feature, df: documents that hold a shingle of the feature; feature -1 counts the documents."""
-
-    def run(batches):
-        import numpy as np
+    Each task adds up its documents; parts of the table meet in one shuffle and are added as they stream in.
+    """
+    import numpy as np
 
-        shingler, counts, n = Shingler(o.words), np.zeros(1 << o.feature_bits, "i8"), 0
-        mask = np.uint64(len(counts) - 1)
+    rows, width, parts = o.sketch_rows, 1 << o.sketch_bits, o.sketch_rows * 16
+    shift, size = np.uint64(32 - o.sketch_bits), rows * width // parts
+
+    def count(batches):
+        shingler, table, n = Shingler(o.words), np.zeros((rows, width), "i8"), 0
+        for batch in sliced(batches):
+            held = [np.unique(shingler.shingles(t or "") & np.uint64(0xFFFFFFFF)) for t in batch.column("text").to_pylist()]
+            n, x = n + len(held), np.concatenate(held)
+            for row in range(rows):
+                table[row] += np.bincount(ShingleWeights.cell(x, row, shift), minlength=width)
+        flat = table.reshape(parts, size).astype("u4" if n < 1 << 32 else "u8")
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n] * parts, pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "n", "counts"])
+
+    def add(batches):
+        sums: dict[int, list] = {}
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                n += 1
-                counts[np.unique(shingler.shingles(t or "") & mask).astype("i8")] += 1
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int32()), pa.array(np.append(counts[held], n), pa.int64())], names=["feature", "df"])
-
-    return docs.select("text").mapInArrow(run, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-
+            for part, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = sums.setdefault(part, [0, np.zeros(size, "i8")])
+                held[0] += n
+                held[1] += np.frombuffer(counts, f"u{len(counts) // size}")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], names=["part", "n", "counts"])
 
-def smoothed_idf(frequencies: DataFrame, o: DedupOptions):
-    """A table of 2^feature_bits weights in [1, 2]: of fixed size at any input, so it may pass through the driver."""
-    import numpy as np
-
-    got = frequencies.toArrow()
-    feature, df = got.column("feature").to_numpy(), got.column("df").to_numpy()
-    n = float(df[feature == -1].sum())
-    counts = np.zeros(1 << o.feature_bits)
-    counts[feature[feature >= 0]] = df[feature >= 0]
-    return (1 + np.log((1 + n) / (1 + counts)) / max(np.log(1 + n), 1e-9)).astype("f4")
+    fields = "part int, n long, counts binary"
+    got = docs.select("text").mapInArrow(count, fields).repartition("part").mapInArrow(add, fields).toArrow().sort_by("part")
+    if not got.num_rows:
+        return ShingleWeights(np.zeros((rows, width), "i8"), 0)
+    table = np.concatenate([np.frombuffer(x, "i8") for x in got.column("counts").to_pylist()]).reshape(rows, width)
+    return ShingleWeights(table.astype("f4"), got.column("n")[0].as_py())
 
 
-def signatures(docs: DataFrame, idf, o: DedupOptions) -> DataFrame:
+def signatures(docs: DataFrame, weights: ShingleWeights, o: DedupOptions) -> DataFrame:
     """doc_id, node (digest of the text; null without words), bands, shingles (sorted, 32 bits each, repeats included)."""
-    held, key = docs.sparkSession.sparkContext.broadcast(idf), uuid.uuid4().hex
+    held, key = docs.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def make():
         import numpy as np
 
-        shingler, drawn = Shingler(o.words), sampler(held, key, o)
+        shingler, drawn = worker_state(key, lambda: (Shingler(o.words), Sampler(held.value, o)))
 
         def work(texts):
             bands, kept = [], []
@@ -235,15 +259,15 @@ def signatures(docs: DataFrame, idf, o: DedupOptions) -> DataFrame:
 class Likeness:
     """Weighted Jaccard similarity of shingle multisets (sorted 32-bit hashes, repeats included)."""
 
-    def __init__(self, idf, o: DedupOptions):
-        self.idf, self.mask = idf.astype("f8"), (1 << o.feature_bits) - 1
+    def __init__(self, weights: ShingleWeights):
+        self.weights = weights
 
     def parsed(self, data: bytes):
         """(distinct shingles, their counts, whole weight)."""
         import numpy as np
 
         u, c = np.unique(np.frombuffer(data, "u4"), return_counts=True)
-        return u, c, float((self.idf[(u & self.mask).astype("i8")] * c).sum())
+        return u, c, float((self.weights.of(u) * c).sum())
 
     def similarity(self, x, y, least: float = 0.0) -> float:
         """The similarity, or 0 where the weights alone keep it under ``least``."""
@@ -252,7 +276,7 @@ class Likeness:
         if min(x[2], y[2]) < least * max(x[2], y[2]):
             return 0.0
         both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-        common = float((self.idf[(both & self.mask).astype("i8")] * np.minimum(x[1][i], y[1][j])).sum())
+        common = float((self.weights.of(both) * np.minimum(x[1][i], y[1][j])).sum())
         return common / (x[2] + y[2] - common)
 
     def every_similarity(self, rows):
@@ -267,7 +291,7 @@ class Likeness:
         key = [np.repeat(u.astype("u8"), c) << np.uint64(32) | (np.arange(c.sum()) - np.repeat(c.cumsum() - c, c)).astype("u8") for u, c, _ in rows]
         row = np.repeat(np.arange(n), [len(k) for k in key])
         key, at, held = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
-        weight = self.idf[((key >> np.uint64(32)) & np.uint64(self.mask)).astype("i8")]
+        weight = self.weights.of(key >> np.uint64(32))
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
         common = np.zeros((n, n))
@@ -290,13 +314,13 @@ class Likeness:
         return common / (whole[:, None] + whole - common)
 
 
-def weighted_similarity(pairs: DataFrame, vectors: DataFrame, idf, o: DedupOptions) -> DataFrame:
+def weighted_similarity(pairs: DataFrame, vectors: DataFrame, weights: ShingleWeights, o: DedupOptions) -> DataFrame:
     """a, b, s: the weighted Jaccard similarity of each pair of nodes."""
-    held = pairs.sparkSession.sparkContext.broadcast(idf)
+    held = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        like = Likeness(held.value, o)
-        for batch in batches:
+        like = Likeness(held.value)
+        for batch in sliced(batches):
             out = [like.similarity(like.parsed(x), like.parsed(y)) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "s"])
 
@@ -305,17 +329,17 @@ def weighted_similarity(pairs: DataFrame, vectors: DataFrame, idf, o: DedupOptio
     return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary, s double")
 
 
-def settled(groups: DataFrame, idf, o: DedupOptions) -> DataFrame:
+def settled(groups: DataFrame, weights: ShingleWeights, o: DedupOptions) -> DataFrame:
     """a, b, s: links that join the classes of each group (bucket, at, node, label, bands, shingles), of bounded size.
 
     A pair that shares a later band than the group's is compared there.
     """
-    held = groups.sparkSession.sparkContext.broadcast(idf)
+    held = groups.sparkSession.sparkContext.broadcast(weights)
 
     def run(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        like = Likeness(held.value, o)
+        like = Likeness(held.value)
         t = t.sort_by("node")
         node, label, at = t.column("node").to_pylist(), t.column("label").to_pylist(), t.column("at").to_pylist()[0]
         bands = np.array(t.column("bands").to_pylist(), "i8")
@@ -361,15 +385,28 @@ def blocks(large: DataFrame, o: DedupOptions) -> DataFrame:
     return out.select(F.xxhash64("bucket", "b").alias("bucket"), "at", "node", "label").distinct()
 
 
+def by_key(rows: DataFrame, small: DataFrame, key: str, hot: int = 10_000) -> DataFrame:
+    """``rows`` (a staged table) joined with ``small``, which has one row a key.
+
+    Keys of more than ``hot`` rows, and of more than one in 1,000, are at most 1,000: their rows of ``small`` are broadcast.
+    """
+    n = rows.count()
+    if n <= hot:
+        return rows.join(small, key)
+    large = staged(rows.groupBy(key).count().filter(F.col("count") > max(hot, n // 1000)).select(key), "hot-keys")
+    few = small.join(F.broadcast(large), key, "left_semi")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(large), key, "left_anti").join(small, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each connected part, by neighbour minima and pointer jumps."""
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        low = staged(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label")), "low")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = staged(low.join(jump, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels")
+        new = staged(by_key(low, jump, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels")
         if new.filter(F.col("label") != F.col("old")).isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -382,7 +419,7 @@ def stars(members: DataFrame, turn: int) -> DataFrame:
     return staged(star.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}), "star")
 
 
-def similarity_links(rows: DataFrame, idf, o: DedupOptions) -> DataFrame:
+def similarity_links(rows: DataFrame, weights: ShingleWeights, o: DedupOptions) -> DataFrame:
     """node, label: the classes of linked nodes among ``rows`` (node, bands, shingles; a node may repeat)."""
     spark = rows.sparkSession
     bands = staged(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands")), "bands")
@@ -394,7 +431,7 @@ def similarity_links(rows: DataFrame, idf, o: DedupOptions) -> DataFrame:
     active = star.select("node").unionByName(star.select(F.col("centre").alias("node"))).distinct()
     vectors = rows.select("node", "shingles").join(active, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     vectors = staged(vectors.join(bands, "node"), "vectors")
-    every = staged(weighted_similarity(star.select("a", "b").distinct(), vectors, idf, o), "similarities")
+    every = staged(weighted_similarity(star.select("a", "b").distinct(), vectors, weights, o), "similarities")
     links = [every.filter(F.col("s") >= o.threshold)]
     scored = star.join(every, ["a", "b"]).select("bucket", "at", "node", "s")
     failed = scored.filter(F.col("s") < o.threshold).groupBy("bucket").agg(F.max("s").alias("near"))
@@ -417,23 +454,23 @@ def similarity_links(rows: DataFrame, idf, o: DedupOptions) -> DataFrame:
         own = wide.select("bucket", "at", "node")
         again = stars(own, turn).join(wide.select("bucket", "node", "label"), ["bucket", "node"])
         again = again.join(wide.select("bucket", F.col("node").alias("centre"), F.col("label").alias("of")), ["bucket", "centre"]).filter(F.col("label") != F.col("of"))
-        links.append(staged(weighted_similarity(again.select("a", "b").distinct(), vectors, idf, o).filter(F.col("s") >= o.threshold), "similarities"))
+        links.append(staged(weighted_similarity(again.select("a", "b").distinct(), vectors, weights, o).filter(F.col("s") >= o.threshold), "similarities"))
     here = (F.col("n") <= o.group) & (F.col("bytes") <= o.group_bytes)
     groups = left.filter(here).select("bucket", "at", "node", "label").unionByName(blocks(left.filter(~here), o))
-    links.append(staged(settled(groups.join(vectors, "node"), idf, o), "settled"))
+    links.append(staged(settled(groups.join(vectors, "node"), weights, o), "settled"))
     return components(reduce(DataFrame.unionByName, links))
 
 
 def near_duplicates(docs: DataFrame, options: DedupOptions | None = None) -> DataFrame:
     """doc_id, node and class_id of every row of ``docs``; rows of one class have equal or similar texts."""
     o = options or DedupOptions()
-    idf = smoothed_idf(feature_frequencies(docs, o), o)
-    rows = staged(signatures(docs, idf, o), "signatures")
-    labels = similarity_links(rows.select("node", "bands", "shingles"), idf, o)
+    weights = shingle_weights(docs, o)
+    rows = staged(signatures(docs, weights, o), "signatures")
+    labels = similarity_links(rows.select("node", "bands", "shingles"), weights, o)
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     names = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    classes = named.select("node", "label").join(names, "label").select("node", "class_id")
+    classes = by_key(named.select("node", "label"), names, "label").select("node", "class_id")
     return rows.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 

@@ -11,7 +11,6 @@ repeated rows are packed as often as they occur; an empty table gives an empty r
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -19,9 +18,10 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import staged
+from wickwork.llm.common import sliced, staged, worker_state
 
-CACHE_WORDS = 400_000
+#: Words of one generation of the cache, and characters of a word that is kept: some 100 MB in two generations.
+CACHE_WORDS = 250_000
 CACHE_CHARS = 64
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -37,8 +37,6 @@ class WordTokenizer:
         import numpy as np
         from tokenizers import Tokenizer
 
-        gc.disable()  # no cycles are made here, and a full collection would walk the caches
-
         self.inner = Tokenizer.from_file(path)
         if self.inner.encode("a b", add_special_tokens=False).ids != self.inner.encode("a", add_special_tokens=False).ids + self.inner.encode("b", add_special_tokens=False).ids:
             raise ValueError("blanks are part of this file's tokens")
@@ -53,6 +51,11 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _alone(self, word: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.inner.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _delimited(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, many in one call: joined by the delimiter's token, and cut at its id."""
         import numpy as np
@@ -60,13 +63,13 @@ class WordTokenizer:
         plain = [w for w in words if "<" not in w]
         ids = np.array(self.inner.encode(self.delimiter.join(plain), add_special_tokens=False).ids, "<u4")
         cuts = np.flatnonzero(ids == self.delimiter_id)
-        if len(cuts) != max(0, len(plain) - 1):
-            raise ValueError("the delimiter's token came out of ordinary words")
+        if len(cuts) != max(0, len(plain) - 1):  # the delimiter's token came out of a word
+            return {w: self._alone(w) for w in words}
         starts, ends, data = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
         found = {w: data[a:b] for w, a, b in zip(plain, starts, ends, strict=False)}
         for w in words:
             if w not in found:
-                found[w] = np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                found[w] = self._alone(w)
         return found
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
@@ -75,8 +78,8 @@ class WordTokenizer:
 
         ids = np.array(self.inner.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != len(words):
-            raise ValueError("a word of letters came out as more than one word")
+        if len(ends) != len(words):  # a word of letters came out as more than one word
+            return {w: self._alone(w) for w in words}
         data, ends = ids.tobytes(), ends.tolist()
         return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
 
@@ -123,13 +126,9 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """One a worker process and file."""
+    return worker_state(f"words {path}", lambda: WordTokenizer(path))
 
 
 def document_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -142,12 +141,12 @@ def document_pieces(docs: DataFrame, path: str, window: int = 2048, end_id: int
         import numpy as np
 
         t, end = tokenizer(path), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             row, start, size, crc, total, ids, at = [], [], [], [], [], [], 0
             while at < len(texts):
                 upto, chars = at + 1, len(texts[at])
-                while upto < len(texts) and chars + len(texts[upto]) < 2_000_000:  # bounds what is split at once
+                while upto < len(texts) and chars + len(texts[upto]) < 1_000_000:  # bounds what is split at once
                     chars, upto = chars + len(texts[upto]), upto + 1
                 for k, data in enumerate(t.coded(texts[at:upto])):
                     data += end

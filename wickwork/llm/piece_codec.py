@@ -17,6 +17,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from wickwork.llm.common import sliced, worker_state
+
 MARK = "▁"
 WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 CACHE_WORDS = 500_000
@@ -88,6 +90,8 @@ class PieceCodec:
                         last[end] = token
         ids, at = [], len(text)
         while at:
+            if last[at] < 0:
+                raise ValueError(f"no piece ends at {at} of {text[:80]!r}")
             ids.append(last[at])
             at -= len(self.pieces[last[at]])
         return ids[::-1]
@@ -150,14 +154,9 @@ class PieceCodec:
         return sum(n), ",".join(ids), "".join(out).removeprefix(" ")
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(model_file: str) -> PieceCodec:
     """One codec a worker process and file."""
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+    return worker_state(f"pieces {model_file}", lambda: PieceCodec(model_file))
 
 
 def encode_documents(docs: DataFrame, model_file: str, digests: bool = False) -> DataFrame:
@@ -169,7 +168,7 @@ def encode_documents(docs: DataFrame, model_file: str, digests: bool = False) ->
 
     def run(batches):
         c = codec(model_file)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [c.coded(t or "") for t in batch.column("text").to_pylist()]
             n = pa.array([r[0] for r in rows], pa.int64())
             if digests:
