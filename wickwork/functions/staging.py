@@ -27,7 +27,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
