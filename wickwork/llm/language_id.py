@@ -11,13 +11,14 @@ learned from; languages beyond the ``max_langs`` most frequent are not learned;
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import hash_share, id_crc, map_texts, share_for
+from wickwork.llm.common import hash_share, id_crc, map_texts, share_for, worker_state
 
 
 @dataclass(frozen=True)
@@ -172,11 +173,12 @@ def train(docs: DataFrame, options: ByteCnnOptions | None = None) -> ByteCnn | N
 
 def identify(docs: DataFrame, net: ByteCnn | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, lang_pred and score of every row of ``docs``."""
+    key = uuid.uuid4().hex
 
     def make():
         import numpy as np
 
-        shares = net.pooled() if net else None
+        shares = worker_state(key, net.pooled) if net else None
 
         def work(texts):
             found, score = ["und"] * len(texts), [0.0] * len(texts)

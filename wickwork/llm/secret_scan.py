@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wickwork.llm.common import map_texts
+from wickwork.llm.common import map_texts, worker_state
 from wickwork.llm.spans import Span, joined, replaced, secrets, sha256
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -99,7 +99,7 @@ def find_secrets(docs: DataFrame, options: EntropyOptions | None = None) -> Data
     o = options or EntropyOptions()
 
     def make():
-        scanner = EntropyScanner(o)
+        scanner = worker_state(f"entropy {o}", lambda: EntropyScanner(o))
 
         def work(texts):
             base = [secrets(t) for t in texts]
@@ -117,7 +117,7 @@ def redact_secrets(docs: DataFrame, options: EntropyOptions | None = None, carry
     o = options or EntropyOptions()
 
     def make():
-        scanner = EntropyScanner(o)
+        scanner = worker_state(f"entropy {o}", lambda: EntropyScanner(o))
 
         def work(texts):
             every = [secrets(t) + scanner.spans(t) for t in texts]
