@@ -1,12 +1,20 @@
 """URL filters: host and path rules, then a path-template tree, in DataFrame functions alone.
 
-The tree is built level by level over distinct (host, path shape) rows, never over single urls: digits in a
-segment become ``{n}``; a branch point with many children of few urls each becomes ``{*}``; sibling branches
-whose labelled block rates do not differ statistically are merged. A template is rejected where the smoothed
-share of its labelled urls that are blocked reaches ``purity``.
+The tree is built level by level over distinct (host, path shape) rows, never over single urls. Digits in a segment are
+``{n}``. Per host and branch point, from the root down:
 
-Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; urls without a
-labelled neighbour in their template are allowed; repeated rows count as often as they occur; an empty table
+1. Many children of few urls each become one wildcard ``{*}``.
+2. Of the other children, those that are statistically similar are merged: the shares of the shapes below a child fit
+   those below all similar children (chi-square within ``z`` standard deviations), and so does its share of blocked urls
+   among labelled ones. Both tests are made twice, the second time against the children that passed the first. Two or
+   more that pass become one branch ``{first|number}``; unlabelled children are judged by their shapes alone.
+
+Levels go on until no branch point has two children left, at any depth. Labels are the rules' verdicts. A node's purity,
+its share of blocked urls, is smoothed towards its parent's as by ``prior_weight`` urls, the root's towards that of all
+labelled urls, each label counted once on the way; a template without labels so takes that of the branch above. From ``purity`` on a template is rejected.
+
+Defined results: a null url, or one without ``://``, has an empty host and path and is allowed by the method's default if
+no such url is labelled; without any label every purity is 0; repeated rows count as often as they occur; an empty table
 gives an empty result; other columns of the input are left out.
 """
 
@@ -21,17 +29,20 @@ from wickwork.llm.common import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Separates the segments of a prefix; no path segment holds a slash.
+SEP = "/"
 
 
 @dataclass(frozen=True)
 class TemplateOptions:
-    depth: int = 4
     min_children: int = 16
     max_mean: float = 3.0
-    z: float = 1.96
-    #: Weight of the overall block rate in a template's smoothed purity.
-    prior_weight: float = 2.0
-    purity: float = 0.8
+    z: float = 2.58
+    #: Urls that a parent's purity counts for in its child's.
+    prior_weight: float = 4.0
+    purity: float = 0.9
+    #: Copies of the counts of roots and their children, which all templates of a host need.
+    salts: int = 16
 
 
 def url_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -51,53 +62,107 @@ def rule_of(rules=RULES) -> Column:
     return out
 
 
-def _shape(depth: int) -> dict[str, Column]:
-    """s1..s_depth: the generalised segments, empty past the end; deeper ones are one mark at the last place."""
-    segs = F.transform(F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
-    out = {f"s{i}": F.coalesce(F.get(segs, F.lit(i - 1)), F.lit("")) for i in range(1, depth + 1)}
-    return out | {f"s{depth + 1}": F.when(F.size(segs) > depth, F.lit("{rest}")).otherwise(F.lit(""))}
+def path_shape() -> Column:
+    """The segments of a path, digits as ``{n}``, joined again."""
+    segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
+    return F.concat_ws(SEP, F.transform(segments, lambda s: F.regexp_replace(s, "[0-9]+", "{n}")))
+
+
+def _alike(children: DataFrame, below: DataFrame, among: Column, o: TemplateOptions) -> DataFrame:
+    """Children (host, prefix, child, n, n_lab, n_bad) plus ``alike``, tested against those where ``among``."""
+    point = ["host", "prefix"]
+    near = children.filter(among)
+    pool = near.groupBy(*point).agg(F.sum("n").alias("p_n"), F.sum("n_lab").alias("p_lab"), F.sum("n_bad").alias("p_bad"))
+    held = below.join(near.select(*point, "child"), [*point, "child"], "left_semi")
+    shares = held.groupBy(*point, "next").agg(F.sum("n").alias("s_n"))
+    kinds = shares.groupBy(*point).agg(F.count("*").alias("kinds"))
+    # Sum of squared deviations over expectations = sum(n^2 / expected) - n; a shape unknown to the pool is as rare as one url.
+    part = below.join(shares, [*point, "next"], "left").join(pool.select(*point, "p_n"), point)
+    fit = part.groupBy(*point, "child").agg(F.sum(F.col("n") * F.col("n") * F.col("p_n") / F.coalesce("s_n", F.lit(1))).alias("q"))
+    out = children.join(pool, point).join(kinds, point).join(fit, [*point, "child"])
+    free = F.greatest(F.col("kinds") - 1, F.lit(1))
+    shape = F.col("q") / F.col("n") - F.col("n") <= free + o.z * F.sqrt(2 * free)
+    mine = F.when(among, F.lit(1)).otherwise(F.lit(0))
+    lab, bad = F.col("p_lab") - mine * F.col("n_lab"), F.col("p_bad") - mine * F.col("n_bad")
+    p = (F.col("p_bad") + 1) / (F.col("p_lab") + 2)
+    gap = F.abs(F.col("n_bad") / F.col("n_lab") - bad / lab) <= o.z * F.sqrt(p * (1 - p) * (1 / F.col("n_lab") + 1 / lab))
+    label = F.when((F.col("n_lab") == 0) | (lab == 0), F.lit(True)).otherwise(gap)
+    return out.select(*children.columns, (shape & label).alias("alike"))
+
+
+def _level(rows: DataFrame, o: TemplateOptions) -> DataFrame:
+    """``rows`` (host, prefix, rest, shape, n, n_lab, n_bad) with one segment of ``rest`` moved to ``prefix``."""
+    point = ["host", "prefix"]
+    cut = F.split("rest", SEP, 2)
+    rows = rows.withColumns({"child": cut[0], "later": F.coalesce(F.get(cut, F.lit(1)), F.lit(""))})
+    below = rows.groupBy(*point, "child", F.split("later", SEP, 2)[0].alias("next")).agg(*(F.sum(c).alias(c) for c in ("n", "n_lab", "n_bad")))
+    children = below.groupBy(*point, "child").agg(*(F.sum(c).alias(c) for c in ("n", "n_lab", "n_bad")))
+    points = children.groupBy(*point).agg(F.count("*").alias("kids"), F.sum("n").alias("urls"))
+    many = (F.col("kids") >= o.min_children) & (F.col("urls") < o.max_mean * F.col("kids"))
+    wild = points.filter(many).select(*point)
+    few = staged(children.join(points.filter(~many & (F.col("kids") > 1)).select(*point), point), "children")
+    first = staged(_alike(few, below, F.lit(True), o), "similar")
+    second = _alike(first.withColumnRenamed("alike", "before"), below, F.col("before"), o).filter("alike AND before")
+    merged = second.groupBy(*point).agg(F.count("*").alias("k"), F.min("child").alias("least")).filter("k > 1")
+    merged = second.select(*point, "child").join(merged.select(*point, F.concat(F.lit("{"), "least", F.lit("|"), F.col("k").cast("string"), F.lit("}")).alias("branch")), point)
+    out = rows.join(wild.withColumn("_wild", F.lit(True)), point, "left").join(merged, [*point, "child"], "left")
+    name = F.when(F.col("_wild"), F.lit("{*}")).otherwise(F.coalesce("branch", "child"))
+    return out.select("host", F.concat("prefix", F.lit(SEP), name).alias("prefix"), F.col("later").alias("rest"), "shape", "n", "n_lab", "n_bad")
 
 
 def path_templates(leaves: DataFrame, o: TemplateOptions) -> DataFrame:
-    """Adds t1..t_depth+1 to distinct rows (host, s1.., n): segments, or ``{*}`` where the branch point varies."""
-    out, above = leaves, ["host"]
-    for i in range(1, o.depth + 2):
-        children = out.groupBy(*above, f"s{i}").agg(F.sum("n").alias("_n"))
-        points = children.filter(F.col(f"s{i}") != "").groupBy(*above).agg(F.count("*").alias("_kids"), F.sum("_n").alias("_urls"))
-        wild = points.filter((F.col("_kids") >= o.min_children) & (F.col("_urls") < o.max_mean * F.col("_kids"))).select(*above, F.lit(True).alias("_wild"))
-        out = out.join(wild, above, "left")
-        out = out.withColumn(f"t{i}", F.when(F.col("_wild") & (F.col(f"s{i}") != ""), F.lit("{*}")).otherwise(F.col(f"s{i}"))).drop("_wild")
-        out = staged(out, f"templates-{i}")
-        above = [*above, f"t{i}"]
-    ends = F.filter(F.array(*(F.col(f"t{i}") for i in range(1, o.depth + 2))), lambda t: t != "")
-    return out.withColumns({"template": F.concat(F.lit("/"), F.concat_ws("/", ends)), "parent": F.concat(F.lit("/"), F.concat_ws("/", F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))))})
+    """host, shape, template, n, n_lab, n_bad for distinct rows (host, shape, n, n_lab, n_bad).
+
+    A branch point with one child left is no branch: its rows are done, so a very deep path costs no more levels than
+    it has branches.
+    """
+    open_ = leaves.withColumns({"prefix": F.lit(""), "rest": F.col("shape")})
+    done = []
+    while True:
+        several = open_.groupBy("host", "prefix").agg(F.min("rest").alias("a"), F.max("rest").alias("b")).filter("a <> b").select("host", "prefix")
+        split = staged(open_.join(several.withColumn("_more", F.lit(True)), ["host", "prefix"], "left"), "level")
+        more = F.coalesce("_more", F.lit(False)) & (F.col("rest") != "")
+        end = F.concat("prefix", F.when(F.col("rest") == "", F.lit("")).otherwise(F.concat(F.lit(SEP), F.col("rest"))))
+        done.append(split.filter(~more).select("host", "shape", F.when(end == "", F.lit(SEP)).otherwise(end).alias("template"), "n", "n_lab", "n_bad"))
+        open_ = split.filter(more).drop("_more")
+        if open_.isEmpty():
+            break
+        open_ = staged(_level(open_, o), "templates")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def template_purity(templates: DataFrame, o: TemplateOptions) -> DataFrame:
-    """host, template, purity: siblings whose block rates are alike are judged as one branch."""
-    t = templates.groupBy("host", "parent", "template").agg(F.sum("n_lab").alias("n_lab"), F.sum("n_bad").alias("n_bad"))
-    pooled = t.groupBy("host", "parent").agg(F.sum("n_lab").alias("p_lab"), F.sum("n_bad").alias("p_bad"))
-    whole = t.agg(((F.sum("n_bad") + 1) / (F.sum("n_lab") + 2)).alias("prior"))
-    p = F.col("p_bad") / F.greatest(F.col("p_lab"), F.lit(1))
-    own = F.col("n_bad") / F.greatest(F.col("n_lab"), F.lit(1))
-    alike = (F.col("n_lab") > 0) & (F.abs(own - p) <= o.z * F.sqrt(p * (1 - p) / F.greatest(F.col("n_lab"), F.lit(1))))
-    t = t.join(pooled, ["host", "parent"]).withColumn("alike", alike)
-    merged = t.filter("alike").groupBy("host", "parent").agg(F.sum("n_lab").alias("g_lab"), F.sum("n_bad").alias("g_bad"))
-    t = t.join(merged, ["host", "parent"], "left").join(F.broadcast(whole), F.lit(True))  # one row
-    lab = F.when(F.col("alike"), F.col("g_lab")).otherwise(F.col("n_lab"))
-    bad = F.when(F.col("alike"), F.col("g_bad")).otherwise(F.col("n_bad"))
-    return t.select("host", "template", F.when(lab > 0, (bad + o.prior_weight * F.col("prior")) / (lab + o.prior_weight)).otherwise(F.lit(0.0)).alias("purity"))
+    """host, template, n, n_lab, purity: each template's smoothed share of blocked urls, from the root of its host down."""
+    ends = staged(templates.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "n_lab", "n_bad"))), "ends")
+    parts = F.filter(F.split("template", SEP), lambda s: s != "")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.concat_ws(SEP, F.slice(parts, F.lit(1), k)).alias("node")))
+    paths = ends.withColumn("_p", F.explode(prefixes)).select("host", "template", "n", "n_lab", "n_bad", "_p.*")
+    nodes = paths.groupBy("host", "depth", "node").agg(F.sum("n_lab").alias("lab"), F.sum("n_bad").alias("bad"))
+    copies = F.when(F.col("depth") < 2, F.lit(o.salts)).otherwise(F.lit(1))
+    nodes = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    paths = paths.withColumn("salt", F.pmod(F.xxhash64("template"), copies).cast("int"))
+    along = paths.join(nodes, ["host", "depth", "node", "salt"]).groupBy("host", "template").agg(F.first("n").alias("n"), F.first("n_lab").alias("n_lab"), F.sort_array(F.collect_list(F.struct("depth", "lab", "bad"))).alias("path"))
+    prior = ends.agg(F.sum("n_lab").alias("all_lab"), F.sum("n_bad").alias("all_bad"))
+    along = along.join(F.broadcast(prior), F.lit(True))  # one row
+    # Labels count once on a path: those of a child are taken from its parent.
+    less = lambda x, i, c: x[c] - F.coalesce(F.get("path", i + 1)[c], F.lit(0))
+    own = F.transform("path", lambda x, i: F.struct(less(x, i, "lab").alias("lab"), less(x, i, "bad").alias("bad")))
+    step = lambda p, x: (x["bad"] + o.prior_weight * p) / (x["lab"] + o.prior_weight)
+    purity = F.aggregate(own, F.coalesce(F.col("all_bad") / F.col("all_lab"), F.lit(0.0)), step)
+    return along.select("host", "template", "n", "n_lab", purity.alias("purity"))
 
 
 def url_filter(pages: DataFrame, rules=RULES, options: TemplateOptions | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages``."""
     o = options or TemplateOptions()
-    shape = [f"s{i}" for i in range(1, o.depth + 2)]
-    rows = url_parts(pages).withColumn("_r", rule_of(rules)).withColumns(_shape(o.depth))
+    rows = url_parts(pages).withColumn("_r", rule_of(rules)).withColumn("shape", path_shape())
     verdict = F.col("_r.verdict")
-    leaves = rows.groupBy("host", *shape).agg(F.count("*").alias("n"), F.count(verdict).alias("n_lab"), F.count(F.when(verdict == "block", 1)).alias("n_bad"))
-    templates = path_templates(leaves, o)
-    judged = templates.select("host", *shape, "template").join(template_purity(templates, o), ["host", "template"])
-    out = rows.join(judged, ["host", *shape], "left")
+    leaves = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(verdict).alias("n_lab"), F.count(F.when(verdict == "block", 1)).alias("n_bad"))
+    templates = staged(path_templates(staged(leaves, "shapes"), o), "all-templates")
+    judged = staged(templates.select("host", "shape", "template").join(template_purity(templates, o).select("host", "template", "purity"), ["host", "template"]), "judged")
+    out = rows.join(judged, ["host", "shape"], "left")
     by_method = F.when(F.col("purity") >= o.purity, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "template", F.coalesce("purity", F.lit(0.0)).alias("purity"))
+    return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "template", "purity")
