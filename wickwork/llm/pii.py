@@ -1,16 +1,18 @@
-"""PII: exact patterns, and information-theoretic sanitisation of the terms around them.
+"""PII: exact patterns, and information-theoretic sanitisation of the terms that reveal them.
 
-An entity is the value of a pattern match. Over the whole corpus, the documents that hold a term are counted, and for
-each entity the documents that hold the term within ``reach`` words of it. How strongly a term reveals an entity is
-its pointwise mutual information with the entity over the entity's information, PMI(t; e) / IC(e): 1 if the term never
-occurs without it, 0 if both are independent. Terms at ``generalise`` or above are spans of kind ``term``; in the
-sanitised text they become their class, and from ``remove`` on they are left out.
+An entity is the value of a pattern match. Texts are cut into sections of ``section`` words; a section is the event that
+everything is counted by, over all documents: how many hold a term, an entity, and both. How strongly a term reveals an
+entity is its pointwise mutual information with the entity over the entity's information, log(P(e | t) / P(e)) / -log P(e):
+1 if the term never occurs without it, 0 if both are independent. P(e | t) = (both + k P(e)) / (df + k) is smoothed by
+``smoothing`` sections, so every entity is judged, and a term says more the oftener it was seen with it. Of terms that reach
+``generalise`` in a section of the entity, every occurrence in the whole document is a span of kind ``term``; in the
+sanitised text it becomes its class (name, capitals, code, number of its digits, word), and from ``remove`` on it is left out.
 
-Pairs are windows around matches, so they grow with the matches; all counts are pre-aggregated before a shuffle.
+Pairs are within sections, so they grow with the text, and are counted before a shuffle.
 
-Defined results: a null text counts as empty; entities in fewer than ``support`` documents reveal too little of the
-corpus to judge and get no term spans; repeated rows count as often as they occur and have equal results; an empty
-table gives an empty result; other columns are left out.
+Defined results: a null text counts as empty; words that overlap a match are no terms; terms have any length and ignore
+case; an entity in every section reveals nothing; rows with equal id and text have equal results and count as often as
+they occur, a null id is an id of its own; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -19,22 +21,23 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import map_texts, staged, text_of
-from wickwork.llm.spans import joined, personal, replaced, sha256
+from wickwork.llm.common import map_texts, sliced, staged, text_of
+from wickwork.llm.spans import joined, personal, replaced
 
 KINDS = ("email", "ip", "card", "phone", "term")
-_TERM = re.compile(r"[^\W_]{4,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class DisclosureOptions:
-    reach: int = 8
-    support: int = 5
-    generalise: float = 0.8
-    remove: float = 0.95
+    #: Words of a section: what one entity's pairs are bounded by.
+    section: int = 256
+    smoothing: float = 1.0
+    generalise: float = 0.85
+    remove: float = 0.97
     #: Parts that a hot (entity, term) pair is dealt to.
     salts: int = 16
 
@@ -43,50 +46,55 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]+', '', value)}"
 
 
-def contexts(text: str, spans, reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the ``reach`` words before and after each span, without those in a span."""
-    out = []
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        near, size = [], 64 * reach
-        while True:  # enough text before the span for ``reach`` whole words
-            begin = max(0, a - size)
-            near = [m for m in _TERM.finditer(text, begin, a) if m.start() > begin or begin == 0]
-            if len(near) >= reach or begin == 0:
-                break
-            size *= 4
-        after = []
-        for m in _TERM.finditer(text, b):
-            after.append(m)
-            if len(after) == reach:
-                break
-        for m in [*near[-reach:], *after]:
-            if not any(x < m.end() and m.start() < y for x, y in taken):
-                out.append((name, m[0].lower(), m.start(), m.end()))
-    return out
-
-
-def scan(docs: DataFrame, o: DisclosureOptions, carry: tuple[str, ...] = ("doc_id", "node")) -> DataFrame:
-    """The columns ``carry``, the base spans, and the contexts around them, of every row."""
+def sections(text: str, spans, size: int) -> list[dict]:
+    """The sections of a text: entities (distinct) and occurrences of terms (term, start, end), in one sweep over words and spans."""
+    out: list[dict] = [{"entities": set(), "terms": []}]
+    todo = sorted((a, b, k) for k, a, b in spans)
+    at = words = covered = 0
+    for m in _TERM.finditer(text):
+        if words == size:
+            out.append({"entities": set(), "terms": []})
+            words = 0
+        while at < len(todo) and todo[at][0] < m.end():
+            a, b, kind = todo[at]
+            out[-1]["entities"].add(entity(kind, text[a:b]))
+            covered, at = max(covered, b), at + 1
+        words += 1
+        if m.start() >= covered:
+            out[-1]["terms"].append({"term": m[0].lower(), "start": m.start(), "end": m.end()})
+    return [{"entities": sorted(s["entities"]), "terms": s["terms"]} for s in out]
+
+
+def n_sections(words: int, size: int) -> int:
+    return max(1, -(-words // size))
+
+
+def identity() -> Column:
+    """Equal for rows of equal id and text alone."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit(":"), F.md5(text_of().cast("binary")))
+
+
+def scan(docs: DataFrame, o: DisclosureOptions) -> DataFrame:
+    """doc_id, key, the counts, base spans, and, where there are any, the sections of every row."""
 
     def make():
-        kind = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        term = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        kind = pa.list_(pa.struct([("entities", pa.list_(pa.string())), ("terms", pa.list_(term))]))
 
         def work(texts):
             base = [personal(t) for t in texts]
-            near = [[dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in contexts(t, b, o.reach)] if b else [] for t, b in zip(texts, base, strict=True)]
+            near = [sections(t, b, o.section) if b else [] for t, b in zip(texts, base, strict=True)]
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS[:4]]
             return [*counts, pa.array([joined(b, KINDS) for b in base], pa.string()), pa.array(near, kind)]
 
         return work
 
-    fields = "n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:int,end:int>>"
-    return map_texts(docs.withColumn("node", F.md5(text_of().cast("binary"))), make, fields, carry)
+    fields = "n_email long, n_ip long, n_card long, n_phone long, base string, sections array<struct<entities:array<string>,terms:array<struct<term:string,start:int,end:int>>>>"
+    return map_texts(docs.withColumn("key", identity()), make, fields, ("doc_id", "key"))
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df: documents that hold the term, counted per task before the shuffle."""
+def term_frequencies(docs: DataFrame, o: DisclosureOptions) -> DataFrame:
+    """term, df: sections that hold the term, counted per task before the shuffle; the term "" counts all sections."""
 
     def run(batches):
         from collections import Counter
@@ -97,44 +105,54 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "df"])
             counts.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for t in batch.column("text").to_pylist():
-                counts.update(set(_TERM.findall((t or "").lower())))
-                if len(counts) > 400_000:
-                    yield from out()
+                words = _TERM.findall((t or "").lower() if (t or "").isascii() else " ".join(w.lower() for w in _TERM.findall(t or "")))
+                for at in range(0, len(words), o.section):
+                    counts.update(set(words[at : at + o.section]))
+                counts[""] += n_sections(len(words), o.section)
+            if len(counts) > 200_000:
+                yield from out()
         yield from out()
 
     return docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def _pairs(scanned: DataFrame) -> DataFrame:
+    """key, entity, term: once for each section that holds both."""
+    one = scanned.select("key", F.explode("sections").alias("s")).filter(F.size("s.entities") > 0)
+    terms = F.array_distinct(F.transform("s.terms", lambda t: t["term"]))
+    return one.select("key", terms.alias("terms"), F.explode("s.entities").alias("entity")).select("key", "entity", F.explode("terms").alias("term"))
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> DataFrame:
-    """entity, term, strength: the terms that reveal an entity to at least ``generalise``."""
-    total = docs.select(F.count("*").alias("n"))
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"], c["term"])))).alias("p")).groupBy("p").agg(F.count("*").alias("both")).filter(F.col("both") >= o.support).select("p.entity", "p.term", "both")
-    names = F.array_distinct(F.transform("near", lambda c: c["entity"]))
-    holders = scanned.select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count("*").alias("holders")).filter(F.col("holders") >= o.support)
-    joint = pairs.join(holders, "entity").join(term_frequencies(docs), "term").join(F.broadcast(total), F.lit(True))  # one row
-    pmi = F.log(F.col("n") * F.col("both") / (F.col("df") * F.col("holders")))
-    known = F.log(F.col("n") / F.col("holders"))
-    return joint.withColumn("strength", F.when(known > 1e-9, pmi / known).otherwise(F.lit(0.0))).filter(F.col("strength") >= o.generalise).select("entity", "term", "strength")
+    """entity, term, both, holders, df, strength: the terms that reveal an entity to at least ``generalise``."""
+    counts = staged(term_frequencies(docs, o), "term-frequencies")
+    total = counts.filter("term = ''").select(F.col("df").alias("n"))
+    both = _pairs(scanned).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    holders = scanned.select(F.explode("sections").alias("s")).select(F.explode("s.entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders"))
+    joint = both.join(holders, "entity").join(counts, "term").join(F.broadcast(total), F.lit(True))  # one row
+    p = F.col("holders") / F.col("n")
+    strength = F.log((F.col("both") + F.lit(o.smoothing) * p) / (F.col("df") + F.lit(o.smoothing)) / p) / -F.log(p)
+    strength = F.when(p < 1, strength).otherwise(F.lit(0.0))
+    return joint.withColumn("strength", strength).filter(F.col("strength") >= o.generalise).select("entity", "term", "both", "holders", "df", "strength")
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> DataFrame:
-    """doc_id, node, terms: the spans (start, end, strength) of revealing terms, for documents that have any."""
-    found = staged(disclosures(docs, scanned, o), "disclosures")
+    """key, terms: the spans (start, end, strength) of revealing terms, for documents that have any."""
+    found = disclosures(docs, scanned, o).select("entity", "term", "strength")
     dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))))
-    near = scanned.filter(F.size("near") > 0).select("doc_id", "node", F.explode("near").alias("c")).select("doc_id", "node", "c.*").withColumn("salt", F.pmod(F.xxhash64("doc_id", "node"), F.lit(o.salts)).cast("int"))
-    hits = near.join(dealt, ["entity", "term", "salt"])
-    one = hits.groupBy("doc_id", "node", "start", "end").agg(F.max("strength").alias("strength"))
-    return one.groupBy("doc_id", "node").agg(F.sort_array(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
+    pairs = _pairs(scanned).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(o.salts)).cast("int"))
+    hits = pairs.join(dealt, ["entity", "term", "salt"]).groupBy("key", "term").agg(F.max("strength").alias("strength"))
+    every = scanned.filter(F.size("sections") > 0).dropDuplicates(["key"]).select("key", F.explode("sections").alias("s")).select("key", F.explode("s.terms").alias("t")).select("key", "t.*")
+    return every.join(hits, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
 
 
 def find_pii(docs: DataFrame, options: DisclosureOptions | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans of every row of ``docs``."""
     o = options or DisclosureOptions()
     scanned = staged(scan(docs, o), "scanned")
-    terms = term_spans(docs, scanned, o)
-    rows = scanned.drop("near").withColumn("_id", F.coalesce("doc_id", F.lit(0))).join(terms.withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), ["_id", "node"], "left")
+    rows = scanned.drop("sections").join(term_spans(docs, scanned, o), "key", "left")
     start = lambda s: F.split(s, ":")[1].cast("int")
     base = F.filter(F.split("base", ","), lambda s: s != "")
     more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,strength:double>>")), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
@@ -145,26 +163,30 @@ def find_pii(docs: DataFrame, options: DisclosureOptions | None = None) -> DataF
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.size(more).cast("long").alias("n_term"), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def term_class(term: str) -> str:
+    """What a generalised term becomes."""
+    if term.isdigit():
+        return f"[number of {len(term)} digits]"
+    if any(c.isdigit() for c in term):
+        return "[code]"
+    return "[capitals]" if len(term) > 1 and term.isupper() else "[name]" if term[0].isupper() else "[word]"
+
+
 def sanitise(docs: DataFrame, options: DisclosureOptions | None = None) -> DataFrame:
     """doc_id and the sanitised text of every row: matches become their kind, terms their class or nothing."""
     o = options or DisclosureOptions()
     scanned = staged(scan(docs, o), "scanned")
-    terms = term_spans(docs, scanned, o)
-    rows = docs.select("doc_id", "text", F.md5(text_of().cast("binary")).alias("node"), F.coalesce("doc_id", F.lit(0)).alias("_id"))
-    rows = rows.join(terms.withColumn("_id", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), ["_id", "node"], "left")
+    rows = docs.select("doc_id", "text", identity().alias("key")).join(term_spans(docs, scanned, o), "key", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for t, more in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
                 t = t or ""
                 spans = [(a, b, f"[{k}]") for k, a, b in personal(t)]
-                spans += [(x["start"], x["end"], "" if x["strength"] >= o.remove else "[number]" if t[x["start"] : x["end"]].isdigit() else "[word]") for x in more or []]
+                spans += [(x["start"], x["end"], "" if x["strength"] >= o.remove else term_class(t[x["start"] : x["end"]])) for x in more or []]
                 out.append(replaced(t, spans))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return rows.select("doc_id", "text", "terms").mapInArrow(run, f"doc_id {kind}, text string")
-
-
-__all__ = ["DisclosureOptions", "disclosures", "find_pii", "sanitise", "scan", "sha256"]
