@@ -1,6 +1,11 @@
 """Corpus pipeline: language ID, quality rules, near-dedup, secret scans, packing.
 
 Each stage works on all that its predecessor kept. The first four return the columns of documents.
+
+Defined results: texts that are null, empty or without a letter go in the first stage, and all go where no language can be
+learned; null lang and source are groups of their own; a null doc_id is an id like others, of rows with equal id and text
+one stays; a null text that a later stage is given stays null up to packing, where it is the end id alone; empty tables
+give empty results; other columns are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -9,16 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text is kept if its best language has at least this share; an even guess among four has 0.25.
-MIN_LANGUAGE_SHARE = 0.35
+#: A text is kept if its best language has this many times the share of an even guess among the languages learned.
+MIN_LANGUAGE_LIFT = 1.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language in particular, go."""
     from wickwork.llm.language_id import identify, train
 
-    found = identify(docs, train(docs), COLUMNS)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
+    net = train(docs)
+    least = MIN_LANGUAGE_LIFT / len(net.langs) if net and len(net.langs) > 1 else 0.0
+    return identify(docs, net, COLUMNS).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

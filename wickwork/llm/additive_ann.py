@@ -1,18 +1,16 @@
 """Nearest neighbours by additive quantisation, for the largest inner product.
 
 Codebooks of full dimension are fitted one on the residuals of the others, on a bounded sample drawn by a hash of the
-id. Every row is encoded by a beam search over sums of codewords, and stores its codes and the ratio of its norm to
-its reconstruction's. A query scores codes by look-up tables of its inner products with the codewords; per task, the
-``shortlist`` best rows are scored again exactly on the original vectors, and the best ``k`` of each task meet in a
-merge. Queries go out in blocks of fixed size, each against all rows.
-
-Equal vectors share one code, and of them only the ``k + 1`` smallest ids can be among the nearest ``k``; a task holds
-those, so a vector that very many rows share costs no more than one.
+id. Equal vectors become one row, with the ``k + 1`` smallest of their ids: no others can be among the nearest ``k``. Every
+vector is encoded by a beam search over sums of codewords, and stores its codes and the ratio of its norm to its
+reconstruction's. A query scores codes alone, by look-up tables of its inner products with the codewords; the ``shortlist``
+best of all tasks meet in a window, and only those are joined with their vectors and scored exactly. Queries go out in
+blocks of fixed size, each against all codes.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite parts
 take no part; a query has fewer than ``k`` results if there are fewer candidates; ties go to the smaller id; rows that
-repeat a query's id count as the query itself, repeats of another id as one; an empty table gives an empty result;
-other columns are left out.
+repeat a query's id count as the query itself (with two vectors it asks with the smaller), repeats of another id as one; an empty table gives an empty result; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -29,13 +27,14 @@ from wickwork.llm.common import hash_share, share_for, staged
 @dataclass(frozen=True)
 class AdditiveOptions:
     k: int = 20
-    codebooks: int = 8
+    codebooks: int = 16
     codewords: int = 256
-    beam: int = 8
+    beam: int = 4
     #: Rows that the codebooks are fitted on, about.
     sample: int = 16_000
     rounds: int = 8
-    shortlist: int = 200
+    #: Vectors a query that are scored exactly, over all tasks.
+    shortlist: int = 400
     #: Queries a block.
     block: int = 4096
     seed: int = 5
@@ -116,7 +115,10 @@ def usable(col: str, size: int | None = None) -> Column:
 
 
 def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec: str = "embedding", id_: str = "vec_id") -> tuple[DataFrame, AdditiveQuantiser] | None:
-    """(vec_id, x, codes, ratio) of every usable row, written in the shared folder, and the quantiser."""
+    """(first, hash, ids, x, codes, ratio) of every distinct usable vector, written in the shared folder, and the quantiser.
+
+    ``first`` is the smallest of ``ids``; with the hash of the vector it names the row.
+    """
     import numpy as np
 
     o = options or AdditiveOptions()
@@ -133,6 +135,9 @@ def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec:
     x = np.array(drawn.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)[order]
     quantiser = AdditiveQuantiser.fit(np.unique(x, axis=0), o)
     held = vectors.sparkSession.sparkContext.broadcast(quantiser)
+    # The rank's limit is applied in each task before the shuffle, so a vector that very many rows share costs little.
+    least = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("x").orderBy("vec_id"))).filter(F.col("r") <= o.k + 1)
+    unique = least.groupBy("x").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("first"), F.xxhash64("x").alias("hash"), "ids", "x")
 
     def run(batches):
         q = held.value
@@ -142,93 +147,85 @@ def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec:
                 codes = q.encode(x)
                 near = np.sqrt((q.decode(codes).astype("f8") ** 2).sum(1))
                 ratio = np.where(near > 0, np.sqrt((x**2).sum(1)) / np.maximum(near, 1e-30), 1.0)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float64())], names=["vec_id", "x", "codes", "ratio"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float64())], names=["first", "hash", "ids", "x", "codes", "ratio"])
+
+    return staged(unique.mapInArrow(run, "first long, hash long, ids array<long>, x array<double>, codes binary, ratio double"), "codes"), quantiser
 
-    return staged(rows.mapInArrow(run, "vec_id long, x array<double>, codes binary, ratio double"), "codes"), quantiser
+
+def candidates(index: DataFrame, quantiser: AdditiveQuantiser, ids, q, o: AdditiveOptions) -> DataFrame:
+    """query_id, first, hash, approx: the best ``shortlist`` rows of each task by look-up tables, for a block of queries."""
+    import numpy as np
+
+    held = index.sparkSession.sparkContext.broadcast((ids, q.astype("f4"), quantiser.books))
+
+    def run(batches):
+        ids, q, books = held.value
+        tables = np.ascontiguousarray(np.einsum("qd,mkd->qmk", q, books, optimize=True))
+        best = [(np.zeros(0, "f4"), np.zeros((0, 2), "i8"))] * len(ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column("first").to_numpy(), batch.column("hash").to_numpy()], 1)
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "u1" if o.codewords <= 256 else "u2").reshape(len(names), -1)
+            columns, ratio = [codes[:, m].astype("i8") for m in range(codes.shape[1])], batch.column("ratio").to_numpy().astype("f4")
+            for k in range(len(ids)):
+                approx = tables[k, 0].take(columns[0])
+                for m in range(1, len(columns)):
+                    approx += tables[k, m].take(columns[m])
+                approx *= ratio
+                score, row = best[k]
+                at = np.arange(len(approx)) if len(score) < o.shortlist else np.flatnonzero(approx > score.min())
+                score, row = np.concatenate((score, approx[at])), np.concatenate((row, names[at]))
+                if len(score) > o.shortlist:
+                    top = np.argpartition(-score, o.shortlist - 1)[: o.shortlist]
+                    score, row = score[top], row[top]
+                best[k] = (score, row)
+        for s in range(0, len(ids), 256):
+            part = best[s : s + 256]
+            row = np.concatenate([r for _, r in part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[s : s + 256], [len(x) for x, _ in part])), pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(np.concatenate([x for x, _ in part]), pa.float32())], names=["query_id", "first", "hash", "approx"])
+
+    return index.select("first", "hash", "codes", "ratio").mapInArrow(run, "query_id long, first long, hash long, approx float")
 
 
 def search(index: DataFrame, quantiser: AdditiveQuantiser, queries: DataFrame, options: AdditiveOptions | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each of ``queries`` (query_id, x)."""
+    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each of ``queries`` (query_id, x).
+
+    Of a query id with several vectors the least vector is taken.
+    """
     import numpy as np
 
     o = options or AdditiveOptions()
     spark, d = index.sparkSession, quantiser.books.shape[2]
-    queries = staged(queries.dropDuplicates(["query_id"]), "queries")
+    queries = staged(queries.groupBy("query_id").agg(F.array_min(F.collect_set("x")).alias("x")), "queries")
     total = queries.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = -(-total // o.block)
-    books = spark.sparkContext.broadcast(quantiser.books)
-    parts = []
+    found = None
     for b in range(blocks):
-        got = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()  # about ``block`` rows
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        got = block.toArrow()  # about ``block`` rows
         if not got.num_rows:
             continue
-        ids = got.column("query_id").to_numpy()
-        held = spark.sparkContext.broadcast((ids, np.array(got.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)))
-
-        def run(batches, held=held):
-            ids, q = held.value
-            tables = np.einsum("qd,mkd->mkq", q.astype("f4"), books.value, optimize=True)
-            n, best = o.k + 1, None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec = batch.column("vec_id").to_numpy()
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "u1" if o.codewords <= 256 else "u2").reshape(len(vec), -1)
-                ratio = batch.column("ratio").to_numpy()
-                order = np.argsort(vec, kind="stable")
-                vec, x, codes, ratio = vec[order], x[order], codes[order], ratio[order]
-                # Rows of one vector: the n smallest ids of each, and the vector once.
-                _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
-                same = same.reshape(-1)
-                by = np.argsort(same, kind="stable")
-                by = by[np.concatenate(([True], (np.diff(same[by]) != 0) | (np.diff(vec[by]) != 0)))]  # an id once
-                start = np.searchsorted(same[by], np.arange(len(first)))
-                length = np.minimum(np.diff(np.append(start, len(by))), n)
-                ux, uc, ur = x[first], codes[first].astype("i8"), ratio[first].astype("f4")
-                found = []
-                for k in range(len(ids)):
-                    approx = tables[0, uc[:, 0], k].copy()
-                    for m in range(1, uc.shape[1]):
-                        approx += tables[m, uc[:, m], k]
-                    approx *= ur
-                    top = np.argpartition(-approx, o.shortlist)[: o.shortlist] if len(approx) > o.shortlist else np.arange(len(approx))
-                    exact = (ux[top] * q[k]).sum(1)
-                    keep = np.argsort(-exact, kind="stable")
-                    # Enough vectors for n ids, and all that tie with the last of them.
-                    upto = min(len(keep), n)
-                    while upto < len(keep) and exact[keep[upto]] == exact[keep[upto - 1]]:
-                        upto += 1
-                    keep = keep[:upto]
-                    reps = length[top[keep]]
-                    at = np.repeat(start[top[keep]], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-                    rows, score = vec[by[at]], np.repeat(exact[keep], reps)
-                    other = rows != ids[k]
-                    rows, score = rows[other], score[other]
-                    order = np.lexsort((rows, -score))[: o.k]
-                    found.append((rows[order], score[order]))
-                if best is None:
-                    best = found
-                else:
-                    for k, (rows, score) in enumerate(found):
-                        rows, score = np.concatenate((best[k][0], rows)), np.concatenate((best[k][1], score))
-                        order = np.lexsort((rows, -score))
-                        fresh = np.concatenate(([True], np.diff(rows[order]) != 0))
-                        order = order[fresh][: o.k]
-                        best[k] = (rows[order], score[order])
-            if best:
-                count = [len(r) for r, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.concatenate([r for r, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "score"])
-
-        parts.append(staged(index.mapInArrow(run, "query_id long, vec_id long, score double"), "found"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        x = np.array(got.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)
+        near = candidates(index, quantiser, got.column("query_id").to_numpy(), x, o)
+        w = Window.partitionBy("query_id").orderBy(F.desc("approx"), "first", "hash")
+        short = staged(near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= o.shortlist).select("query_id", "first", "hash"), "shortlist")
+        asked = F.broadcast(block.withColumnRenamed("x", "q"))  # about ``block`` rows
+        exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        scored = short.join(index.select("first", "hash", "ids", "x"), ["first", "hash"]).join(asked, "query_id").select("query_id", "ids", exact.alias("score"))
+        rows = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").filter(F.col("vec_id") != F.col("query_id"))
+        part = staged(_nearest_of(rows, o.k), "found")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _nearest_of(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` best rows (query_id, vec_id, score) of each query; an id counts once."""
+    one = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= o.k).select("query_id", "rank", "vec_id", "score")
+    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, options: AdditiveOptions | None = None, every: int = 20) -> DataFrame:
@@ -237,5 +234,6 @@ def nearest(vectors: DataFrame, options: AdditiveOptions | None = None, every: i
     if built is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, quantiser = built
-    queries = index.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "x")
+    usable_rows = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding", quantiser.books.shape[2]) & (F.pmod("vec_id", F.lit(every)) == 0))
+    queries = usable_rows.select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return search(index, quantiser, queries, options)

@@ -1,9 +1,9 @@
 """Quality classifier: zstandard dictionaries of good and bad labelled text.
 
-Every text is compressed in fixed chunks with either dictionary. The difference of the two sizes over their sum, with
-the compressed share of the text, goes through a logistic curve fitted on labelled texts that the dictionaries were
-not built from. Labels are drawn by a hash of the id, at most about ``per_class`` a class, so the driver holds a
-bounded sample at any input size; every row is scored over its whole text.
+Every text is compressed in short chunks with either dictionary. The difference of the two sizes over their sum goes
+through a logistic curve (of the difference and its square) fitted on labelled texts that the dictionaries were not built
+from. Labelled rows are drawn by a hash of the id, about ``per_class`` a class, so the driver holds a bounded number of
+whole texts at any input size; every row is scored over its whole text.
 
 Defined results: a null or empty text is one empty chunk; a null doc_id is not held out and not learned from; with
 one class or none labelled the score is the smoothed share of good labels; repeated labels count as often as they
@@ -24,14 +24,11 @@ from wickwork.llm.common import hash_share, id_crc, map_texts, share_for
 
 @dataclass(frozen=True)
 class CompressionOptions:
-    chunk: int = 1024
-    dictionary: int = 16_384
+    chunk: int = 128
+    dictionary: int = 112_640
     level: int = 3
-    #: Labelled documents a class, and chunks of each that go into a dictionary.
+    #: Labelled documents a class: half go into its dictionary, half into the curve.
     per_class: int = 1500
-    chunks_each: int = 8
-    #: Bytes of one training text taken from evenly spaced places, where it is longer.
-    train_bytes: int = 32_768
     threshold: float = 0.3
 
 
@@ -45,7 +42,7 @@ class CompressionModel:
 
     def __init__(self, good: bytes, bad: bytes, options: CompressionOptions):
         self.good, self.bad, self.o = good, bad, options
-        self.mean, self.scale, self.weights = [0.0] * 5, [1.0] * 5, [0.0] * 6
+        self.mean, self.scale, self.weights = [0.0] * 2, [1.0] * 2, [0.0] * 3
 
     def compressors(self):
         import zstandard
@@ -59,11 +56,11 @@ class CompressionModel:
         return out
 
     def features(self, text: str, pair) -> list[float]:
-        good = bad = size = 0
+        good = bad = 0
         for c in chunks(text, self.o.chunk):
-            good, bad, size = good + len(pair[0].compress(c)), bad + len(pair[1].compress(c)), size + len(c)
-        d, r = (bad - good) / (bad + good), math.log((good + bad + 1) / (2 * size + 1))
-        return [d, d * d, r, r * r, d * r]
+            good, bad = good + len(pair[0].compress(c)), bad + len(pair[1].compress(c))
+        d = (bad - good) / (bad + good)
+        return [d, d * d]
 
     def fit(self, rows: list[list[float]], labels: list[int]) -> None:
         """Logistic regression on standardised features, by Newton steps with a small ridge."""
@@ -98,13 +95,11 @@ def train(docs: DataFrame, labels: DataFrame, options: CompressionOptions) -> Co
         return (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
     limit = F.when(F.col("quality") == 0, F.lit(share[0])).otherwise(F.lit(share[1]))
     drawn = usable.filter(hash_share(F.col("doc_id")) < limit).limit(8 * o.per_class)
-    t, step = F.coalesce(F.col("text"), F.lit("")), o.train_bytes // 4
-    spread = F.when(F.length(t) <= o.train_bytes, t).otherwise(F.concat(*(F.substring(t, F.floor(F.length(t) * k / 4).cast("int") + 1, F.lit(step)) for k in range(4))))
-    rows = docs.select("doc_id", spread.alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").limit(16 * o.per_class).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text").limit(16 * o.per_class).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     parts: dict[int, list[bytes]] = {0: [], 1: []}
     for r in rows[::2]:
-        parts[r["quality"]] += chunks(r["text"], o.chunk)[: o.chunks_each]
+        parts[r["quality"]] += chunks(r["text"], o.chunk)
 
     def dictionary(samples: list[bytes]) -> bytes:
         try:

@@ -2,10 +2,11 @@
 
 A text is lower-cased and cut into fixed windows of UTF-8 bytes. Filters of several widths run over each window, the
 largest response of each filter is kept, and a softmax layer gives a share per language; a text's shares are the mean
-over all of its windows. Training rows are drawn by a hash of the id, about ``per_lang`` a language.
+over all of its windows. Training rows are drawn by a hash of the id, about ``per_lang`` a language; each epoch learns from
+windows drawn anew from anywhere in their whole texts.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; a null doc_id is not held out and not
-learned from; languages beyond the ``max_langs`` most frequent are not learned; with no labelled row every text is
+learned from; every other lang value is learned; with no labelled row every text is
 ``und``; repeated rows give repeated results; an empty table gives an empty result; other columns are left out.
 """
 
@@ -27,9 +28,8 @@ class ByteCnnOptions:
     filters: int = 12
     window: int = 256
     per_lang: int = 600
-    max_langs: int = 64
-    #: Bytes of a training text from four evenly spaced places, where it is longer.
-    train_chars: int = 1024
+    #: Windows drawn from each training text in an epoch.
+    draws: int = 4
     epochs: int = 10
     batch: int = 64
     rate: float = 0.02
@@ -111,18 +111,23 @@ class ByteCnn:
 
         return shares
 
-    def fit(self, x, y) -> None:
-        """Adam on the cross entropy; a filter learns at the place of its largest response alone."""
+    def fit(self, texts: list, labels: list[int]) -> None:
+        """Adam on the cross entropy of windows drawn from ``texts`` (arrays of windows).
+
+        A filter learns at the place of its largest response alone.
+        """
         import numpy as np
 
         o, rng = self.o, np.random.default_rng(self.o.seed)
         params = [*self.tables, self.bias, self.out, self.base]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step = 0
+        step, x, count = 0, np.concatenate(texts), np.array([len(t) for t in texts])
+        first_of, y = np.cumsum(count) - count, np.repeat(np.array(labels), o.draws)
         for _ in range(o.epochs):
-            order = rng.permutation(len(x))
-            for s in range(0, len(x), o.batch):
-                xb, yb = x[order[s : s + o.batch]], y[order[s : s + o.batch]]
+            drawn = (first_of[:, None] + rng.integers(0, count[:, None], (len(count), o.draws))).ravel()
+            order = rng.permutation(len(drawn))
+            for s in range(0, len(drawn), o.batch):
+                xb, yb = x[drawn[order[s : s + o.batch]]], y[order[s : s + o.batch]]
                 h, at = self.responses(xb)
                 z = h @ self.out + self.base
                 e = np.exp(z - z.max(1, keepdims=True))
@@ -148,26 +153,22 @@ class ByteCnn:
 
 def train(docs: DataFrame, options: ByteCnnOptions | None = None) -> ByteCnn | None:
     """A network, or None where no row can be learned from."""
-    import numpy as np
-
     o = options or ByteCnnOptions()
     usable = docs.filter(F.col("lang").isNotNull() & (F.pmod(id_crc(), F.lit(4)) != 2)).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(o.max_langs).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not counts:
         return None
     limit = F.lit(0.0)
     for r in counts:
         limit = F.when(F.col("lang") == r["lang"], F.lit(share_for(o.per_lang, r["n"]))).otherwise(limit)
-    t = F.coalesce(F.col("text"), F.lit(""))
-    spread = F.when(F.length(t) <= o.train_chars, t).otherwise(F.concat(*(F.substring(t, F.floor(F.length(t) * k / 4).cast("int") + 1, F.lit(o.train_chars // 4)) for k in range(4))))
-    drawn = usable.filter(hash_share(F.col("doc_id")) < limit).select("doc_id", "lang", spread.alias("text"))
+    drawn = usable.filter(hash_share(F.col("doc_id")) < limit).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     rows = drawn.limit(3 * o.per_lang * len(counts)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     net = ByteCnn(sorted(r["lang"] for r in counts), o)
     parts = [(net.windows(r["text"]), net.langs.index(r["lang"])) for r in rows if any(c.isalpha() for c in r["text"])]
     if not parts:
         return None
-    net.fit(np.concatenate([p[0] for p in parts]), np.concatenate([np.full(len(p[0]), p[1]) for p in parts]))
+    net.fit([p[0] for p in parts], [p[1] for p in parts])
     return net
 
 

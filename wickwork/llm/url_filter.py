@@ -11,7 +11,7 @@ The tree is built level by level over distinct (host, path shape) rows, never ov
 
 Levels go on until no branch point has two children left, at any depth. Labels are the rules' verdicts. A node's purity,
 its share of blocked urls, is smoothed towards its parent's as by ``prior_weight`` urls, the root's towards that of all
-labelled urls, each label counted once on the way; a template without labels so takes that of the branch above. From ``purity`` on a template is rejected.
+labelled urls or one half, whichever is less (no host goes for what others are), each label counted once on the way; a template without labels so takes that of the branch above. From ``purity`` on a template is rejected.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed by the method's default if
 no such url is labelled; without any label every purity is 0; repeated rows count as often as they occur; an empty table
@@ -151,7 +151,7 @@ def template_purity(templates: DataFrame, o: TemplateOptions) -> DataFrame:
     less = lambda x, i, c: x[c] - F.coalesce(F.get("path", i + 1)[c], F.lit(0))
     own = F.transform("path", lambda x, i: F.struct(less(x, i, "lab").alias("lab"), less(x, i, "bad").alias("bad")))
     step = lambda p, x: (x["bad"] + o.prior_weight * p) / (x["lab"] + o.prior_weight)
-    purity = F.aggregate(own, F.coalesce(F.col("all_bad") / F.col("all_lab"), F.lit(0.0)), step)
+    purity = F.aggregate(own, F.coalesce(F.least(F.lit(0.5), F.col("all_bad") / F.col("all_lab")), F.lit(0.0)), step)
     return along.select("host", "template", "n", "n_lab", purity.alias("purity"))
 
 
