@@ -38,8 +38,10 @@ class DisclosureOptions:
     smoothing: float = 1.0
     generalise: float = 0.85
     remove: float = 0.97
-    #: Parts that a hot (entity, term) pair is dealt to.
-    salts: int = 16
+    #: Sections from which on an (entity, term) pair is hot: such pairs, few for any input, are broadcast.
+    hot: int = 20_000
+    #: Entities (about 60 bytes each) that are broadcast at most.
+    broadcast_rows: int = 50_000
 
 
 def entity(kind: str, value: str) -> str:
@@ -70,8 +72,8 @@ def n_sections(words: int, size: int) -> int:
 
 
 def identity() -> Column:
-    """Equal for rows of equal id and text alone."""
-    return F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit(":"), F.md5(text_of().cast("binary")))
+    """A digest, equal for rows of equal id and text alone."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit(":"), text_of()).cast("binary")))
 
 
 def scan(docs: DataFrame, o: DisclosureOptions) -> DataFrame:
@@ -131,7 +133,9 @@ def disclosures(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> Da
     total = counts.filter("term = ''").select(F.col("df").alias("n"))
     both = _pairs(scanned).groupBy("entity", "term").agg(F.count("*").alias("both"))
     holders = scanned.select(F.explode("sections").alias("s")).select(F.explode("s.entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders"))
-    joint = both.join(holders, "entity").join(counts, "term").join(F.broadcast(total), F.lit(True))  # one row
+    holders = staged(holders, "holders")
+    few = F.broadcast if holders.count() <= o.broadcast_rows else (lambda x: x)
+    joint = both.join(few(holders), "entity").join(counts, "term").join(F.broadcast(total), F.lit(True))  # one row
     p = F.col("holders") / F.col("n")
     strength = F.log((F.col("both") + F.lit(o.smoothing) * p) / (F.col("df") + F.lit(o.smoothing)) / p) / -F.log(p)
     strength = F.when(p < 1, strength).otherwise(F.lit(0.0))
@@ -140,12 +144,24 @@ def disclosures(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> Da
 
 def term_spans(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> DataFrame:
     """key, terms: the spans (start, end, strength) of revealing terms, for documents that have any."""
-    found = disclosures(docs, scanned, o).select("entity", "term", "strength")
-    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))))
-    pairs = _pairs(scanned).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(o.salts)).cast("int"))
-    hits = pairs.join(dealt, ["entity", "term", "salt"]).groupBy("key", "term").agg(F.max("strength").alias("strength"))
-    every = scanned.filter(F.size("sections") > 0).dropDuplicates(["key"]).select("key", F.explode("sections").alias("s")).select("key", F.explode("s.terms").alias("t")).select("key", "t.*")
-    return every.join(hits, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
+    found = staged(disclosures(docs, scanned, o).select("entity", "term", "both", "strength"), "disclosures")
+    pairs, pair = _pairs(scanned), ["entity", "term"]
+    hot = F.broadcast(found.filter(F.col("both") > o.hot).drop("both"))
+    rest = pairs.join(hot.select(*pair), pair, "left_anti").join(found.filter(F.col("both") <= o.hot).drop("both"), pair)
+    hits = pairs.join(hot, pair).unionByName(rest).groupBy("key", "term").agg(F.max("strength").alias("strength"))
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("term", "strength")).alias("hits"))
+    every = scanned.filter(F.size("sections") > 0).groupBy("key").agg(F.first(F.flatten(F.transform("sections", lambda s: s["terms"]))).alias("terms"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("strength", pa.float64())]))
+
+    def run(batches):
+        for batch in sliced(batches):
+            out = []
+            for terms, hit in zip(batch.column("terms").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+                strength = {h["term"]: h["strength"] for h in hit}
+                out.append([{"start": t["start"], "end": t["end"], "strength": strength[t["term"]]} for t in terms if t["term"] in strength])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, kind)], names=["key", "terms"])
+
+    return every.join(hits, "key").select("key", "terms", "hits").mapInArrow(run, "key binary, terms array<struct<start:int,end:int,strength:double>>")
 
 
 def find_pii(docs: DataFrame, options: DisclosureOptions | None = None) -> DataFrame:
