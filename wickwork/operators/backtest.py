@@ -27,7 +27,8 @@ def as_of_rows(state: DataFrame, options: EngineOptions | None = None, start=Non
 def simulate(plans: DataFrame, candles: DataFrame, default_horizon: int = 40) -> DataFrame:
     """``plans`` (series, ts, rn, direction, plan) with result, exit_price, exit_ts, holding_days, r_multiple.
 
-    Each later candle inside the horizon is tested for the stop first, then the third, second and first target.
+    Each later candle inside the horizon is tested for the stop first, then the third, second and first target. Plans are
+    dealt to the numbers of those candles, so the join is on equality and grows with plans times horizon.
     """
     horizon = F.when(F.col("duration_days").isNotNull(), F.greatest(F.lit(1), F.ceil(F.col("duration_days") * 5 / 7).cast("int"))).otherwise(default_horizon)
     p = plans.withColumn("_h", horizon)
@@ -38,7 +39,7 @@ def simulate(plans: DataFrame, candles: DataFrame, default_horizon: int = 40) ->
     kind = F.when(stopped, "HitStop").when(hit("target3"), "HitTarget3").when(hit("target2"), "HitTarget2").when(hit("target1"), "HitTarget1")
     price = F.when(kind == "HitStop", F.col("stop_loss")).when(kind == "HitTarget3", F.col("target3")).when(kind == "HitTarget2", F.col("target2")).when(kind == "HitTarget1", F.col("target1"))
     keys = [*SERIES, "ts"]
-    ahead = p.select(*keys, "rn", "_h", "direction", "stop_loss", "target1", "target2", "target3").join(bars, SERIES).filter((F.col("b_rn") > F.col("rn")) & (F.col("b_rn") <= F.col("rn") + F.col("_h")))
+    ahead = p.select(*keys, "rn", "_h", "direction", "stop_loss", "target1", "target2", "target3").withColumn("b_rn", F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + F.col("_h")))).join(bars, [*SERIES, "b_rn"])
     ahead = ahead.withColumns({"_kind": kind, "_price": price})
     end = F.struct(F.lit("TimedOut").alias("k"), F.col("b_close").alias("p"), F.col("b_ts").alias("t"), F.col("b_rn").alias("r"))
     exit_ = F.when(F.col("_kind").isNotNull(), F.struct(F.col("_kind").alias("k"), F.col("_price").alias("p"), F.col("b_ts").alias("t"), F.col("b_rn").alias("r")))

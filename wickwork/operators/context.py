@@ -23,7 +23,7 @@ def quality_columns(bars: DataFrame, o: QualityOptions) -> DataFrame:
 def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
     """series, day: days of ``calendar`` (day) inside a series' first and last candle that have none."""
     span = candles.groupBy(*SERIES).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    expected = span.join(calendar.select("day"), F.col("day").between(F.col("a"), F.col("b"))).select(*SERIES, "day")
+    expected = span.select(*SERIES, F.explode(F.sequence("a", "b")).alias("day")).join(calendar.select("day").distinct(), "day").select(*SERIES, "day")
     return expected.join(candles.select(*SERIES, F.col("ts").alias("day")), [*SERIES, "day"], "left_anti")
 
 

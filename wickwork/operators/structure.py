@@ -133,20 +133,37 @@ def zones(frame: DataFrame) -> DataFrame:
 
 
 def with_mitigation(zone_rows: DataFrame, frame: DataFrame) -> DataFrame:
-    """Adds the first later candle that trades into each zone (partial_rn) and that covers it (full_rn)."""
+    """Adds the first later candle that trades into each zone (partial_rn) and that covers it (full_rn).
+
+    Blocks of candles whose extremes rule a zone out are passed over, so a zone costs a look at each block and at the
+    candles of the blocks that may hold its hit.
+    """
     import numpy as np
     import pyarrow as pa
 
+    block = 256
+
     def run(z: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("rn")
         rn, high, low = (b.column(x).to_numpy() for x in ("rn", "high", "low"))
+        edges = np.arange(0, len(rn), block)
+        tops, bottoms = (np.maximum.reduceat(high, edges), np.minimum.reduceat(low, edges)) if len(rn) else (high, low)
+
+        def first(start: int, under: float, over: float):
+            """The first candle from ``start`` on with low <= under and high >= over."""
+            k = start // block
+            for j in (k + np.flatnonzero((bottoms[k:] <= under) & (tops[k:] >= over))).tolist():
+                at = max(start, j * block)
+                hit = np.flatnonzero((low[at : (j + 1) * block] <= under) & (high[at : (j + 1) * block] >= over))
+                if len(hit):
+                    return int(rn[at + hit[0]])
+            return None
+
         partial, full = [], []
         for at, up, down in zip(z.column("created_rn").to_pylist(), z.column("upper").to_pylist(), z.column("lower").to_pylist(), strict=True):
             s = int(np.searchsorted(rn, at, "right"))
-            covers = np.flatnonzero((low[s:] <= down) & (high[s:] >= up))
-            touches = np.flatnonzero((low[s:] <= up) & (high[s:] >= down))
-            full.append(int(rn[s + covers[0]]) if len(covers) else None)
-            partial.append(int(rn[s + touches[0]]) if len(touches) else None)
+            full.append(first(s, down, up))
+            partial.append(first(s, up, down))
         return z.append_column("partial_rn", pa.array(partial, pa.int32())).append_column("full_rn", pa.array(full, pa.int32()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in zone_rows.schema.fields)

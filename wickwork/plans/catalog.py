@@ -183,11 +183,12 @@ def _thinned(spark, d):
     return c.filter((F.col("symbol_id") * 31 + F.datediff("ts", F.lit("1990-01-01"))) % 50 != 0)
 
 
-_THIN = f"{O.CANDLES}, d2 as materialized (select symbol_id, timeframe, ts, case when symbol_id % 9 = 0 and dayofmonth(ts) > 6 then 0 else volume end volume from c where (symbol_id*31 + (ts - date '1990-01-01')) % 50 <> 0), cal as (select distinct ts as day from c where symbol_id = 1)"
+_THIN = f"{O.CANDLES}, d2 as materialized (select symbol_id, timeframe, ts, case when symbol_id % 9 = 0 and dayofmonth(ts) > 6 then 0 else volume end volume from c where (symbol_id*31 + (ts - date '1990-01-01')) % 50 <> 0), cal as (select distinct ts as day from c)"
 
 
 def _calendar(spark, d):
-    return derived.daily_candles(spark, d).filter("symbol_id = 1").select(F.col("ts").alias("day")).distinct()
+    """Every day on which any symbol was traded."""
+    return derived.daily_candles(spark, d).select(F.col("ts").alias("day")).distinct()
 
 
 @_add("missing_days", O.q(_THIN, "select s.symbol_id, s.timeframe, cal.day from (select symbol_id, timeframe, min(ts) a, max(ts) z from d2 group by all) s join cal on cal.day between s.a and s.z where not exists (select 1 from d2 where d2.symbol_id = s.symbol_id and d2.ts = cal.day)"))
@@ -235,9 +236,14 @@ def relative_strength(spark, d):
     return _rounded(context.relative_strength(daily, derived.benchmark_candles(daily)), "rs_short", "rs_long")
 
 
+def _daily(spark, d):
+    """The daily candles and their index, each written once: both are read from many sides."""
+    daily = staged(derived.daily_candles(spark, d), "candles")
+    return daily, staged(derived.benchmark_candles(daily), "index")
+
+
 def _state(spark, d):
-    daily = derived.daily_candles(spark, d)
-    return decision.state_frame(daily, derived.benchmark_candles(daily))
+    return decision.state_frame(*_daily(spark, d))
 
 
 def _last(state: DataFrame) -> DataFrame:
@@ -270,8 +276,8 @@ def decision_as_wired(spark, d):
     """Decisions when structure and metrics do not know the candle's own ATR and volume mean."""
     from wickwork.config import EngineOptions, StructureOptions
 
-    daily, o = derived.daily_candles(spark, d), EngineOptions(structure=StructureOptions(mode="as_wired"))
-    s, _ = decision.state_frame(daily, derived.benchmark_candles(daily), o)
+    o = EngineOptions(structure=StructureOptions(mode="as_wired"))
+    s, _ = decision.state_frame(*_daily(spark, d), o)
     return _rounded(decision.decide(s, o), "confidence").select("symbol_id", "ts", "direction", "hard_gate_failed", "confidence", "outcome")
 
 
@@ -309,8 +315,8 @@ _SCAN_OUT = "symbol_id, ts, direction, outcome, " + ", ".join(f"{O.r4(c)} {c}" f
 
 
 def _scanned(spark, d):
-    daily = derived.daily_candles(spark, d)
-    return scan.stage1(daily, derived.benchmark_candles(daily)), daily
+    daily, index = _daily(spark, d)
+    return scan.stage1(daily, index), daily
 
 
 @_add("scan_stage1", O.q(_SCAN_SQL, f"select {_SCAN_OUT}, excluded from sc"))
@@ -328,10 +334,8 @@ _RANK = "row_number() over (order by confidence desc, score_momentum desc, score
 
 @_add("scan_ranked", O.q(f"{_SCAN_SQL}, sh as (select * from sc where not excluded order by confidence desc, symbol_id limit 30)", f"select {_SCAN_OUT}, cast({_RANK} as integer) rank from sh"))
 def scan_ranked(spark, d):
-    from wickwork.sources.derived import daily_candles
-
     s, daily = _scanned(spark, d)
-    listed = scan.stage2(scan.shortlist(s), daily, bars.resample(daily_candles(spark, d)))
+    listed = scan.stage2(staged(scan.shortlist(s), "shortlist"), daily, bars.resample(daily))
     return _rounded(scan.ranked(listed), *_SCAN_COLS).select("symbol_id", "ts", "direction", "outcome", *_SCAN_COLS, "rank")
 
 
@@ -369,8 +373,7 @@ _TRADE_COLS = ("confidence", "entry", "stop_loss", "target1", "target2", "target
 
 
 def _trades(spark, d):
-    daily = derived.daily_candles(spark, d)
-    return backtest.trades(daily, derived.benchmark_candles(daily))
+    return backtest.trades(*_daily(spark, d))
 
 
 @_add("backtest_trades", O.q(f"{_DECIDED}, {O.TRADES}", "select symbol_id, ts, outcome, direction, result, exit_ts, cast(holding as bigint) holding_days, " + ", ".join(f"{O.r4(c)} {c}" for c in _TRADE_COLS) + " from (select *, close entry, stop stop_loss, abs(target1 - close)/risk risk_reward, r r_multiple from trd)"))
