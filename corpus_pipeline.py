@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language ID", language_id), ("quality rules", quality_rules), ("near-dedup", near_dedup), ("secret scans", secret_scan), ("packing", packing)]
-#: A trained network and consistent samples are no SQL; the tests hold run() against a plain version.
+#: A trained network and consistent samples are no SQL; tests/llm hold each stage's operator against a plain version.
 ORACLE_SQL = None
 
 

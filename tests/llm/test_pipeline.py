@@ -32,3 +32,19 @@ def test_secrets_are_gone(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.secret_scan(spark, docs, SF).collect()}
     assert "abcdefghijkl1234" not in got[1]["text"] and got[1]["n_chars"] == len(got[1]["text"])
     assert (got[2]["text"], got[3]["text"], got[3]["n_chars"]) == ("nothing here", None, None)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Null and empty texts, null ids, languages and sources, repeated rows, and clashing columns."""
+    text = "the cat sat on a mat by the door of that house"
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (None, text, "en", "a", 46), (4, text, "de", "b", 46), (4, text, "de", "b", 46)]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, node string")
+    kept = {"language ID": 3, "quality rules": 0, "near-dedup": 3, "secret scans": 5}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert set(out.columns) == set(corpus_pipeline.COLUMNS), name
+        assert out.count() == kept[name], name
+        assert stage(spark, docs.filter("false"), SF).count() == 0, name
+    pieces = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert len(pieces) == 5 and sum(r["length"] == 1 for r in pieces) == 2
+    assert corpus_pipeline.packing(spark, docs.filter("false"), SF).count() == 0
