@@ -3,8 +3,8 @@
 Each stage works on all that its predecessor kept. The first four return the columns of documents.
 
 Defined results: texts that are null, empty or without a letter go in the first stage, and all go where no language can be
-learned; null lang and source are groups of their own; a null doc_id is an id like others, of rows with equal id and text
-one stays; a null text that a later stage is given stays null up to packing, where it is the end id alone; empty tables
+learned; null lang and source are groups of their own; of rows with equal id and text near-dedup keeps one, and it keeps
+rows with a null doc_id, which no class can name; a null text that a later stage is given stays null up to packing, where it is the end id alone; empty tables
 give empty results; other columns are left out, so their names cannot clash.
 """
 
