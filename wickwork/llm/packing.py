@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.common import sliced, staged, worker_state
 
-#: Words of one generation of the cache, and characters of a word that is kept: some 40 MB in two generations.
-CACHE_WORDS = 100_000
+#: Words of one generation of the cache, and characters of a word that is kept: some 250 MB a worker in two generations.
+CACHE_WORDS = 800_000
 CACHE_CHARS = 64
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
