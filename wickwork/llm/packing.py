@@ -23,6 +23,8 @@ from wickwork.llm.common import sliced, staged, worker_state
 #: Words of one generation of the cache, and characters of a word that is kept: some 250 MB a worker in two generations.
 CACHE_WORDS = 800_000
 CACHE_CHARS = 64
+#: ASCII marks that are words of their own beside letters; not the apostrophe, which starts contractions, nor the delimiter's first.
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -46,7 +48,7 @@ class WordTokenizer:
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        marks = r"([!-&(-/:;=-@\[-`{-~]*)"
+        marks = f"([{re.escape(MARKS)}]*)"
         self.plain = re.compile(f"{marks}([A-Za-zÀ-ÖØ-öø-ÿ]+){marks}").fullmatch
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,7 +78,7 @@ class WordTokenizer:
         """Ids of words of plain letters, each one word to the tokenizer: blank-separated, and cut at word ends."""
         import numpy as np
 
-        ids = np.array(self.inner.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.inner.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(ends) != len(words):  # a word of letters came out as more than one word
             return {w: self._alone(w) for w in words}
@@ -85,44 +87,69 @@ class WordTokenizer:
 
     def _fresh(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not in the cache. Marks before and after letters are words of their own to the tokenizer."""
-        cache, old, out, parts, other = self.cache, self.old, {}, {}, []
+        get, old, out, parts, cores, other = self.cache.get, self.old, {}, [], {}, []
         for w in words:
             if (found := old.get(w)) is not None:
                 out[w] = found
                 continue
-            m = self.plain(w)
-            if m:
-                parts[w] = (m[1], m[2].lower(), m[3])
+            core = w.strip(MARKS)
+            if core.isascii() and core.isalpha():
+                at = w.index(core)
+                before, after = w[:at], w[at + len(core) :]
+            elif m := self.plain(w):
+                before, core, after = m.groups()
             else:
                 other.append(w)
-        cores = {c for _, c, _ in parts.values()}
-        new = [c for c in cores if c not in cache]
-        ids = {c: cache[c] for c in cores if c in cache}
+                continue
+            core = core.lower()
+            parts.append((w, before, core, after))
+            cores[core] = None
+        new = []
+        for c in cores:
+            if (found := get(c)) is None:
+                new.append(c)
+            else:
+                cores[c] = found
         for k in range(0, len(new), 20_000):
-            ids |= self._letters(new[k : k + 20_000])
+            cores |= self._letters(new[k : k + 20_000])
         marks = {"": b""}
-        new = {x for a, _, b in parts.values() for x in (a, b)} - {""}
+        new = {x for _, a, _, b in parts for x in (a, b)} - {""}
         if new:
             marks |= self._delimited(list(new))
-        for w, (a, core, b) in parts.items():
-            out[w] = marks[a] + ids[core] + marks[b]
+        for w, a, core, b in parts:
+            out[w] = marks[a] + cores[core] + marks[b]
         for k in range(0, len(other), 2_000):
             out |= self._delimited(other[k : k + 2_000])
         return out
 
     def coded(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        get, split, held, missing = self.cache.get, [t.replace("\n", " ").split(" ") for t in texts], [], set()
-        for words in split:
+        """Ids of each text as little-endian unsigned 32-bit numbers.
+
+        Each text is split, looked up and joined while its words are in the processor's cache; only the places of
+        words that the cache lacks wait for the call that encodes those of all texts.
+        """
+        get, out, waiting, lacking = self.cache.get, [], [], set()
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
             ids = list(map(get, words))
             if None in ids:
-                missing.update([w for w, x in zip(words, ids, strict=False) if x is None])
-            held.append(ids)
-        fresh = self._fresh(missing) if missing else {}
-        out = [b"".join(ids) if None not in ids else b"".join([fresh[w] if x is None else x for w, x in zip(words, ids, strict=False)]) for words, ids in zip(split, held, strict=True)]
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {}
-        self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_CHARS)
+                places = [k for k, x in enumerate(ids) if x is None]
+                missed = [words[k] for k in places]
+                lacking.update(missed)
+                waiting.append((len(out), places, missed))
+                out.append(ids)
+            else:
+                out.append(b"".join(ids))
+        if waiting:
+            fresh = self._fresh(lacking)
+            for n, places, missed in waiting:
+                ids = out[n]
+                for k, w in zip(places, missed, strict=True):
+                    ids[k] = fresh[w]
+                out[n] = b"".join(ids)
+            if len(self.cache) + len(fresh) > CACHE_WORDS:
+                self.old, self.cache = self.cache, {}
+            self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_CHARS)
         return out
 
 
