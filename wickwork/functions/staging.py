@@ -20,14 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
 
-    Results are lazy and may read such a table until the session ends; then the folder goes.
+    Results are lazy and may read such a table until the session ends; then the folder goes, or before by ``discard``.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: those an iteration has replaced."""
+    for t in tables:
+        fs, folder = _folder(t.sparkSession, t.staged_at)
+        fs.delete(folder, True)
