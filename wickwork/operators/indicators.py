@@ -1,7 +1,7 @@
-"""Technical indicators: window expressions where the look-back is bounded, one ordered fold where it is recursive.
+"""Technical indicators: window expressions where the look-back is bounded, recurrences where it is not.
 
-All windows share one partitioning and order, which the fold's grouping keeps, so a frame with every indicator
-costs one shuffle of the candles.
+Recursive columns come from one ordered pass over the first candles of a series, and from scans in blocks over the
+rest, so no task holds more than a block. All windows share one partitioning and order.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.functions.scalars import direction, ladder, last_n, r4, ratio, series, sign, so_far
+from wickwork.functions.staging import staged
+from wickwork.operators import scans
+from wickwork.operators.scans import Affine, Hold
 from wickwork.schema import SERIES
 
 
@@ -314,11 +317,19 @@ def fold_series(h, lo, c, v, tr, wanted=None) -> dict[str, list]:
     return {k: x for k, x in out.items() if wanted is None or k in wanted}
 
 
-def fold_indicators(bars: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """``prepared`` candles with the recursive columns: one grouped pass in Arrow, all columns at once."""
+#: Candles of a series that one task folds at once; longer series go through ``scans`` in blocks of this size.
+BLOCK = 65_536
+
+
+def fold_indicators(bars: DataFrame, columns: tuple[str, ...] | None = None, block: int = BLOCK) -> DataFrame:
+    """``prepared`` candles with the recursive columns.
+
+    The first ``block`` candles of every series are one ordered pass in Arrow; those after them are scanned in blocks.
+    """
     import pyarrow as pa
 
     wanted = [c for c in FOLD_COLUMNS if columns is None or c in columns]
+    bars = staged(bars, "bars")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("ts")
@@ -329,27 +340,155 @@ def fold_indicators(bars: DataFrame, columns: tuple[str, ...] | None = None) ->
         return t
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
-    return bars.groupBy(*SERIES).applyInArrow(run, fields + "".join(f", {k} double" for k in wanted))
+    head = bars.filter(F.col("rn") <= block).groupBy(*SERIES).applyInArrow(run, fields + "".join(f", {k} double" for k in wanted))
+    long = bars.filter(F.col("rn") > block).select(*SERIES).distinct()
+    if long.isEmpty():
+        return head
+    tail = long_series(bars.join(staged(long, "long-series"), SERIES, "left_semi"), wanted, block)
+    return head.unionByName(tail.filter(F.col("rn") > block))
+
+
+def _mean_from(x: str, n: int, at: int, k: float) -> Affine:
+    """x' = x + k (value - x), from the mean of the last n values at candle ``at`` on."""
+    rn, seed = _c("rn"), _mean(x, n)
+    return Affine(F.when(rn == at, 0.0).when(rn > at, 1 - k), F.when(rn == at, seed).otherwise(_c(x) * k))
+
+
+def _ema_step(x: str, n: int, first: int = 1) -> Affine:
+    """The moving average of a column that has values from candle ``first`` on."""
+    return _mean_from(x, n, first + n - 1, 2 / (n + 1))
+
+
+def _wilder_step(x: str, n: int, first: int = 1) -> Affine:
+    return _mean_from(x, n, first + n - 1, 1 / n)
+
+
+def _sum_step(x: str, n: int, first: int) -> Affine:
+    rn, at = _c("rn"), first + n - 1
+    return Affine(F.when(rn == at, 0.0).when(rn > at, 1 - 1 / n), F.when(rn == at, _sum(_c(x), n)).otherwise(_c(x)))
+
+
+def _kama_step(n: int = 10) -> Affine:
+    rn, w = _c("rn"), series()
+    noise = _sum(F.abs(_c("close") - _c("close_1")), n)
+    er = ratio(F.abs(_c("close") - F.lag("close", n).over(w)), noise, 0)
+    k = F.pow(er * (2 / 3 - 2 / 31) + 2 / 31, F.lit(2.0))
+    return Affine(F.when(rn == n + 1, 0.0).when(rn > n + 1, 1 - k), F.when(rn == n + 1, _c("close")).otherwise(k * _c("close")))
+
+
+def long_series(bars: DataFrame, wanted: list[str], block: int) -> DataFrame:
+    """``prepared`` candles of long series with the recursive columns ``wanted``, by scans of blocks, level by level."""
+    need = lambda *names: any(x in wanted for x in names)
+    before = bars.columns
+    w = series()
+    change, up, down = _c("close") - _c("close_1"), _c("high") - F.lag("high").over(w), F.lag("low").over(w) - _c("low")
+    rows = bars.withColumns({
+        "_v": _c("volume").cast("double"), "_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0)),
+        "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
+    })
+    steps: dict[str, Affine | Hold] = {}
+    if need("ema_20", "dema_20", "tema_20", "keltner", "keltner_upper", "keltner_lower"):
+        steps["e20"] = _ema_step("close", 20)
+    if need("ema_50"):
+        steps["e50"] = _ema_step("close", 50)
+    if need("macd", "macd_signal", "macd_hist"):
+        steps |= {"e12": _ema_step("close", 12), "e26": _ema_step("close", 26)}
+    if need("trix_15"):
+        steps["t1"] = _ema_step("close", 15)
+    if need("kama_10"):
+        steps["k10"] = _kama_step()
+    if need("atr_14", "supertrend", "supertrend_up"):
+        steps["a14"] = _wilder_step("tr", 14)
+    if need("keltner_upper", "keltner_lower"):
+        steps["a20"] = _wilder_step("tr", 20)
+    if need("rsi_14", "stoch_rsi_k", "stoch_rsi_d"):
+        steps |= {"g14": _wilder_step("_gain", 14, 2), "l14": _wilder_step("_loss", 14, 2)}
+    if need("adx_14", "di_plus", "di_minus"):
+        steps |= {"s_tr": _sum_step("tr", 14, 2), "s_plus": _sum_step("_plus", 14, 2), "s_minus": _sum_step("_minus", 14, 2)}
+    if need("volume_ema"):
+        steps["v20"] = _ema_step("_v", 20)
+    rows = scans.run(rows, steps, block)
+    own = dict(zip(("ema_20", "ema_50", "kama_10", "atr_14", "volume_ema", "keltner"), ("e20", "e50", "k10", "a14", "v20", "e20"), strict=True))
+    made = {k: _c(v) for k, v in own.items() if need(k)}
+    if need("keltner_upper", "keltner_lower"):
+        made |= {"keltner_upper": _c("e20") + 2 * _c("a20"), "keltner_lower": _c("e20") - 2 * _c("a20")}
+    if "g14" in steps:
+        made["rsi_14"] = F.when(_c("l14") == 0, F.when(_c("g14") == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + _c("g14") / F.when(_c("l14") != 0, _c("l14"))))
+    if "e12" in steps:
+        made["macd"] = _c("e12") - _c("e26")
+    if "s_tr" in steps:
+        share = lambda x: ratio(100 * _c(x), _c("s_tr"), 0)
+        both = share("s_plus") + share("s_minus")
+        made |= {"di_plus": share("s_plus"), "di_minus": share("s_minus"), "_dx": ratio(100 * F.abs(share("s_plus") - share("s_minus")), both, 0)}
+    rows = rows.withColumns(made)
+    steps = {}
+    if need("dema_20", "tema_20"):
+        steps["e20_2"] = _ema_step("e20", 20, 20)
+    if need("trix_15"):
+        steps["t2"] = _ema_step("t1", 15, 15)
+    if need("macd", "macd_signal", "macd_hist"):
+        steps["m9"] = _ema_step("macd", 9, 26)
+    if need("adx_14", "di_plus", "di_minus"):
+        steps["adx_14"] = _wilder_step("_dx", 14, 15)
+    if need("supertrend", "supertrend_up"):
+        rows, mid, seed = rows.withColumn("_mid", (_c("high") + _c("low")) / 2), F.lit(None).cast("double"), _c("rn") == 14
+        top, bottom, close = _c("_mid") + 3 * _c("a14"), _c("_mid") - 3 * _c("a14"), _c("close")
+        never, live = F.lit(float("inf")), _c("rn") > 14
+        steps["_upper"] = Hold(F.when(seed, never).when(live, close), F.when(seed, -never).when(live, top), F.when(live | seed, top).otherwise(mid))
+        steps["_lower"] = Hold(F.when(seed, never).when(live, bottom), F.when(seed, -never).when(live, close), F.when(live | seed, bottom).otherwise(mid))
+    rows = scans.run(rows, steps, block) if steps else rows
+    made = {}
+    if "m9" in steps:
+        made |= {"macd_signal": _c("m9"), "macd_hist": _c("macd") - _c("m9")}
+    if "e20_2" in steps:
+        made["dema_20"] = 2 * _c("e20") - _c("e20_2")
+    if need("stoch_rsi_k", "stoch_rsi_d"):
+        low, high = F.min("rsi_14").over(last_n(14)), F.max("rsi_14").over(last_n(14))
+        made["stoch_rsi_k"] = F.when(_c("rn") >= 28, F.when(high > low, (_c("rsi_14") - low) / (high - low) * 100).otherwise(50.0))
+    rows = rows.withColumns(made) if made else rows
+    steps = {}
+    if "_upper" in rows.columns:
+        above, over, live = (_c("close") >= _c("_lower")).cast("double"), (_c("close") > _c("_upper")).cast("double"), _c("rn") > 14
+        steps["supertrend_up"] = Affine(F.when(_c("rn") == 14, 0.0).when(live, above - over), F.when(_c("rn") == 14, (_c("close") >= _c("_mid")).cast("double")).otherwise(over))
+    if need("tema_20"):
+        steps["e20_3"] = _ema_step("e20_2", 20, 39)
+    if need("trix_15"):
+        steps["t3"] = _ema_step("t2", 15, 29)
+    rows = scans.run(rows, steps, block) if steps else rows
+    made = {}
+    if "supertrend_up" in steps:
+        made["supertrend"] = F.when(_c("supertrend_up") == 1, _c("_lower")).otherwise(_c("_upper"))
+    if "e20_3" in steps:
+        made["tema_20"] = 3 * _c("e20") - 3 * _c("e20_2") + _c("e20_3")
+    if "t3" in steps:
+        last = F.lag("t3").over(w)
+        made["trix_15"] = F.when(last.isNotNull(), ratio((_c("t3") - last) * 100, last, 0))
+    if need("stoch_rsi_d"):
+        made["stoch_rsi_d"] = F.when(_c("rn") >= 30, F.avg("stoch_rsi_k").over(last_n(3)))
+    return rows.withColumns(made).select(*before, *wanted) if made else rows.select(*before, *wanted)
 
 
 def indicator_frame(candles: DataFrame) -> DataFrame:
-    """Candles with every indicator's columns: windows first, the fold on the same partitioning."""
-    return fold_indicators(window_indicators(prepared(candles)))
+    """Candles with every indicator's columns: the fold over narrow rows first, then the windows."""
+    return window_indicators(fold_indicators(prepared(candles)))
 
 
 def indicator(candles: DataFrame, key: str, rounded: bool = False) -> DataFrame:
     """symbol_id, timeframe, ts, the columns and the signal of one indicator; ``rounded`` to four decimals first."""
     i = REGISTRY[key]
     bars = prepared(candles)
-    bars = window_indicators(bars, [key]) if i.window else fold_indicators(bars.select(*SERIES, "ts", "high", "low", "close", "volume", "tr", "rn"), i.columns)
+    bars = window_indicators(bars, [key]) if i.window else fold_indicators(bars.select(*SERIES, "ts", "high", "low", "close", "close_1", "volume", "tr", "rn"), i.columns)
     if rounded:
         bars = bars.withColumns({c: r4(F.col(c)) for c in i.columns})
     return bars.select(*SERIES, "ts", *i.columns, i.signal().alias("signal"))
 
 
 def snapshot(frame: DataFrame) -> DataFrame:
-    """The latest value, signal and health of every indicator, one row a series and indicator."""
-    values = [F.struct(F.lit(i.key).alias("indicator_key"), F.col(i.columns[0]).cast("double").alias("value"), i.signal().alias("signal_state"), F.when(F.col("rn") < i.warm, "InsufficientData").otherwise("Ok").alias("health")) for i in REGISTRY.values()]
-    rows = frame.select(*SERIES, "ts", F.array(*values).alias("v"))
-    last = rows.groupBy(*SERIES).agg(F.max("ts").alias("ts"), F.max_by("v", "ts").alias("v"))
-    return last.select(*SERIES, "ts", F.inline("v"))
+    """The latest value, signal and health of every indicator, one row a series and indicator.
+
+    The last candle of each series is picked before anything is built on it; the one signal that looks back comes first.
+    """
+    last = frame.withColumns({"_next": F.lead("ts").over(series()), "_obv_signal": _obv_signal()}).filter(F.col("_next").isNull())
+    signal = lambda i: F.col("_obv_signal") if i.key == "OBV" else i.signal()
+    values = [F.struct(F.lit(i.key).alias("indicator_key"), F.col(i.columns[0]).cast("double").alias("value"), signal(i).alias("signal_state"), F.when(F.col("rn") < i.warm, "InsufficientData").otherwise("Ok").alias("health")) for i in REGISTRY.values()]
+    return last.select(*SERIES, "ts", F.inline(F.array(*values)))

@@ -94,7 +94,7 @@ def with_legs(bars: DataFrame, o: StructureOptions) -> DataFrame:
 def structure_frame(candles: DataFrame, options: StructureOptions | None = None, indicators: DataFrame | None = None) -> DataFrame:
     """One row a candle with swings, breaks, trend, range and legs; ``indicators`` may bring atr_14 and volume_sma along."""
     o = options or StructureOptions()
-    bars = indicators if indicators is not None else fold_indicators(window_indicators(prepared(candles), ["VolumeSMA_20"]), ("atr_14",))
+    bars = indicators if indicators is not None else window_indicators(fold_indicators(prepared(candles), ("atr_14",)), ["VolumeSMA_20"])
     return with_legs(with_range(with_breaks(with_swings(bars)), o), o)
 
 

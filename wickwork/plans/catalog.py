@@ -105,7 +105,7 @@ def candle_patterns(spark, d):
 @_add("candle_metrics", O.q(f"{_BARS}, {O._ATR}, x as (select b.*, atr.v atr_14, case when b.rn >= 20 then avg(volume) over {O.over(20).replace('symbol_id order', 'b.symbol_id order')} end vs from b left join atr on atr.symbol_id = b.symbol_id and atr.rn = b.rn)",
     f"select symbol_id, timeframe, ts, {O.r4(O._body('open', 'high', 'low', 'close'))} body_pct, {O.r4(O._ratio('(high - greatest(open, close))*100', 'high - low', '0'))} upper_wick_pct, {O.r4(O._ratio('(least(open, close) - low)*100', 'high - low', '0'))} lower_wick_pct, {O.r4('case when atr_14 > 0 then (high - low)/atr_14 end')} range_to_atr, {O.r4('case when vs > 0 then volume/vs end')} relative_volume, {O.r4(O._ratio('close - low', 'high - low', '0.5'))} close_location from x"))
 def candle_metrics(spark, d):
-    f = indicators.fold_indicators(indicators.window_indicators(indicators.prepared(derived.daily_candles(spark, d)), ["VolumeSMA_20"]), ("atr_14",))
+    f = indicators.window_indicators(indicators.fold_indicators(indicators.prepared(derived.daily_candles(spark, d)), ("atr_14",)), ["VolumeSMA_20"])
     cols = ("body_pct", "upper_wick_pct", "lower_wick_pct", "range_to_atr", "relative_volume", "close_location")
     return _rounded(patterns.metrics(f), *cols).select(*SERIES, "ts", *cols)
 
