@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.config import RiskOptions
+from wickwork.operators.intervals import next_above
 from wickwork.schema import SERIES
 
 
 def plan_inputs(decided: DataFrame, mitigated: DataFrame, leg_rows: DataFrame, options: RiskOptions | None = None) -> DataFrame:
     """``decided`` rows with next_zone (nearest live opposing zone beyond the close) and the mean duration of impulse legs."""
     o = options or RiskOptions()
-    keys = [*SERIES, "ts"]
-    at = decided.select(*keys, "rn", "close", "direction")
-    z = mitigated.filter(~F.col("kind").startswith("Fvg")).select(*SERIES, "kind", "created_rn", "full_rn", "upper", "lower")
-    live = (F.col("created_rn") <= F.col("rn")) & (F.col("full_rn").isNull() | (F.col("full_rn") > F.col("rn")))
-    above = (F.col("direction") == 1) & F.col("kind").isin("SupplyZone", "OrderBlockBearish") & (F.col("lower") > F.col("close"))
-    below = (F.col("direction") == -1) & F.col("kind").isin("DemandZone", "OrderBlockBullish") & (F.col("upper") < F.col("close"))
-    near = at.join(z, SERIES).filter(live & (above | below)).groupBy(*keys).agg(F.min(F.when(above, F.col("lower"))).alias("_a"), F.max(F.when(below, F.col("upper"))).alias("_b"))
-    impulse = leg_rows.filter(F.col("kind") == "Impulse").select(*SERIES, "start_ts", "end_ts")
-    spans = at.join(impulse, SERIES).filter((F.col("end_ts") <= F.col("ts")) & (F.col("end_ts") >= F.add_months("ts", -o.leg_months)))
-    spans = spans.groupBy(*keys).agg(F.avg(F.datediff("end_ts", "start_ts")).alias("_mean"), F.count("*").alias("_legs"))
-    out = decided.join(near, keys, "left").join(spans, keys, "left")
-    out = out.withColumns({"next_zone": F.coalesce("_a", "_b"), "duration_days": F.when(F.col("_legs") >= o.min_legs_for_duration, F.col("_mean"))})
-    return out.drop("_a", "_b", "_mean", "_legs")
+    z = mitigated.filter(~F.col("kind").startswith("Fvg"))
+    above = F.col("kind").isin("SupplyZone", "OrderBlockBearish")
+    below = F.col("kind").isin("DemandZone", "OrderBlockBullish")
+    # Below the close of a short position is above, with the prices' signs turned.
+    z = z.filter(above | below).select(*SERIES, F.when(above, 1).otherwise(-1).alias("side"), F.col("created_rn").alias("from_rn"), F.col("full_rn").alias("to_rn"), F.when(above, F.col("lower")).otherwise(-F.col("upper")).alias("price"))
+    side = F.when(F.col("direction") == 1, 1).when(F.col("direction") == -1, -1)
+    points = decided.select(*SERIES, "rn", side.alias("side"), (side * F.col("close")).alias("price")).filter(F.col("side").isNotNull() & F.col("price").isNotNull())
+    near = next_above(points, z).select(*SERIES, "rn", (F.col("side") * F.col("found")).alias("next_zone"))
+    # Legs and decisions in one order of days: the frame takes the legs that ended in the last months, the day included.
+    impulse = leg_rows.filter(F.col("kind") == "Impulse").select(*SERIES, F.col("end_ts").alias("day"), F.datediff("end_ts", "start_ts").alias("_days"), F.lit(None).cast("int").alias("rn"))
+    rows = impulse.unionByName(decided.select(*SERIES, F.col("ts").alias("day"), F.lit(None).cast("int").alias("_days"), F.col("rn").cast("int").alias("rn")))
+    names = ", ".join(SERIES)
+    frame = f"over (partition by {names} order by day range between interval '{o.leg_months}' month preceding and current row)"
+    spans = rows.withColumns({"_mean": F.expr(f"avg(_days) {frame}"), "_legs": F.expr(f"count(_days) {frame}")}).filter("rn is not null")
+    out = decided.join(near, [*SERIES, "rn"], "left").join(spans.select(*SERIES, "rn", "_mean", "_legs"), [*SERIES, "rn"], "left")
+    return out.withColumn("duration_days", F.when(F.col("_legs") >= o.min_legs_for_duration, F.col("_mean"))).drop("_mean", "_legs")
 
 
 def trade_plan(rows: DataFrame, options: RiskOptions | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wickwork.config import StructureOptions
 from wickwork.functions.scalars import before, ratio, series, so_far
 from wickwork.operators.indicators import fold_indicators, prepared, window_indicators
+from wickwork.operators.intervals import overlapping
 from wickwork.schema import SERIES
 
 
@@ -215,9 +216,7 @@ def volume_absorption(frame: DataFrame, mitigated: DataFrame, options: Structure
     heavy = frame.filter((sma > 0) & (F.col("volume") >= o.absorption_multiple * sma) & (rng != 0) & (ratio(F.abs(F.col("close") - F.col("open")) * 100, rng, 0) < o.absorption_max_body)).select(*SERIES, "ts", "rn", "high", "low")
     z = mitigated.select(*SERIES, F.col("created_rn").alias("from_rn"), F.col("full_rn").alias("to_rn"), F.col("upper").alias("top"), F.col("lower").alias("bottom"))
     s = frame.filter(F.col("swing").isNotNull()).select(*SERIES, F.col("rn").alias("from_rn"), F.lit(None).cast("int").alias("to_rn"), F.col("swing_price").alias("top"), F.col("swing_price").alias("bottom"))
-    marks = z.unionByName(s)
-    near = (F.col("from_rn") <= F.col("rn")) & (F.col("to_rn").isNull() | (F.col("to_rn") > F.col("rn"))) & (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
-    hits = heavy.join(marks, [heavy[k] == marks[k] for k in SERIES] + [near], "left_semi")
+    hits = overlapping(heavy, z.unionByName(s))
     return hits.select(*SERIES, "ts", F.lit("VolumeAbsorption").alias("event"))
 
 
