@@ -55,10 +55,10 @@ def simulate(plans: DataFrame, candles: DataFrame, default_horizon: int = 40) ->
     ).drop("_h", "_x", "_e", "_o")
 
 
-def trades(daily: DataFrame, index: DataFrame, options: EngineOptions | None = None, start=None, end=None) -> DataFrame:
+def trades(daily: DataFrame, index: DataFrame, options: EngineOptions | None = None, start=None, end=None, calendar: DataFrame | None = None) -> DataFrame:
     """One row a Buy or StrongBuy decision of the walk: decision, plan and simulated outcome."""
     o = options or EngineOptions()
-    state, mitigated = state_frame(daily, index, o)
+    state, mitigated = state_frame(daily, index, o, calendar=calendar)
     decided = decide(as_of_rows(state, o, start, end), o)
     chosen = decided.filter(F.col("outcome").isin("Buy", "StrongBuy"))
     planned = trade_plan(plan_inputs(chosen, mitigated, legs(state), o.risk), o.risk).filter(F.col("plan_error").isNull())

@@ -27,6 +27,23 @@ def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
     return expected.join(candles.select(*SERIES, F.col("ts").alias("day")), [*SERIES, "day"], "left_anti")
 
 
+def with_missing(bars: DataFrame, calendar: DataFrame | None, o: QualityOptions) -> DataFrame:
+    """Adds n_missing: days of ``calendar`` (day) within the last ``window`` candles, as of each, that have no candle.
+
+    Days are counted by ordinals: what lies between two candles is the difference of their ordinals. The calendar and the
+    days of candles are one short table of dates (a century has 36,525), numbered in one order and joined by the day.
+    """
+    if calendar is None:
+        return bars.withColumn("n_missing", F.lit(0).cast("bigint"))
+    days = bars.select(F.col("ts").cast("date").alias("_day"), F.lit(0).alias("_on")).distinct().unionByName(calendar.select(F.col("day").alias("_day"), F.lit(1).alias("_on")).distinct())
+    days = days.groupBy("_day").agg(F.max("_on").alias("_on"))
+    days = days.withColumn("_ordinal", F.sum("_on").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)))
+    w = last_n(o.window)
+    rows = bars.withColumn("_day", F.col("ts").cast("date")).join(days, "_day")
+    expected = F.col("_ordinal") - F.first("_ordinal").over(w) + F.first("_on").over(w)
+    return rows.withColumn("n_missing", expected - F.sum("_on").over(w)).drop("_day", "_on", "_ordinal")
+
+
 def quality_gate(candles: DataFrame, calendar: DataFrame | None = None, options: QualityOptions | None = None) -> DataFrame:
     """One row a series: passed, reasons, traded_days, zero_run and missing days of its last ``window`` candles."""
     o = options or QualityOptions()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wickwork.config import EngineOptions
 from wickwork.functions.scalars import before, clamp, ratio, series, so_far, text_facts
 from wickwork.functions.staging import staged
-from wickwork.operators.context import circuit_state, market_states, quality_columns, relative_strength, suppressed
+from wickwork.operators.context import circuit_state, market_states, quality_columns, relative_strength, suppressed, with_missing
 from wickwork.operators.indicators import indicator_frame
 from wickwork.operators.patterns import BEARISH_SET, BULLISH_SET, patterns
 from wickwork.operators.structure import exhaustion, structure_frame, volume_absorption, with_mitigation, zones
@@ -28,8 +28,14 @@ def _zone_counts(mitigated: DataFrame, frame: DataFrame) -> DataFrame:
     return born.unionByName(gone).groupBy(*SERIES, "rn").agg(F.sum("l").alias("d_long"), F.sum("s").alias("d_short"))
 
 
-def state_frame(candles: DataFrame, index: DataFrame, options: EngineOptions | None = None, band: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one row a candle with all that a decision at its close reads, the zones with their mitigation)."""
+def state_frame(
+    candles: DataFrame, index: DataFrame, options: EngineOptions | None = None, band: Column | None = None, calendar: DataFrame | None = None, bands: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(one row a candle with all that a decision at its close reads, the zones with their mitigation).
+
+    ``calendar`` (day) lists the market's days: candles that miss some within the quality window fail the gate. ``bands``
+    (symbol_id, band) are circuit bands, one row a symbol; ``band`` is one for all.
+    """
     o = options or EngineOptions()
     frame = staged(structure_frame(candles, o.structure, patterns(indicator_frame(candles), o.patterns)), "frame")
     mitigated = staged(with_mitigation(zones(frame), frame), "zones")
@@ -39,6 +45,9 @@ def state_frame(candles: DataFrame, index: DataFrame, options: EngineOptions | N
     out = out.join(_zone_counts(mitigated, frame), [*SERIES, "rn"], "left")
     rs = relative_strength(candles, index, 20, 60)
     out = out.join(rs, keys, "left").join(market_states(index), "ts", "left")
+    if bands is not None:
+        out = out.join(bands.select("symbol_id", F.col("band").alias("_band")), "symbol_id", "left")
+        band = F.col("_band")
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)
     bos, choch = F.col("break_kind") == "BOS", F.col("break_kind") == "CHoCH"
     out = out.withColumns(
@@ -52,7 +61,7 @@ def state_frame(candles: DataFrame, index: DataFrame, options: EngineOptions | N
             "circuit": circuit_state(band, o.quality.band_tolerance), "direction": F.when(F.col("trend") == -1, -1).otherwise(1),
         }
     )
-    out = quality_columns(out, o.quality)
+    out = with_missing(quality_columns(out, o.quality), calendar, o.quality)
     known = o.structure.mode == "as_specified"
     rng = F.col("high") - F.col("low")
     nothing = F.lit(None).cast("double")
@@ -63,7 +72,7 @@ def state_frame(candles: DataFrame, index: DataFrame, options: EngineOptions | N
             "suppressed": suppressed(F.col("direction"), F.col("regime")),
         }
     )
-    return staged(out.drop("_ex", "_ab", "d_long", "d_short"), "state"), mitigated
+    return staged(out.drop("_ex", "_ab", "d_long", "d_short", "_band"), "state"), mitigated
 
 
 def _when(*cases: tuple[Column, float]) -> Column:
@@ -101,7 +110,7 @@ def hard_gates(state: DataFrame, options: EngineOptions | None = None) -> DataFr
     """``state`` with gate_<name> (passed) and hard_gate_failed: the first that fails, in order."""
     o = (options or EngineOptions()).quality
     c = F.col
-    enough = (c("traded_days") >= o.min_traded_days) & (c("zero_run") <= o.max_zero_run)
+    enough = (c("traded_days") >= o.min_traded_days) & (c("zero_run") <= o.max_zero_run) & (c("n_missing") == 0)
     free = ~(((c("direction") == 1) & (c("circuit") == "UpperLocked")) | ((c("direction") == -1) & (c("circuit") == "LowerLocked")))
     broken = F.coalesce((c("choch_dir") != c("direction")) & (c("choch_rn") > F.coalesce(c("bos_rn"), F.lit(0))), F.lit(False))
     passed = dict(zip(GATES, (enough, free, ~c("suppressed"), ~broken), strict=True))

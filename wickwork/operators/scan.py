@@ -15,13 +15,19 @@ from wickwork.schema import SERIES
 PLAN = ("entry", "stop_loss", "target1", "target2", "target3", "risk_percent", "risk_reward", "duration_days")
 
 
-def stage1(daily: DataFrame, index: DataFrame, options: EngineOptions | None = None) -> DataFrame:
+def stage1(
+    daily: DataFrame, index: DataFrame, options: EngineOptions | None = None, members: DataFrame | None = None, bands: DataFrame | None = None, calendar: DataFrame | None = None,
+) -> DataFrame:
     """One row a symbol: decision at its last candle, and a plan where it is Buy or StrongBuy.
 
-    A symbol that fails the quality gate is excluded, with the gate's name as the reason.
+    ``members`` (symbol_id) are the symbols to scan, all without them; ``bands`` (symbol_id, band) their circuit bands;
+    ``calendar`` (day) the market's days. A symbol that fails the quality gate is excluded, with the gate's name as the
+    reason.
     """
     o = options or EngineOptions()
-    state, mitigated = state_frame(daily, index, o)
+    if members is not None:
+        daily = daily.join(members.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    state, mitigated = state_frame(daily, index, o, bands=bands, calendar=calendar)
     w = Window.partitionBy(*SERIES)
     last = state.withColumn("_last", F.max("ts").over(w)).filter("ts = _last").drop("_last")
     decided = reasoning(decide(last, o))

@@ -339,6 +339,74 @@ def scan_ranked(spark, d):
     return _rounded(scan.ranked(listed), *_SCAN_COLS).select("symbol_id", "ts", "direction", "outcome", *_SCAN_COLS, "rank")
 
 
+#: A planted calendar of few days: a symbol without a candle on one of them within its last 60 candles misses it.
+_MARKET_DAYS = f"""cal as (select distinct ts as day from c where (ts - date '1990-01-01') % 211 = 0),
+w60 as (select symbol_id, ts, coalesce(lag(ts, 59) over {O.W}, min(ts) over (partition by symbol_id)) a from c),
+ms as materialized (select w.symbol_id, w.ts, count(*) n_missing from w60 w join cal on cal.day between w.a and w.ts
+ left join c x on x.symbol_id = w.symbol_id and x.ts = cal.day where x.ts is null group by all)"""
+
+
+def _replaced(text: str, *changes: tuple[str, str]) -> str:
+    for old, new in changes:
+        if old not in text:
+            raise ValueError(f"no {old!r} in the statement")
+        text = text.replace(old, new)
+    return text
+
+
+_DECIDED_BY_DAYS = _replaced(
+    O.DECIDED, ("traded_days >= 30 g1", "traded_days >= 30 and n_missing = 0 g1"),
+    (" from ste)", " from (select ste.*, coalesce(ms.n_missing, 0) n_missing from ste left join ms using (symbol_id, ts)))"),
+)
+
+
+def _market_days(spark, d):
+    day = F.datediff("day", F.lit("1990-01-01"))
+    return _calendar(spark, d).filter(day % 211 == 0)
+
+
+@_add("missing_days_asof", O.q(f"{O.CANDLES}, {_MARKET_DAYS}", "select c.symbol_id, c.ts, coalesce(ms.n_missing, 0) n_missing from c left join ms using (symbol_id, ts)"))
+def missing_days_asof(spark, d):
+    """Days of the calendar that the last 60 candles miss, as of every candle."""
+    from wickwork.config import QualityOptions
+
+    return context.with_missing(derived.daily_candles(spark, d), _market_days(spark, d), QualityOptions()).select("symbol_id", "ts", "n_missing")
+
+
+@_add("hard_gates_by_days", O.q(f"{O.STATE}, {_MARKET_DAYS}, {_DECIDED_BY_DAYS}", "select symbol_id, ts, g1 gate_data, gate hard_gate_failed, outcome from dec"))
+def hard_gates_by_days(spark, d):
+    """Gates and outcomes of every candle against a calendar."""
+    s, _ = decision.state_frame(*_daily(spark, d), calendar=_market_days(spark, d))
+    return decision.decide(s).select("symbol_id", "ts", F.col("gate_DataQuality").alias("gate_data"), "hard_gate_failed", "outcome")
+
+
+_BANDED = _replaced(O.STATE, (
+    "else 'None' end circuit",
+    "when symbol_id % 4 = 0 and (close - close_1)/close_1 >= 0.02e0 - 0.002e0 then 'UpperLocked' when symbol_id % 4 = 0 and (close - close_1)/close_1 <= -(0.02e0 - 0.002e0) then 'LowerLocked' else 'None' end circuit",
+))
+
+
+@_add("scan_universe", O.q(
+    f"{_replaced(_SCAN_SQL, (O.STATE, _BANDED), (O.DECIDED, f'{_MARKET_DAYS}, {_DECIDED_BY_DAYS}'))}",
+    f"select {_SCAN_OUT}, hard_gate_failed, excluded from sc where symbol_id % 3 <> 0",
+))
+def scan_universe(spark, d):
+    """Stage 1 over the members of a universe, with circuit bands of some symbols and the market's calendar."""
+    daily, index = _daily(spark, d)
+    s = derived.symbols(spark, d)
+    members = s.filter("symbol_id % 3 <> 0")
+    bands = s.filter("symbol_id % 4 = 0").select("symbol_id", F.lit(0.02).alias("band"))
+    rows = scan.stage1(daily, index, members=members, bands=bands, calendar=_market_days(spark, d))
+    return _rounded(rows, *_SCAN_COLS).select("symbol_id", "ts", "direction", "outcome", *_SCAN_COLS, "hard_gate_failed", "excluded")
+
+
+@_add("backtest_by_days", O.q(f"{O.STATE}, {_MARKET_DAYS}, {_DECIDED_BY_DAYS}, {O.TRADES}", f"select symbol_id, ts, outcome, result, exit_ts, {O.r4('r')} r_multiple from trd"))
+def backtest_by_days(spark, d):
+    """The walk-forward trades with the calendar in the quality gate."""
+    t = backtest.trades(*_daily(spark, d), calendar=_market_days(spark, d))
+    return _rounded(t, "r_multiple").select("symbol_id", "ts", "outcome", "result", "exit_ts", "r_multiple")
+
+
 _RECONCILE = f"{O.CANDLES}, old as materialized (select symbol_id, timeframe, ts, case when dayofmonth(ts) = 4 then 0 when symbol_id % 7 = 0 then adj_close*0.99e0 else adj_close end adj_close from c where dayofmonth(ts) <> 2)"
 
 
