@@ -11,8 +11,9 @@
    rare ones give blocks of all their shingles too. A pair meets in the blocks that the set with more rare shingles gives,
    for every set gives its rare blocks. Frequencies come from a count-min sketch; whatever it says of a shingle it says of
    it in all sets, so it decides on speed and not on results.
-4. Blocks that hold two texts or more are kept. In each, one centre is compared with all others: sizes and whole sketches
-   first, then the sets. Members that are not yet of one component meet further centres, then each other, in parts.
+4. Blocks that hold two texts or more are kept, one of those that hold the same texts. In each, one centre is compared with
+   all others: sizes and whole sketches first, then the sets. Members that are not yet of one component meet further
+   centres; what is left then meets in parts of bounded size, which give back only links that join components.
 
 Defined results: texts that are null, empty or without a word have an empty set, are linked with nothing and are components
 of their own; fewer words than a shingle are one shingle; repeated rows and texts with equal sets share a component; a null
@@ -48,7 +49,7 @@ class JoinOptions:
     #: Rows (about 40 bytes each) that are broadcast at most.
     broadcast_rows: int = 500_000
     #: Centres that a block compares with its members before all are compared in parts.
-    turns: int = 4
+    turns: int = 3
     #: Members and bytes of a part; the names are those that ``blocks`` reads.
     group: int = 256
     group_bytes: int = 8 << 20
@@ -255,13 +256,17 @@ def sketched(docs: DataFrame, known: Frequencies, o: JoinOptions) -> DataFrame:
 
 
 def members_of(rows: DataFrame, o: JoinOptions) -> DataFrame:
-    """bucket, node: the texts of every block that holds two texts or more."""
-    keys = rows.filter(F.col("node").isNotNull())
-    # Two texts with one 64-bit digest among those of a block would be missed: one chance in 2^64 a pair.
-    short = keys.select(F.explode("keys").alias("bucket"), F.xxhash64("node").alias("t"))
-    shared = staged(short.groupBy("bucket").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a < b").select("bucket"), "shared-blocks")
+    """bucket, node, n, t (digest of node), centre (the least t of its block), size (rows of the block): the texts of every
+    block that holds two texts or more. Of blocks that hold the same texts one stays: the others' pairs are the same.
+    """
+    keys = rows.filter(F.col("node").isNotNull()).withColumn("t", F.xxhash64("node"))
+    # Two texts with one 64-bit digest in a block, or two blocks with equal sums of 62 bits, would be taken for one.
+    low = lambda k: F.sum(F.shiftright("t", k).bitwiseAND(F.lit((1 << 31) - 1)))
+    held = keys.select(F.explode("keys").alias("bucket"), "t").groupBy("bucket").agg(F.min("t").alias("centre"), F.max("t").alias("last"), F.count("*").alias("size"), low(0).alias("x"), low(31).alias("y"))
+    one = held.filter("centre < last").groupBy("centre", "last", "size", "x", "y", F.col("bucket").bitwiseAND(F.lit(1)).alias("odd")).agg(F.min("bucket").alias("bucket"))
+    shared = staged(one.select("bucket", "centre", "size"), "shared-blocks")
     few = F.broadcast(shared) if shared.count() <= o.broadcast_rows else shared
-    return staged(keys.select(F.explode("keys").alias("bucket"), "node").join(few, "bucket", "left_semi").distinct(), "members")
+    return staged(keys.select(F.explode("keys").alias("bucket"), "node", "n", "t").join(few, "bucket").dropDuplicates(["bucket", "node"]), "members")
 
 
 def active_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, o: JoinOptions) -> DataFrame:
@@ -327,61 +332,72 @@ def linked(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     return staged(by_key(close, whole("a"), "a").join(whole("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(verify, "a binary, b binary"), "links")
 
 
-def compared(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
-    """a, b: pairs of different labels within the groups (bucket, at, node, label) that sizes and sketches do not rule out."""
+def settled(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
+    """a, b: links that join the labels of each group (bucket, at, node, label), of bounded size: at most one a member."""
     low = (F.col("band") % 2) != F.col("at")
-    rows = groups.join(sets.select("node", "n", "band", "own", "below"), "node").select("bucket", "node", "label", "n", low.alias("low"), F.when(low, F.col("below")).otherwise(F.col("own")).alias("sketch"))
+    rows = groups.join(sets.select("node", "n", "band", "own", "below", "hashes"), "node")
+    rows = rows.select("bucket", "node", "label", "n", low.alias("low"), F.when(low, F.col("below")).otherwise(F.col("own")).alias("sketch"), "hashes")
 
     def run(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        node, n = t.column("node").to_pylist(), t.column("n").to_numpy()
-        low = t.column("low").to_numpy()
+        node, n, low = t.column("node").to_pylist(), t.column("n").to_numpy(), t.column("low").to_numpy()
         label = np.unique([x.hex() for x in t.column("label").to_pylist()], return_inverse=True)[1]
         bits = np.stack([np.frombuffer(x, "u8") for x in t.column("sketch").to_pylist()])
+        held = [np.frombuffer(x, "u8") for x in t.column("hashes").to_pylist()]
         a, b = [], []
         for i in range(len(node) - 1):
             m = n[i + 1 :]
-            ok = (label[i + 1 :] != label[i]) & ~(low[i + 1 :] & low[i]) & (np.minimum(m, n[i]) * o.denominator >= np.maximum(m, n[i]) * o.numerator)
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero((label[i + 1 :] != label[i]) & ~(low[i + 1 :] & low[i]) & (np.minimum(m, n[i]) * o.denominator >= np.maximum(m, n[i]) * o.numerator))
             differ = np.bitwise_count(bits[i + 1 + at] ^ bits[i]).sum(1)
             at = at[(o.denominator + o.numerator) * differ.astype("i8") <= (o.denominator - o.numerator) * (m[at] + n[i])] + i + 1
-            a += [node[i]] * len(at)
-            b += [node[k] for k in at.tolist()]
+            for k in at.tolist():
+                if label[i] != label[k]:
+                    both = len(np.intersect1d(held[i], held[k], assume_unique=True))
+                    if o.denominator * both >= o.numerator * (n[i] + n[k] - both):
+                        a.append(node[i])
+                        b.append(node[k])
+                        label[label == label[k]] = label[i]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(run, "a binary, b binary")
 
 
+def labelled(left: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``left`` (bucket, node, n) with the label of each node's component."""
+    labels = components(reduce(DataFrame.unionByName, links))
+    return staged(left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+
+
 def set_links(members: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     """node, label: the components of all texts that are linked."""
-    links, left, label, turn = [], members, None, 0
-    while True:
-        own = left if label is None else left.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        own = own.withColumn("label", F.col("node")) if label is None else own
-        counts = own.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-        most = F.max_by("label", F.struct("k", "label")).alias("main")
-        sums = counts.groupBy("bucket").agg(most, F.max("k").alias("n_main"), F.sum("k").alias("n")).filter("n > n_main")
-        sums = staged(sums, "open-blocks")
-        if sums.isEmpty():
-            break
-        own = staged(by_key(staged(own, "labelled"), sums, "bucket"), "open")
-        if turn == o.turns:
-            size = F.lit(o.group_bytes // (8 * o.group)).cast("long")
-            wide = own.withColumns({"n_other": F.col("n") - F.col("n_main"), "b_other": (F.col("n") - F.col("n_main")) * size, "b_main": F.col("n_main") * size, "at": F.col("bucket").bitwiseAND(F.lit(1)).cast("int")})
-            small = F.col("n") <= o.group
-            cols = ["bucket", "at", "node", "label"]
-            groups = wide.filter(small).select(*cols).unionByName(blocks(wide.filter(~small), o).select(*cols))
-            links.append(linked(compared(groups, sets, o), sets, o))
-            break
-        outside = F.col("label") == F.col("main") if turn else F.lit(False)
-        centres = own.groupBy("bucket").agg(F.min(F.struct(outside.alias("o"), F.xxhash64("node", F.lit(turn)).alias("p"), "node", "label")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.label").alias("of"))
-        met = staged(by_key(own.select("bucket", "node", "label"), centres, "bucket"), "met")
-        links.append(linked(met.filter((F.col("label") != F.col("of"))).select("a", F.col("node").alias("b")), sets, o))
-        left = met.filter(F.col("node") != F.col("a")).select("bucket", "node")  # a centre has met all of its block
-        label = components(reduce(DataFrame.unionByName, links))
-        turn += 1
-    return components(reduce(DataFrame.unionByName, links)) if links else members.select("node", F.col("node").alias("label")).limit(0)
+    names = members.filter(F.col("t") == F.col("centre")).select("centre", F.col("node").alias("a")).distinct()
+    stars = staged(members.filter(F.col("t") != F.col("centre")).select("centre", F.col("node").alias("b")).distinct(), "stars")
+    links = [linked(by_key(stars, names, "centre").select("a", "b"), sets, o)]
+    # A centre has met all of its block; a block of two is done.
+    left = members.filter((F.col("size") > 2) & (F.col("t") != F.col("centre"))).select("bucket", "node", "n")
+    for turn in range(1, o.turns + 1):
+        own = labelled(left, links)
+        # A label is drawn before a node, so that components of few members have their turn.
+        first = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("l"), F.xxhash64("node", F.lit(turn)).alias("p"), "node", "label")).alias("c")
+        blocks_ = staged(own.groupBy("bucket").agg(first, F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket", F.col("c.node").alias("a"), F.col("c.label").alias("of")), "open-blocks")
+        if blocks_.isEmpty():
+            return components(reduce(DataFrame.unionByName, links))
+        met = staged(by_key(own, blocks_, "bucket"), "met")
+        links.append(linked(met.filter(F.col("label") != F.col("of")).select("a", F.col("node").alias("b")), sets, o))
+        left = met.filter(F.col("node") != F.col("a")).select("bucket", "node", "n")
+    own = labelled(left, links)
+    counts = own.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum(8 * F.col("n")).alias("b"))
+    most = F.struct("k", "label")
+    sums = counts.groupBy("bucket").agg(F.max_by("label", most).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("m"), F.max_by("b", most).alias("b_main"), F.sum("b").alias("bytes")).filter("m > n_main")
+    sums = staged(sums.withColumns({"n_other": F.col("m") - F.col("n_main"), "b_other": F.col("bytes") - F.col("b_main")}), "open-blocks")
+    if not sums.isEmpty():
+        rows = by_key(own, sums, "bucket").withColumn("at", F.col("bucket").bitwiseAND(F.lit(1)).cast("int"))
+        small = (F.col("m") <= o.group) & (F.col("bytes") <= o.group_bytes)
+        cols = ["bucket", "at", "node", "label"]
+        groups = rows.filter(small).select(*cols).unionByName(blocks(rows.filter(~small), o).select(*cols))
+        links.append(staged(settled(groups, sets, o), "settled"))
+    return components(reduce(DataFrame.unionByName, links))
 
 
 def set_components(docs: DataFrame, options: JoinOptions | None = None) -> DataFrame:
