@@ -16,8 +16,12 @@ def test_chart_json(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.chart_json(spark, str(tmp_path / "a.json"), "H1")
     (tmp_path / "b.json").write_text(json.dumps({"chart": {"result": None, "error": {"code": "Not Found", "description": "x"}}}))
-    with pytest.raises(RuntimeError):
-        readers.chart_json(spark, str(tmp_path / "b.json"))
+    (tmp_path / "c.json").write_text('{"chart": {"result": [')
+    (tmp_path / "d.json").write_text("{}")
+    rows, failures = readers.chart_responses(spark, str(tmp_path))
+    assert [r["symbol"] for r in rows.collect()] == ["A.NS"]
+    found = {r["source"][-6:]: (r["code"], r["message"]) for r in failures.collect()}
+    assert found == {"b.json": ("Not Found", "x"), "c.json": ("Malformed", "the response is no JSON object"), "d.json": ("Empty", "the response has no result")}
 
 
 def test_broker_json(spark, tmp_path):
@@ -42,3 +46,25 @@ def test_store_upserts_candles(spark, tmp_path):
     s.put("candles", candles(spark, [(10, 11, 9, 10.5)]))
     got = s.candles(1, "Daily").orderBy("ts").collect()
     assert [r["close"] for r in got] == [10.5, 10.0]
+
+
+def test_a_put_writes_only_what_changes(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"), buckets=8)
+    rows = [candles(spark, [(10, 11, 9, 10)] * 3, symbol=k) for k in range(1, 6)]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).unionByName(rows[4])
+    first = s.put("candles", every)
+    assert 1 < first <= 5 and s.put("candles", every) == 0 and s.versions("candles") == [1]
+    assert s.put("candles", candles(spark, [(10, 11, 9, 10), (10, 11, 9, 10.5)], symbol=2)) == 1
+    assert s.candles(2).count() == 3 and s.candles(2, "Daily").filter("close = 10.5").count() == 1 and s.candles(2, "Weekly").count() == 0
+    assert s.get("candles").count() == 15
+    files = list((tmp_path / "store/candles/data").rglob("*.parquet"))
+    assert len({f.parent for f in files if f.parent.parent.name == "2"}) == 1
+    (tmp_path / "store/candles/data/3/bucket=Daily-0").mkdir(parents=True)  # a run that died
+    assert s.get("candles").count() == 15
+
+
+def test_null_keys_and_repeats(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(None, None, "a", "x"), (None, None, "a", "x"), (1, None, "b", None)], "symbol_id long, as_of_date date, flag_type string, detail string")
+    assert s.put("quality_flags", rows) == 2 and s.put("quality_flags", rows) == 0
+    assert s.get("quality_flags").count() == 2

@@ -148,12 +148,17 @@ FOLD_COLUMNS: tuple[str, ...] = tuple(c for i in FOLDS for c in i.columns)
 
 
 def prepared(candles: DataFrame) -> DataFrame:
-    """Candles with bar number, previous closes, typical price, true range and log return."""
+    """Candles with bar number, previous closes, typical price, true range and log return.
+
+    ``error`` says which value was missing first, from that candle on: what is worked out from a series ends there, and
+    no other series is touched.
+    """
     w = series()
     pc = F.lag("close").over(w)
     tp = (_c("high") + _c("low") + _c("close")) / 3
     out = candles.withColumns({"rn": F.row_number().over(w), "close_1": pc, "tp": tp, "log_ret": F.when(pc > 0, F.log(_c("close") / pc)), "tr": F.greatest(_c("high") - _c("low"), F.abs(_c("high") - pc), F.abs(_c("low") - pc))})
-    return out.withColumn("tp_1", F.lag("tp").over(w))
+    missing = F.coalesce(*(F.when(_c(x).isNull(), F.concat(F.lit(f"null {x} on "), _c("ts").cast("date").cast("string"))) for x in ("high", "low", "close", "volume")))
+    return out.withColumns({"tp_1": F.lag("tp").over(w), "error": F.first(missing, ignorenulls=True).over(so_far())})
 
 
 def window_indicators(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -333,10 +338,15 @@ def fold_indicators(bars: DataFrame, columns: tuple[str, ...] | None = None, blo
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("ts")
-        h, lo, c, v, tr = (t.column(x).to_pylist() for x in ("high", "low", "close", "volume", "tr"))
-        made = fold_series(h, lo, c, v, tr, set(wanted))
+        error = t.column("error").to_pylist()
+        whole = next((k for k, e in enumerate(error) if e is not None), len(error))  # candles before the first failure
+        try:
+            made = fold_series(*(t.column(x).slice(0, whole).to_pylist() for x in ("high", "low", "close", "volume", "tr")), set(wanted))
+        except Exception as failed:  # one series fails by itself: its rows say why
+            made, error = {k: [] for k in wanted}, [e or f"{type(failed).__name__}: {failed}" for e in error]
+            t = t.set_column(t.column_names.index("error"), "error", pa.array(error, pa.string()))
         for k in wanted:
-            t = t.append_column(k, pa.array(made[k], pa.float64()))
+            t = t.append_column(k, pa.array(made[k] + [None] * (t.num_rows - len(made[k])), pa.float64()))
         return t
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
@@ -345,7 +355,8 @@ def fold_indicators(bars: DataFrame, columns: tuple[str, ...] | None = None, blo
     if long.isEmpty():
         return head
     tail = long_series(bars.join(staged(long, "long-series"), SERIES, "left_semi"), wanted, block)
-    return head.unionByName(tail.filter(F.col("rn") > block))
+    known = {k: F.when(F.col("error").isNull(), F.col(k)) for k in wanted}
+    return head.unionByName(tail.filter(F.col("rn") > block).withColumns(known))
 
 
 def _mean_from(x: str, n: int, at: int, k: float) -> Affine:
@@ -477,7 +488,7 @@ def indicator(candles: DataFrame, key: str, rounded: bool = False) -> DataFrame:
     """symbol_id, timeframe, ts, the columns and the signal of one indicator; ``rounded`` to four decimals first."""
     i = REGISTRY[key]
     bars = prepared(candles)
-    bars = window_indicators(bars, [key]) if i.window else fold_indicators(bars.select(*SERIES, "ts", "high", "low", "close", "close_1", "volume", "tr", "rn"), i.columns)
+    bars = window_indicators(bars, [key]) if i.window else fold_indicators(bars.select(*SERIES, "ts", "high", "low", "close", "close_1", "volume", "tr", "rn", "error"), i.columns)
     if rounded:
         bars = bars.withColumns({c: r4(F.col(c)) for c in i.columns})
     return bars.select(*SERIES, "ts", *i.columns, i.signal().alias("signal"))

@@ -34,8 +34,12 @@ def stage1(
     planned = trade_plan(plan_inputs(decided.filter(F.col("outcome").isin("Buy", "StrongBuy")), mitigated, legs(state), o.risk), o.risk)
     plan = planned.select(*SERIES, *PLAN)
     out = decided.join(plan, SERIES, "left")
-    excluded = F.col("hard_gate_failed") == "DataQuality"
-    return out.select("symbol_id", "ts", "direction", "regime", "hard_gate_failed", "outcome", "confidence", *(f"score_{k}" for k in LAYERS), *PLAN, F.coalesce(excluded, F.lit(False)).alias("excluded"), "reasoning")
+    # A series that failed is excluded with its message, and leaves the others alone.
+    failed = F.col("error").isNotNull()
+    excluded = failed | F.coalesce(F.col("hard_gate_failed") == "DataQuality", F.lit(False))
+    sound = [F.when(~failed, F.col(c)).alias(c) for c in ("direction", "regime", "hard_gate_failed", "outcome", "confidence", *(f"score_{k}" for k in LAYERS), *PLAN)]
+    reason = F.when(failed, F.concat(F.lit("Failed: "), "error")).otherwise(F.col("reasoning"))
+    return out.select("symbol_id", "ts", *sound, excluded.alias("excluded"), reason.alias("reasoning"))
 
 
 def shortlist(scanned: DataFrame, options: EngineOptions | None = None) -> DataFrame:

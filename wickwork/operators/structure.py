@@ -146,9 +146,9 @@ def with_mitigation(zone_rows: DataFrame, frame: DataFrame) -> DataFrame:
 
     def run(z: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("rn")
-        rn, high, low = (b.column(x).to_numpy() for x in ("rn", "high", "low"))
+        rn, high, low = (b.column(x).to_numpy() for x in ("rn", "high", "low"))  # a missing price is NaN and hits nothing
         edges = np.arange(0, len(rn), block)
-        tops, bottoms = (np.maximum.reduceat(high, edges), np.minimum.reduceat(low, edges)) if len(rn) else (high, low)
+        tops, bottoms = (np.fmax.reduceat(high, edges), np.fmin.reduceat(low, edges)) if len(rn) else (high, low)
 
         def first(start: int, under: float, over: float):
             """The first candle from ``start`` on with low <= under and high >= over."""

@@ -407,6 +407,77 @@ def backtest_by_days(spark, d):
     return _rounded(t, "r_multiple").select("symbol_id", "ts", "outcome", "result", "exit_ts", "r_multiple")
 
 
+_FAILING = "symbol_id % 5 = 0 and dayofmonth(ts) = 7"
+
+
+@_add("scan_failures", O.q(
+    f"{_SCAN_SQL}, bad as (select symbol_id, min(ts) bd from c where {_FAILING} group by 1)",
+    f"select sc.symbol_id, case when bad.bd is null then outcome end outcome, case when bad.bd is null then {O.r4('confidence')} end confidence, bad.bd is not null or excluded excluded, 'Failed: null close on ' || bad.bd failure from sc left join bad using (symbol_id)",
+))
+def scan_failures(spark, d):
+    """Stage 1 over candles of which some have no close: their series are excluded with a message, the others are whole."""
+    daily, index = _daily(spark, d)
+    broken = daily.withColumn("close", F.when(~F.expr(_FAILING), F.col("close")))
+    s = _rounded(scan.stage1(broken, index), "confidence")
+    return s.select("symbol_id", "outcome", "confidence", "excluded", F.when(F.col("reasoning").startswith("Failed: "), F.col("reasoning")).alias("failure"))
+
+
+@_add("read_failures", O.q(O.CANDLES,
+    "select 'candles' kind, 'SYM' || symbol_id as name, count(*) n from c where symbol_id % 7 <> 0 and symbol_id % 11 <> 0 group by 2 "
+    "union all select 'failure', 'Not Found: no data', count(distinct symbol_id) from c where symbol_id % 7 = 0 having count(*) > 0 "
+    "union all select 'failure', 'Malformed: the response is no JSON object', count(distinct symbol_id) from c where symbol_id % 7 <> 0 and symbol_id % 11 = 0 having count(*) > 0",
+))
+def read_failures(spark, d):
+    """Provider responses of every symbol, some of them errors and some cut short: what was read, and what failed."""
+    import uuid
+
+    from wickwork.functions.staging import shared_dir
+    from wickwork.sources.readers import chart_responses
+
+    bars_ = F.sort_array(F.collect_list(F.struct(F.unix_timestamp("ts").alias("timestamp"), "open", "high", "low", "close", "adj_close", "volume"))).alias("b")
+    c = derived.daily_candles(spark, d).groupBy("symbol_id").agg(bars_)
+    part = lambda name: F.col(f"b.{name}").alias(name)
+    indicators_ = F.struct(F.array(F.struct(*(part(x) for x in ("open", "high", "low", "close", "volume")))).alias("quote"), F.array(F.struct(F.col("b.adj_close").alias("adjclose"))).alias("adjclose"))
+    result = F.struct(F.struct(F.concat(F.lit("SYM"), F.col("symbol_id").cast("string")).alias("symbol")).alias("meta"), part("timestamp"), indicators_.alias("indicators"))
+    body = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")))
+    error = F.lit('{"chart": {"result": null, "error": {"code": "Not Found", "description": "no data"}}}')
+    line = F.when(F.col("symbol_id") % 7 == 0, error).when(F.col("symbol_id") % 11 == 0, F.substring(body, 1, 60)).otherwise(body)
+    path = f"{shared_dir(spark)}/responses-{uuid.uuid4().hex}"
+    c.select(line.alias("value")).write.text(path)
+    rows, failures = chart_responses(spark, path, lines=True)
+    read = rows.groupBy(F.lit("candles").alias("kind"), F.col("symbol").alias("name")).agg(F.count("*").alias("n"))
+    return read.unionByName(failures.groupBy(F.lit("failure").alias("kind"), F.concat_ws(": ", "code", "message").alias("name")).agg(F.count("*").alias("n")))
+
+
+def _scan_frame(spark, d):
+    """Candles with every indicator and their structure, and the zones, each written once."""
+    daily = staged(derived.daily_candles(spark, d), "candles")
+    f = staged(structure.structure_frame(daily, indicators=patterns.patterns(indicators.indicator_frame(daily))), "frame")
+    return f, staged(structure.with_mitigation(structure.zones(f), f), "zones")
+
+
+_LAST_EVENTS = (
+    "select symbol_id, timeframe, ts, break_kind event_type, case when break_dir = 1 then 'Bullish' else 'Bearish' end || ' through ' || printf('%.2f', broken_price) detail from lg where break_kind is not null "
+    "union all select symbol_id, timeframe, ts, 'Swing' || swing, printf('%.2f', swing_price) || ' of ' || swing_ts from lg where swing is not null "
+    "union all select distinct symbol_id, timeframe, ts, event, '' from ev"
+)
+
+
+@_add("persisted_events", O.q(f"{_ZONES}, {O.EVENTS}, le as ({_LAST_EVENTS})", "select symbol_id, ts, event_type, detail, cast(0 as bigint) written_again from le where ts = (select max(ts) from c m where m.symbol_id = le.symbol_id)"))
+def persisted_events(spark, d):
+    """What a scan stores of the last candles; it is stored twice, and the second run writes nothing."""
+    import uuid
+
+    from wickwork.functions.staging import shared_dir
+    from wickwork.operators.persist import persist_scan
+    from wickwork.sources.store import Store
+
+    store, (f, z) = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16), _scan_frame(spark, d)
+    persist_scan(store, f, z)
+    again = sum(persist_scan(store, f, z).values())
+    return store.get("structure_events").select("symbol_id", "ts", "event_type", "detail", F.lit(again).cast("bigint").alias("written_again"))
+
+
 _RECONCILE = f"{O.CANDLES}, old as materialized (select symbol_id, timeframe, ts, case when dayofmonth(ts) = 4 then 0 when symbol_id % 7 = 0 then adj_close*0.99e0 else adj_close end adj_close from c where dayofmonth(ts) <> 2)"
 
 

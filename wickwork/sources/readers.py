@@ -12,20 +12,32 @@ _QUOTE = "struct<open:array<double>,high:array<double>,low:array<double>,close:a
 CHART = f"chart struct<result:array<struct<meta:struct<symbol:string>,timestamp:array<bigint>,indicators:struct<quote:array<{_QUOTE}>,adjclose:array<struct<adjclose:array<double>>>>>>,error:struct<code:string,description:string>>"
 
 
-def chart_json(spark: SparkSession, path: str, timeframe: str = "Daily") -> DataFrame:
-    """symbol, timeframe, ts and prices of chart responses: parallel arrays by place, bars with a null or invalid left out."""
+def chart_responses(spark: SparkSession, path: str, timeframe: str = "Daily", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(candles, failures) of chart responses, one a file, or one a line with ``lines``.
+
+    Candles: symbol, timeframe, ts and prices; parallel arrays by place, bars with a null or invalid left out. Failures:
+    source (file), code and message of every response that is an error or no response at all; they end no read.
+    """
     if timeframe not in ("Daily", "Weekly"):
         raise ValueError(f"the chart provider has no {timeframe} candles")
-    raw = spark.read.schema(CHART).option("multiLine", True).json(path)
-    failed = raw.filter(F.col("chart.error").isNotNull()).select("chart.error.code", "chart.error.description").first()
-    if failed:
-        raise RuntimeError(f"chart provider: {failed['code']}: {failed['description']}")
-    r = raw.select(F.explode("chart.result").alias("r")).select("r.meta.symbol", "r.timestamp", F.col("r.indicators.quote")[0].alias("q"), F.get("r.indicators.adjclose", F.lit(0))["adjclose"].alias("a"))
+    raw = spark.read.schema(f"{CHART}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("multiLine", not lines).json(path)
+    raw = raw.select("chart", "_broken", F.input_file_name().alias("source"))
+    empty = F.coalesce(F.size("chart.result"), F.lit(-1)) < 1
+    failed = F.col("_broken").isNotNull() | F.col("chart.error").isNotNull() | empty
+    code = F.when(F.col("_broken").isNotNull(), "Malformed").otherwise(F.coalesce("chart.error.code", F.lit("Empty")))
+    message = F.when(F.col("_broken").isNotNull(), F.lit("the response is no JSON object")).otherwise(F.coalesce("chart.error.description", F.lit("the response has no result")))
+    failures = raw.filter(failed).select("source", code.alias("code"), message.alias("message"))
+    r = raw.filter(~failed).select(F.explode("chart.result").alias("r")).select("r.meta.symbol", "r.timestamp", F.get("r.indicators.quote", F.lit(0)).alias("q"), F.get("r.indicators.adjclose", F.lit(0))["adjclose"].alias("a"))
     r = r.withColumn("a", F.coalesce("a", F.array().cast("array<double>")))
     z = r.select("symbol", F.inline(F.arrays_zip("timestamp", F.col("q.open").alias("open"), F.col("q.high").alias("high"), F.col("q.low").alias("low"), F.col("q.close").alias("close"), F.col("q.volume").alias("volume"), F.col("a").alias("adj"))))
     z = z.dropna(subset=["timestamp", "open", "high", "low", "close", "volume"])
     out = z.select("symbol", F.lit(timeframe).alias("timeframe"), F.timestamp_seconds("timestamp").alias("ts"), "open", "high", "low", "close", F.coalesce("adj", "close").alias("adj_close"), "volume")
-    return validate(out).filter(F.col("invalid_reason").isNull()).drop("invalid_reason")
+    return validate(out).filter(F.col("invalid_reason").isNull()).drop("invalid_reason"), failures
+
+
+def chart_json(spark: SparkSession, path: str, timeframe: str = "Daily") -> DataFrame:
+    """The candles of all chart responses that hold some; ``chart_responses`` gives the failures beside them."""
+    return chart_responses(spark, path, timeframe)[0]
 
 
 INTERVALS = {"Weekly": "week", "Daily": "day", "H1": "60minute", "M30": "30minute", "M15": "15minute"}
