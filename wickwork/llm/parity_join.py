@@ -49,7 +49,7 @@ class JoinOptions:
     #: Rows (about 40 bytes each) that are broadcast at most.
     broadcast_rows: int = 500_000
     #: Centres that a block compares with its members before all are compared in parts.
-    turns: int = 3
+    turns: int = 2
     #: Members and bytes of a part; the names are those that ``blocks`` reads.
     group: int = 256
     group_bytes: int = 8 << 20
@@ -332,35 +332,68 @@ def linked(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     return staged(by_key(close, whole("a"), "a").join(whole("b"), "b").select("a", "b", "h_a", "h_b").mapInArrow(verify, "a binary, b binary"), "links")
 
 
+def _placed(groups: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """``groups`` (bucket, at, node, label) with n, the sketch for the block's band, and whether the set is of the band above."""
+    above = (F.col("band") % 2) != F.col("at")
+    rows = groups.join(sets.select("node", "n", "band", "own", "below", *more), "node")
+    return rows.select("bucket", "at", "node", "label", "n", above.alias("above"), F.when(above, F.col("below")).otherwise(F.col("own")).alias("sketch"), *more)
+
+
+class _Group:
+    """The members of a part, and for each the later ones that sizes and sketches do not rule out."""
+
+    def __init__(self, t: pa.Table, o: JoinOptions):
+        import numpy as np
+
+        self.o, self.n, self.above = o, t.column("n").to_numpy(), t.column("above").to_numpy(zero_copy_only=False)
+        self.label = np.unique([x.hex() for x in t.column("label").to_pylist()], return_inverse=True)[1]
+        self.bits = np.stack([np.frombuffer(x, "u8") for x in t.column("sketch").to_pylist()])
+
+    def near(self, i: int):
+        import numpy as np
+
+        o, n, m = self.o, self.n[i], self.n[i + 1 :]
+        at = np.flatnonzero((self.label[i + 1 :] != self.label[i]) & ~(self.above[i + 1 :] & self.above[i]) & (np.minimum(m, n) * o.denominator >= np.maximum(m, n) * o.numerator))
+        differ = np.bitwise_count(self.bits[i + 1 + at] ^ self.bits[i]).sum(1)
+        return at[(o.denominator + o.numerator) * differ.astype("i8") <= (o.denominator - o.numerator) * (m[at] + n)] + i + 1
+
+
+def possible(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
+    """The rows of ``groups`` that have a partner of another label which sizes and sketches do not rule out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        import numpy as np
+
+        g, keep = _Group(t, o), np.zeros(t.num_rows, bool)
+        for i in range(t.num_rows - 1):
+            near = g.near(i)
+            if len(near):
+                keep[i] = keep[near] = True
+        return t.select(["bucket", "at", "node", "label"]).filter(pa.array(keep))
+
+    return _placed(groups, sets).groupBy("bucket").applyInArrow(run, "bucket long, at int, node binary, label binary")
+
+
 def settled(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     """a, b: links that join the labels of each group (bucket, at, node, label), of bounded size: at most one a member."""
-    low = (F.col("band") % 2) != F.col("at")
-    rows = groups.join(sets.select("node", "n", "band", "own", "below", "hashes"), "node")
-    rows = rows.select("bucket", "node", "label", "n", low.alias("low"), F.when(low, F.col("below")).otherwise(F.col("own")).alias("sketch"), "hashes")
 
     def run(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        node, n, low = t.column("node").to_pylist(), t.column("n").to_numpy(), t.column("low").to_numpy()
-        label = np.unique([x.hex() for x in t.column("label").to_pylist()], return_inverse=True)[1]
-        bits = np.stack([np.frombuffer(x, "u8") for x in t.column("sketch").to_pylist()])
+        g, node = _Group(t, o), t.column("node").to_pylist()
         held = [np.frombuffer(x, "u8") for x in t.column("hashes").to_pylist()]
         a, b = [], []
         for i in range(len(node) - 1):
-            m = n[i + 1 :]
-            at = np.flatnonzero((label[i + 1 :] != label[i]) & ~(low[i + 1 :] & low[i]) & (np.minimum(m, n[i]) * o.denominator >= np.maximum(m, n[i]) * o.numerator))
-            differ = np.bitwise_count(bits[i + 1 + at] ^ bits[i]).sum(1)
-            at = at[(o.denominator + o.numerator) * differ.astype("i8") <= (o.denominator - o.numerator) * (m[at] + n[i])] + i + 1
-            for k in at.tolist():
-                if label[i] != label[k]:
+            for k in g.near(i).tolist():
+                if g.label[i] != g.label[k]:
                     both = len(np.intersect1d(held[i], held[k], assume_unique=True))
-                    if o.denominator * both >= o.numerator * (n[i] + n[k] - both):
+                    if o.denominator * both >= o.numerator * (len(held[i]) + len(held[k]) - both):
                         a.append(node[i])
                         b.append(node[k])
-                        label[label == label[k]] = label[i]
+                        g.label[g.label == g.label[k]] = g.label[i]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "a binary, b binary")
+    return _placed(groups, sets, "hashes").groupBy("bucket").applyInArrow(run, "a binary, b binary")
 
 
 def labelled(left: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -396,7 +429,7 @@ def set_links(members: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
         small = (F.col("m") <= o.group) & (F.col("bytes") <= o.group_bytes)
         cols = ["bucket", "at", "node", "label"]
         groups = rows.filter(small).select(*cols).unionByName(blocks(rows.filter(~small), o).select(*cols))
-        links.append(staged(settled(groups, sets, o), "settled"))
+        links.append(staged(settled(staged(possible(groups, sets, o), "possible"), sets, o), "settled"))
     return components(reduce(DataFrame.unionByName, links))
 
 
