@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,7 +125,8 @@ def plain_alignment(texts):
             continue
         ends = [list(np.cumsum([len(x) for x in z])) for z in (xs, ys)]
         cut = sorted(set(ends[0]) & set(ends[1]))
-        groups = ";".join(f"{','.join(str(i) for i, e in zip(a, ends[0]) if lo < e <= hi)}|{','.join(str(i) for i, e in zip(b, ends[1]) if lo < e <= hi)}" for lo, hi in zip([0, *cut], cut))
+        places = [[0, *(bisect_right(e, c) for c in cut)] for e in ends]
+        groups = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:e]))}" for i, k, j, e in zip(places[0], places[0][1:], places[1], places[1][1:]))
         links, j0 = [], 0
         for i, (x, e) in enumerate(zip(xs, ends[0])):
             for j in range(j0, len(ys)):

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ class AlignmentOptions:
     #: Pairs that a task holds before it hands counts on.
     buffer: int = 4_000_000
     #: Chunks of a cache generation, and characters of a chunk that is kept.
-    cache: int = 300_000
+    cache: int = 400_000
     cache_chars: int = 64
 
 
@@ -61,7 +62,9 @@ class Transducer:
         self.bytes = (left, right)
         self.number: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple[int, bytes]] = [(0, b"")]
+        self.leads: list[int] = [0]
         self.steps: dict[tuple[int, int], int] = {}
+        self.first = [self._state(0, b) for b in left]
 
     def _state(self, side: int, rest: bytes) -> int:
         """0 for an empty residual; else the number of (leading side, residual)."""
@@ -71,6 +74,7 @@ class Transducer:
         if found is None:
             found = self.number[side, rest] = len(self.states)
             self.states.append((side, rest))
+            self.leads.append(side)
         return found
 
     def _step(self, state: int, token: int) -> int:
@@ -88,36 +92,42 @@ class Transducer:
         self.steps[state, token] = out
         return out
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """(groups, links) of two sequences, None where they spell different bytes."""
-        groups, links, state, i, j, from_i, from_j = [], [], 0, 0, 0, 0, 0
-        known, states = self.steps.get, self.states
-        while i < len(a) or j < len(b):
+    def walk(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
+        """(ends of the groups in both sequences, links) of two sequences, None where they spell different bytes."""
+        ends, links, state, i, j, x, y, m, n = [], [], 0, 0, 0, 0, 0, len(a), len(b)
+        known, leads, first = self.steps.get, self.leads, self.first
+        while True:
             if state == 0:
-                if i == len(a):
-                    return None
-                state = self._state(0, self.bytes[0][a[i]])
+                if i == m:
+                    return (ends, links) if j == n else None
+                x = a[i]
                 i += 1
-                continue
-            if states[state][0] == 0:
-                if j == len(b):
+                state = first[x]
+            if leads[state] == 0:
+                if j == n:
                     return None
-                token = b[j]
+                token = y = b[j]
                 j += 1
             else:
-                if i == len(a):
+                if i == m:
                     return None
-                token = a[i]
+                token = x = a[i]
                 i += 1
             new = known((state, token))
             state = self._step(state, token) if new is None else new
             if state < 0:
                 return None
-            links.append((a[i - 1], b[j - 1]))
+            links.append((x, y))
             if state == 0:
-                groups.append((a[from_i:i], b[from_j:j]))
-                from_i, from_j = i, j
-        return None if state else (groups, links)
+                ends.append((i, j))
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
+        """(groups, links) of two sequences, None where they spell different bytes."""
+        found = self.walk(a, b)
+        if found is None:
+            return None
+        ends, links = found
+        return [(a[i:k], b[j:e]) for (i, j), (k, e) in zip([(0, 0), *ends], ends)], links
 
 
 class Aligner:
@@ -153,18 +163,19 @@ class Aligner:
 
     def _align_all(self, chunks: list[str]) -> list[tuple | None]:
         """(left tokens, right tokens, groups, text of the groups, keys of the links) of each chunk."""
-        import numpy as np
-
         lefts = [e.ids for e in self.left.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
-        out = []
+        out, shift, code, walk = [], self.shift, "I" if self.kind == "u4" else "Q", self.transducer.walk
         for a, b in zip(lefts, self.right.encode(chunks), strict=True):
-            found = self.transducer.align(a, b)
+            found = walk(a, b)
             if found is None:
                 out.append(None)
                 continue
-            groups, links = found
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            out.append((len(a), len(b), len(groups), text, np.array([(x << self.shift) | y for x, y in links], self.kind).tobytes()))
+            ends, links = found
+            text, i, j = [], 0, 0
+            for k, e in ends:
+                text.append(f"{a[i]}|{b[j]}" if k - i == e - j == 1 else f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:e]))}")
+                i, j = k, e
+            out.append((len(a), len(b), len(ends), ";".join(text), array(code, [x << shift | y for x, y in links]).tobytes()))
         return out
 
     def aligned(self, texts: list[str]) -> list[tuple]:
