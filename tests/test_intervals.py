@@ -57,3 +57,31 @@ def test_pairs_grow_with_hits_and_not_with_zones(spark):
     assert intervals.overlapping(candles, zones).count() == 0
     cell = lambda low, high: F.explode(intervals.cells(F.col(low), F.col(high), 0.01))
     assert candles.select(cell("low", "high").alias("c")).distinct().join(zones.select(cell("bottom", "top").alias("c")), "c").count() == 0
+
+
+def test_in_force_equals_all_pairs(spark):
+    import datetime
+
+    rng, day = random.Random(5), lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    held = [(k % 4, day(a := rng.randrange(0, 60)), None if rng.random() < 0.3 else day(a + rng.randrange(-2, 25)), f"x{k:02d}") for k in range(40)]
+    asked = [(k % 5, day(rng.randrange(-5, 90)) if k % 17 else None, k) for k in range(400)]
+    got = intervals.in_force(spark.createDataFrame(asked, "symbol_id long, day date, n int"), spark.createDataFrame(held, "symbol_id long, effective_from date, effective_to date, external_id string"), "symbol_id", "external_id")
+    want = {}
+    for s, d, n in asked:
+        live = [(a, x) for i, a, z, x in held if i == s and d is not None and a <= d and (z is None or z >= d)]
+        want[n] = max(live)[1] if live else None
+    rows = got.collect()
+    assert len(rows) == 400 and {r["n"]: r["external_id"] for r in rows} == want
+
+
+def test_a_key_with_many_requests(spark):
+    held = spark.createDataFrame([(1, "2000-01-01", None, "a"), (1, "2010-01-01", "2012-01-01", "b")], "symbol_id long, f string, t string, external_id string").select("symbol_id", F.col("f").cast("date").alias("effective_from"), F.col("t").cast("date").alias("effective_to"), "external_id")
+    asked = spark.range(1_000_000).select(F.lit(1).cast("long").alias("symbol_id"), F.date_add(F.lit("2005-01-01").cast("date"), (F.col("id") % 4000).cast("int")).alias("day"))
+    assert {r["external_id"]: r["count"] for r in intervals.in_force(asked, held, "symbol_id", "external_id").groupBy("external_id").count().collect()} == {"a": 817_250, "b": 182_750}
+
+
+def test_ids_of_repeated_and_null_names(spark):
+    from wickwork.operators.reconcile import allocate_ids
+
+    got = allocate_ids(spark.createDataFrame([("B",), ("A",), ("B",), (None,), ("K",)], "nse_symbol string"), spark.createDataFrame([("K", 7), ("L", 9)], "nse_symbol string, symbol_id long"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("A", 10), ("B", 11), ("B", 11), ("K", 7), (None, None)]

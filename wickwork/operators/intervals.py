@@ -87,3 +87,29 @@ def next_above(points: DataFrame, zones: DataFrame) -> DataFrame:
     w = Window.partitionBy(*keys, "_n").orderBy(F.desc("price"), "_zone").rowsBetween(Window.unboundedPreceding, 0)
     merged = z.unionByName(p).withColumn("_found", F.last(F.when(F.col("_zone") == 1, F.col("price")), ignorenulls=True).over(w))
     return merged.filter("_zone = 0").groupBy(*keys, "rn", "price").agg(F.min("_found").alias("found"))
+
+
+def _ordinal(day: Column) -> Column:
+    return F.datediff(day, F.lit("0001-01-01").cast("date")) + 1
+
+
+def in_force(requests: DataFrame, intervals: DataFrame, key: str, value: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """``requests`` (key, day, ...) with the ``value`` of the interval with the latest ``start`` among those of their key that
+    hold the day, both ends included (a null end: no end); null where none does. Of equal starts the greater value counts.
+
+    Intervals become stretches of days first: at each of their borders the newest is looked up by dyadic nodes of days.
+    Requests and stretches are then merged in order of (key, day), so a key may have any number of requests.
+    """
+    i = intervals.select(key, F.col(start).alias("_from"), F.col(end).alias("_to"), F.col(value).alias("_value"))
+    i = i.filter(F.col("_from").isNotNull() & (F.col("_to").isNull() | (F.col("_to") >= F.col("_from"))))
+    borders = i.select(key, F.col("_from").alias("_day")).unionByName(i.filter(F.col("_to").isNotNull()).select(key, F.date_add("_to", 1).alias("_day"))).distinct()
+    newest = F.max(F.struct("_from", "_value"))
+    tops = i.select(key, "_from", "_value", F.explode(span_nodes(_ordinal(F.col("_from")), _ordinal(F.col("_to")) + 1)).alias("_n")).groupBy(key, "_n").agg(newest.alias("_top"))
+    at = borders.select(key, "_day", F.explode(candle_nodes(_ordinal(F.col("_day")))).alias("_n")).join(tops, [key, "_n"]).groupBy(key, "_day").agg(F.max("_top").alias("_top"))
+    stretches = borders.join(at, [key, "_day"], "left").select(key, "_day", F.struct(F.col("_top")["_value"].alias("v")).alias("_stretch"))
+    rest = [c for c in requests.columns if c not in (key, value)]
+    asked = requests.select(key, F.col("day").alias("_day"), F.lit(None).cast(stretches.schema["_stretch"].dataType).alias("_stretch"), F.struct(*rest).alias("_asked"))
+    merged = asked.unionByName(stretches.withColumn("_asked", F.lit(None).cast(asked.schema["_asked"].dataType)))
+    w = Window.partitionBy(key).orderBy("_day", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    merged = merged.withColumn("_now", F.last("_stretch", ignorenulls=True).over(w)).filter(F.col("_asked").isNotNull())
+    return merged.select(key, "_asked.*", F.when(F.col("_day").isNotNull(), F.col("_now")["v"]).alias(value))

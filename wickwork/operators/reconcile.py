@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.config import ReconcileOptions
+from wickwork.functions.staging import staged
+from wickwork.operators.intervals import in_force
 from wickwork.operators.structure import breaks, events, swings
 from wickwork.schema import SERIES
 
@@ -58,29 +60,41 @@ def route(primary: DataFrame, secondary: DataFrame, requests: DataFrame, least:
 
 def mapping_as_of(requests: DataFrame, mapping: DataFrame, symbols: DataFrame, provider: str = "Yahoo") -> DataFrame:
     """symbol_id, day, external_id: the newest mapping in force on the day; the exchange's own name by default."""
-    live = (F.col("effective_from") <= F.col("day")) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("day")))
-    m = requests.join(mapping.filter(F.col("provider") == provider), "symbol_id").filter(live)
-    best = m.groupBy("symbol_id", "day").agg(F.max_by("external_id", "effective_from").alias("external_id"))
-    out = requests.join(best, ["symbol_id", "day"], "left").join(symbols.select("symbol_id", "nse_symbol"), "symbol_id")
+    found = in_force(requests.select("symbol_id", "day"), mapping.filter(F.col("provider") == provider), "symbol_id", "external_id")
+    out = found.join(symbols.select("symbol_id", "nse_symbol"), "symbol_id")
     default = F.concat("nse_symbol", F.lit(".NS")) if provider == "Yahoo" else F.lit(None).cast("string")
     return out.select("symbol_id", "day", F.coalesce("external_id", default).alias("external_id"))
 
 
 def snapshot_as_of(days: DataFrame, snapshots: DataFrame, members: DataFrame) -> DataFrame:
-    """day, symbol_id: the members of the newest snapshot in force on each day."""
-    latest = days.join(snapshots, snapshots.effective_date <= days.day).groupBy("day").agg(F.max_by("snapshot_id", "effective_date").alias("snapshot_id"))
+    """day, symbol_id: the members of the newest snapshot in force on each day.
+
+    Days and snapshots are two short lists of dates, merged in one order; of one day's snapshots the greater id counts.
+    """
+    s = snapshots.groupBy(F.col("effective_date").alias("day")).agg(F.max("snapshot_id").alias("snapshot_id")).withColumn("_asked", F.lit(0))
+    both = s.unionByName(days.select("day", F.lit(None).cast("bigint").alias("snapshot_id"), F.lit(1).alias("_asked")))
+    w = Window.orderBy("day", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    latest = both.withColumn("snapshot_id", F.last("snapshot_id", ignorenulls=True).over(w)).filter("_asked = 1 and snapshot_id is not null and day is not null")
     return latest.join(members, "snapshot_id").select("day", "snapshot_id", "symbol_id")
 
 
 def allocate_ids(fetched: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Rows of ``fetched`` (nse_symbol, ...) with the known id, or ids after the largest; inactive symbols count too."""
-    from pyspark.sql import Window
+    """Rows of ``fetched`` (nse_symbol, ...) with the known id, or ids after the largest in order of names; inactive
+    symbols count too, rows of one name share an id, and a null name has none.
 
-    known = fetched.join(symbols.select("nse_symbol", "symbol_id"), "nse_symbol", "left")
+    Names are dealt to ranges; each range numbers its own, from the count of names in the ranges before it.
+    """
+    known = fetched.drop("symbol_id").join(symbols.select("nse_symbol", "symbol_id"), "nse_symbol", "left")
+    names = known.filter(F.col("symbol_id").isNull() & F.col("nse_symbol").isNotNull()).select("nse_symbol").distinct()
+    ranges = staged(names.repartitionByRange("nse_symbol").withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").count()  # one row a range
+    before = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
     top = symbols.agg(F.coalesce(F.max("symbol_id"), F.lit(0)).alias("_top"))
-    fresh = known.filter(F.col("symbol_id").isNull()).drop("symbol_id").withColumn("_k", F.row_number().over(Window.orderBy("nse_symbol")))
-    fresh = fresh.join(F.broadcast(top), F.lit(True)).withColumn("symbol_id", F.col("_top") + F.col("_k")).drop("_top", "_k")  # one row
-    return known.filter(F.col("symbol_id").isNotNull()).unionByName(fresh.select(*known.columns))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("nse_symbol"))
+    fresh = ranges.withColumn("_own", own).join(F.broadcast(before), "_range").join(F.broadcast(top), F.lit(True))  # a row a range, one row
+    fresh = fresh.select("nse_symbol", (F.col("_top") + F.col("_before") + F.col("_own")).alias("_new"))
+    out = known.join(fresh, "nse_symbol", "left").withColumn("symbol_id", F.coalesce("symbol_id", "_new"))
+    return out.drop("_new")
 
 
 def chart_markers(frame: DataFrame, mitigated: DataFrame) -> DataFrame:

@@ -508,6 +508,14 @@ def universe_snapshot_asof(spark, d):
     return reconcile.snapshot_as_of(days, snaps, members)
 
 
+@_add("allocated_ids", "with sy as (select s_suppkey id, 'SYM' || s_suppkey as nse from supplier where s_suppkey % 4 <> 0), f as (select 'SYM' || s_suppkey as nse from supplier union all select 'NEW' || o_orderkey from orders where o_orderkey % 8 = 0), n as (select nse, row_number() over (order by nse) k from (select distinct nse from f) where nse not in (select nse from sy)) select f.nse nse_symbol, cast(coalesce(sy.id, (select max(id) from sy) + n.k) as bigint) symbol_id from f left join sy using (nse) left join n using (nse)")
+def allocated_ids(spark, d):
+    """Names of a fetched universe: known symbols keep their ids, new ones follow in order of names."""
+    s = derived.symbols(spark, d)
+    new = derived.table(spark, d, "orders").filter("o_orderkey % 8 = 0").select(F.concat(F.lit("NEW"), F.col("o_orderkey").cast("string")).alias("nse_symbol"))
+    return reconcile.allocate_ids(s.select("nse_symbol").unionByName(new), s.filter("symbol_id % 4 <> 0")).select("nse_symbol", "symbol_id")
+
+
 _TRADE_COLS = ("confidence", "entry", "stop_loss", "target1", "target2", "target3", "risk_reward", "exit_price", "r_multiple")
 
 
