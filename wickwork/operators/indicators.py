@@ -494,12 +494,27 @@ def indicator(candles: DataFrame, key: str, rounded: bool = False) -> DataFrame:
     return bars.select(*SERIES, "ts", *i.columns, i.signal().alias("signal"))
 
 
+def _confidence(i: Indicator) -> Column:
+    """1 with a value and 0 without; two-line oscillators need their second line, OBV its look-back, a cloud all its span."""
+    value = _c(i.columns[0]).isNotNull()
+    second = {"Stochastic_14_3": "stochastic_d", "StochRSI_14_14_3": "stoch_rsi_d", "MACD_12_26_9": "macd_signal", "OBV": "_obv_4"}.get(i.key)
+    if second:
+        value = value & _c(second).isNotNull()
+    if i.key == "Ichimoku_9_26_52":
+        return F.when(value, F.when(_c("rn") >= i.warm, 1.0).otherwise(0.5)).otherwise(0.0)
+    return F.when(value, 1.0).otherwise(0.0)
+
+
 def snapshot(frame: DataFrame) -> DataFrame:
-    """The latest value, signal and health of every indicator, one row a series and indicator.
+    """The latest value, signal, confidence and health of every indicator, one row a series and indicator.
 
     The last candle of each series is picked before anything is built on it; the one signal that looks back comes first.
     """
-    last = frame.withColumns({"_next": F.lead("ts").over(series()), "_obv_signal": _obv_signal()}).filter(F.col("_next").isNull())
+    last = frame.withColumns({"_next": F.lead("ts").over(series()), "_obv_signal": _obv_signal(), "_obv_4": F.lag("obv", 4).over(series())}).filter(F.col("_next").isNull())
     signal = lambda i: F.col("_obv_signal") if i.key == "OBV" else i.signal()
-    values = [F.struct(F.lit(i.key).alias("indicator_key"), F.col(i.columns[0]).cast("double").alias("value"), signal(i).alias("signal_state"), F.when(F.col("rn") < i.warm, "InsufficientData").otherwise("Ok").alias("health")) for i in REGISTRY.values()]
+    health = lambda i: F.when((F.col("rn") < i.warm) | (_confidence(i) == 0), "InsufficientData").otherwise("Ok")
+    values = [
+        F.struct(F.lit(i.key).alias("indicator_key"), F.col(i.columns[0]).cast("double").alias("value"), signal(i).alias("signal_state"), _confidence(i).alias("confidence"), health(i).alias("health"))
+        for i in REGISTRY.values()
+    ]
     return last.select(*SERIES, "ts", F.inline(F.array(*values)))

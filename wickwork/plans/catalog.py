@@ -75,26 +75,37 @@ for _name, _key in _NAMES.items():
     _add(_name, O.indicator_sql(_key))(lambda spark, d, key=_key: indicators.indicator(derived.daily_candles(spark, d), key, rounded=True))
 
 
-def _snapshot_sql() -> str:
-    """The last row of every window indicator, one under another."""
+_SECOND = {"Stochastic_14_3": "stochastic_d is not null", "StochRSI_14_14_3": "stoch_rsi_d is not null", "MACD_12_26_9": "macd_signal is not null", "OBV": "n >= 5"}
+
+
+def _snapshot_sql(columns: str) -> str:
+    """The last row of every indicator, one under another."""
     parts = []
-    for key, (helpers, cols, _) in O.WINDOW_SQL.items():
-        first = next(iter(cols))
-        parts.append(f"select symbol_id, timeframe, ts, '{key}' indicator_key, {O.r4('v')} as value from (select *, {cols[first]} v from (select *{''.join(f', {v} {k}' for k, v in helpers.items())} from b)) where ts = last_ts")
-    return O.q(f"{O.CANDLES}, {O.bars('c', 'b1')}, b as materialized (select *, max(ts) over (partition by symbol_id) last_ts from b1)", " union all ".join(parts))
+    for key, i in indicators.REGISTRY.items():
+        first = i.columns[0]
+        conf = f"case when {first} is null or not ({_SECOND.get(key, 'true')}) then 0e0 else {'case when n >= 52 then 1e0 else 0.5e0 end' if key.startswith('Ichimoku') else '1e0'} end"
+        last = f"select *, count(*) over (partition by symbol_id) n, max(ts) over (partition by symbol_id) last_ts from ({O.indicator_sql(key)})"
+        rows = f"select symbol_id, timeframe, ts, '{key}' indicator_key, cast({first} as double) as value, signal signal_state, {conf} confidence, n from ({last}) where ts = last_ts"
+        parts.append(f"select *, case when n < {i.warm} or confidence = 0 then 'InsufficientData' else 'Ok' end health from ({rows})")
+    return f"select {columns} from ({' union all '.join(parts)})"
+
+
+def _snapshot(spark, d):
+    """Signals are those of the rounded values."""
+    frame = indicators.indicator_frame(derived.daily_candles(spark, d))
+    return indicators.snapshot(_rounded(frame, *(c for i in indicators.REGISTRY.values() for c in i.columns)))
 
 
-@_add("indicator_snapshot", _snapshot_sql())
+@_add("indicator_snapshot", _snapshot_sql("symbol_id, timeframe, ts, indicator_key, value"))
 def indicator_snapshot(spark, d):
-    """The latest value of the window indicators; ``indicators_all`` has every indicator with signal and health."""
-    s = indicators.snapshot(indicators.indicator_frame(derived.daily_candles(spark, d)))
-    keys = [i.key for i in indicators.WINDOWS]
-    return _rounded(s.filter(F.col("indicator_key").isin(keys)), "value").select(*SERIES, "ts", "indicator_key", "value")
+    """The latest value of every indicator."""
+    return _snapshot(spark, d).select(*SERIES, "ts", "indicator_key", "value")
 
 
-@_add("indicators_all")
+@_add("indicators_all", _snapshot_sql("symbol_id, timeframe, ts, indicator_key, value, signal_state, confidence, health"))
 def indicators_all(spark, d):
-    return _rounded(indicators.snapshot(indicators.indicator_frame(derived.daily_candles(spark, d))), "value")
+    """The latest value, signal, confidence and health of every indicator."""
+    return _snapshot(spark, d)
 
 
 @_add("candle_patterns", O.q(f"{_BARS}, {O.PATTERNS}", "select symbol_id, 'Daily' timeframe, ts, unnest(patterns) pattern from pt"))
@@ -271,7 +282,7 @@ def decision_query(spark, d):
     return _rounded(decision.decide(_state(spark, d)[0]), "confidence").select("symbol_id", "ts", "direction", "regime", "hard_gate_failed", "confidence", "outcome")
 
 
-@_add("decision_as_wired")
+@_add("decision_as_wired", O.q(f"{O.as_wired(O.STATE)}, {O.DECIDED}", f"select symbol_id, ts, direction, gate hard_gate_failed, {O.r4('confidence')} confidence, outcome from dec"))
 def decision_as_wired(spark, d):
     """Decisions when structure and metrics do not know the candle's own ATR and volume mean."""
     from wickwork.config import EngineOptions, StructureOptions

@@ -338,5 +338,18 @@ tr0 as (select p.*, coalesce(hk, case when ern is not null then 'TimedOut' end,
 trd as materialized (select *, case when result = 'InsufficientForwardData' then 0 else sg*(exit_price - close)/risk end r from tr0)"""
 
 
+def as_wired(state: str) -> str:
+    """``state`` where structure and metrics do not know a candle's own ATR and volume mean."""
+    for old, new in (
+        ("coalesce(atr_14 > 0 and abs(close - sc) >= 1.5*atr_14, false) or since_bos <= 3", "since_bos <= 3"),
+        ("case when volume_sma > 0 then volume/volume_sma end relv, case when atr_14 > 0 then (high - low)/atr_14 end rta", "cast(null as double) relv, cast(null as double) rta"),
+        (EXHAUSTION, f"{EXHAUSTION} and false"), ("select * from lg where volume_sma > 0 and", "select * from lg where false and"),
+    ):
+        if old not in state:
+            raise ValueError(f"no {old!r} in the statement")
+        state = state.replace(old, new)
+    return state
+
+
 def q(chain: str, select: str) -> str:
     return f"with recursive {chain} {select}"
