@@ -127,7 +127,7 @@ class Bands:
         return d + 1 + (d // 50 + 3 if d else 0)
 
     def bits(self, j: int) -> int:
-        return max(64, 1 << (4 * self.starts[j + 1] - 1).bit_length())
+        return max(64, 1 << (2 * self.starts[j + 1] - 1).bit_length())
 
     def meets_below(self, n: int, j: int) -> bool:
         return j > 0 and (self.starts[j] - 1) * self.o.denominator >= n * self.o.numerator
@@ -297,10 +297,17 @@ def _alike_sizes(n: str, m: str, o: JoinOptions):
     return F.least(n, m) * o.denominator >= F.greatest(n, m) * o.numerator
 
 
+def _sets_of(rows: DataFrame, sets: DataFrame, o: JoinOptions, *columns: str) -> DataFrame:
+    """The sets of the nodes in ``columns`` of ``rows``: where these are counted to be few, others are not shuffled."""
+    nodes = staged(reduce(DataFrame.unionByName, [rows.select(F.col(c).alias("node")) for c in columns]).distinct(), "nodes")
+    return sets.join(F.broadcast(nodes) if nodes.count() <= o.broadcast_rows else nodes, "node", "left_semi")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
     """The ``pairs`` (a, b) whose sets link: by sizes, then sketches, then the sets. ``a`` may be one node's in many pairs."""
     pairs = staged(pairs.distinct(), "pairs")
-    sketch = lambda side: sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "band", "own", "below")))
+    own = _sets_of(pairs, sets, o, "a", "b")
+    sketch = lambda side: own.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "band", "own", "below")))
     rows = by_key(pairs, sketch("a"), "a").join(sketch("b"), "b").filter(_alike_sizes("n_a", "n_b", o))
 
     def near(batches):
@@ -316,7 +323,8 @@ def linked(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
             yield out
 
     close = staged(rows.select("a", "b", "n_a", "n_b", "band_a", "band_b", "own_a", "own_b", "below_a", "below_b").mapInArrow(near, "a binary, b binary"), "close-pairs")
-    whole = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"h_{side}"))
+    near_sets = _sets_of(close, sets, o, "a", "b")
+    whole = lambda side: near_sets.select(F.col("node").alias(side), F.col("hashes").alias(f"h_{side}"))
 
     def verify(batches):
         import numpy as np
@@ -429,7 +437,8 @@ def set_links(members: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
         small = (F.col("m") <= o.group) & (F.col("bytes") <= o.group_bytes)
         cols = ["bucket", "at", "node", "label"]
         groups = rows.filter(small).select(*cols).unionByName(blocks(rows.filter(~small), o).select(*cols))
-        links.append(staged(settled(staged(possible(groups, sets, o), "possible"), sets, o), "settled"))
+        left = staged(possible(groups, _sets_of(rows, sets, o, "node"), o), "possible")
+        links.append(staged(settled(left, _sets_of(left, sets, o, "node"), o), "settled"))
     return components(reduce(DataFrame.unionByName, links))
 
 
