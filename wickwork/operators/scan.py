@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.config import EngineOptions
+from wickwork.functions.scalars import is_confirmation_only
+from wickwork.functions.staging import staged
 from wickwork.operators.context import last_trend, mtf_alignment
 from wickwork.operators.decision import LAYERS, decide, reasoning, state_frame
 from wickwork.operators.risk import plan_inputs, trade_plan
@@ -49,14 +51,22 @@ def shortlist(scanned: DataFrame, options: EngineOptions | None = None) -> DataF
 
 
 def stage2(listed: DataFrame, daily: DataFrame, weekly: DataFrame, intraday: DataFrame | None = None, options: EngineOptions | None = None) -> DataFrame:
-    """``listed`` with the alignment of all timeframes available; only the shortlist's longer and shorter candles are read."""
+    """``listed`` with the alignment of the timeframes that each symbol has, their number and the stage that it reached.
+
+    Only the shortlist's longer and shorter candles are read. Weights are those of a symbol's own timeframes, so one that
+    lacks some is judged by the rest; a symbol without any intraday candles keeps its Stage 1 row, as Stage1Only.
+    """
     o = options or EngineOptions()
     ids = listed.select("symbol_id")
     trends = last_trend(daily.join(ids, "symbol_id", "left_semi")).unionByName(last_trend(weekly.join(ids, "symbol_id", "left_semi")))
     if intraday is not None:
         trends = trends.unionByName(last_trend(intraday.join(ids, "symbol_id", "left_semi")))
+    trends = staged(trends, "trends")
     aligned = mtf_alignment(trends, listed.select("symbol_id", "direction"), o.weights)
-    return listed.join(aligned.select("symbol_id", "alignment"), "symbol_id", "left").withColumn("alignment", F.coalesce("alignment", F.lit(0.0)))
+    reached = trends.groupBy("symbol_id").agg(F.max(is_confirmation_only(F.col("timeframe"))).alias("_intraday"))
+    out = listed.join(aligned.select("symbol_id", "alignment", "timeframes"), "symbol_id", "left").join(reached, "symbol_id", "left")
+    stage = F.when(F.col("_intraday"), "Stage2").otherwise("Stage1Only")
+    return out.withColumns({"alignment": F.coalesce("alignment", F.lit(0.0)), "timeframes": F.coalesce("timeframes", F.lit(0)), "stage": stage}).drop("_intraday")
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -350,6 +350,33 @@ def scan_ranked(spark, d):
     return _rounded(scan.ranked(listed), *_SCAN_COLS).select("symbol_id", "ts", "direction", "outcome", *_SCAN_COLS, "rank")
 
 
+def _intraday_sql(name: str, bucket: str) -> str:
+    """Bars of events, with swings and breaks."""
+    key = "(ts, event_id)"
+    made = f"select cast(user_id as bigint) symbol_id, '{name}' timeframe, {bucket} ts, arg_min(value, {key}) open, max(value) high, min(value) low, arg_max(value, {key}) as close, arg_max(value, {key}) adj_close, count(*) volume from events group by user_id, {bucket}"
+    return f"{name} as materialized ({made}), {O.bars(name, f'{name}b')}, {O.swings(f'{name}b', name)}, {O.breaks(name)}"
+
+
+_INTRADAY = {"h1": ("H1", "date_trunc('hour', ts)", "symbol_id % 5 <> 0 and symbol_id % 7 <> 0"), "m30": ("M30", "time_bucket(interval '30 minutes', ts)", "symbol_id % 7 <> 0"), "m15": ("M15", "time_bucket(interval '15 minutes', ts)", "symbol_id % 7 <> 0")}
+_TRENDS = "select symbol_id, 'Daily' tf, 35e0 w, trend t from lst union all select symbol_id, 'Weekly', 40e0, arg_max(trend, ts) from wbr group by 1" + "".join(
+    f" union all select symbol_id, '{tf}', {w}e0, arg_max(trend, ts) from {name}br where {kept} group by 1" for (name, (tf, _, kept)), w in zip(_INTRADAY.items(), (10, 8, 7), strict=True)
+)
+
+
+@_add("scan_stage2", O.q(
+    f"{_SCAN_SQL}, {O.WEEKLY}, {O.bars('wk', 'wb')}, {O.swings('wb', 'w')}, {O.breaks('w')}, {', '.join(_intraday_sql(n, b) for n, (_, b, _) in _INTRADAY.items())}, tf as ({_TRENDS}), sh as (select * from sc where not excluded order by confidence desc, symbol_id limit 30)",
+    f"select sh.symbol_id, {O.r4('sum(case when t = direction then w else 0 end)*100/sum(w)')} alignment, count(*) timeframes, case when count(case when tf in ('H1', 'M30', 'M15') then 1 end) > 0 then 'Stage2' else 'Stage1Only' end stage from sh join tf using (symbol_id) group by sh.symbol_id",
+))
+def scan_stage2(spark, d):
+    """Stage 2 over all timeframes: some symbols have no H1 candles, and some no intraday candles at all."""
+    s, daily = _scanned(spark, d)
+    intraday = derived.intraday_candles(spark, d, "H1").filter("symbol_id % 5 <> 0")
+    for tf in ("M30", "M15"):
+        intraday = intraday.unionByName(derived.intraday_candles(spark, d, tf))
+    listed = scan.stage2(staged(scan.shortlist(s), "shortlist"), daily, bars.resample(daily), intraday.filter("symbol_id % 7 <> 0"))
+    return _rounded(listed, "alignment").select("symbol_id", "alignment", "timeframes", "stage")
+
+
 #: A planted calendar of few days: a symbol without a candle on one of them within its last 60 candles misses it.
 _MARKET_DAYS = f"""cal as (select distinct ts as day from c where (ts - date '1990-01-01') % 211 = 0),
 w60 as (select symbol_id, ts, coalesce(lag(ts, 59) over {O.W}, min(ts) over (partition by symbol_id)) a from c),
