@@ -107,10 +107,15 @@ def layer_scores(state: DataFrame, options: EngineOptions | None = None) -> Data
 
 
 def hard_gates(state: DataFrame, options: EngineOptions | None = None) -> DataFrame:
-    """``state`` with gate_<name> (passed) and hard_gate_failed: the first that fails, in order."""
+    """``state`` with gate_<name> (passed) and hard_gate_failed: the first that fails, in order.
+
+    A state without n_missing knows of no calendar.
+    """
     o = (options or EngineOptions()).quality
     c = F.col
-    enough = (c("traded_days") >= o.min_traded_days) & (c("zero_run") <= o.max_zero_run) & (c("n_missing") == 0)
+    enough = (c("traded_days") >= o.min_traded_days) & (c("zero_run") <= o.max_zero_run)
+    if "n_missing" in state.columns:
+        enough = enough & (c("n_missing") == 0)
     free = ~(((c("direction") == 1) & (c("circuit") == "UpperLocked")) | ((c("direction") == -1) & (c("circuit") == "LowerLocked")))
     broken = F.coalesce((c("choch_dir") != c("direction")) & (c("choch_rn") > F.coalesce(c("bos_rn"), F.lit(0))), F.lit(False))
     passed = dict(zip(GATES, (enough, free, ~c("suppressed"), ~broken), strict=True))
