@@ -92,14 +92,14 @@ class Transducer:
         self.steps[state, token] = out
         return out
 
-    def walk(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """(ends of the groups in both sequences, links) of two sequences, None where they spell different bytes."""
-        ends, links, state, i, j, x, y, m, n = [], [], 0, 0, 0, 0, 0, len(a), len(b)
+    def walk(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """(where each group ends in ``a``, and in ``b``, the links' left ids, their right ids), None where the bytes differ."""
+        ends_a, ends_b, lefts, rights, state, i, j, x, y, m, n = [], [], [], [], 0, 0, 0, 0, 0, len(a), len(b)
         known, leads, first = self.steps.get, self.leads, self.first
         while True:
             if state == 0:
                 if i == m:
-                    return (ends, links) if j == n else None
+                    return (ends_a, ends_b, lefts, rights) if j == n else None
                 x = a[i]
                 i += 1
                 state = first[x]
@@ -115,19 +115,21 @@ class Transducer:
                 i += 1
             new = known((state, token))
             state = self._step(state, token) if new is None else new
-            if state < 0:
-                return None
-            links.append((x, y))
-            if state == 0:
-                ends.append((i, j))
+            if state <= 0:
+                if state < 0:
+                    return None
+                ends_a.append(i)
+                ends_b.append(j)
+            lefts.append(x)
+            rights.append(y)
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
         """(groups, links) of two sequences, None where they spell different bytes."""
         found = self.walk(a, b)
         if found is None:
             return None
-        ends, links = found
-        return [(a[i:k], b[j:e]) for (i, j), (k, e) in zip([(0, 0), *ends], ends)], links
+        ends_a, ends_b, lefts, rights = found
+        return [(a[i:k], b[j:e]) for i, k, j, e in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)], list(zip(lefts, rights, strict=True))
 
 
 class Aligner:
@@ -148,6 +150,7 @@ class Aligner:
         right = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(m.get_piece_size())]
         self.transducer = Transducer(left, right)
         self.shift, self.kind = key_layout(len(left), len(right))
+        self.names = [f"{i}|" for i in range(len(left))], [str(i) for i in range(len(right))]
         self.cache: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -163,19 +166,24 @@ class Aligner:
 
     def _align_all(self, chunks: list[str]) -> list[tuple | None]:
         """(left tokens, right tokens, groups, text of the groups, keys of the links) of each chunk."""
-        lefts = [e.ids for e in self.left.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        encoded = [e.ids for e in self.left.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
         out, shift, code, walk = [], self.shift, "I" if self.kind == "u4" else "Q", self.transducer.walk
-        for a, b in zip(lefts, self.right.encode(chunks), strict=True):
+        left, right = self.names
+        for a, b in zip(encoded, self.right.encode(chunks), strict=True):
             found = walk(a, b)
             if found is None:
                 out.append(None)
                 continue
-            ends, links = found
-            text, i, j = [], 0, 0
-            for k, e in ends:
-                text.append(f"{a[i]}|{b[j]}" if k - i == e - j == 1 else f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:e]))}")
-                i, j = k, e
-            out.append((len(a), len(b), len(ends), ";".join(text), array(code, [x << shift | y for x, y in links]).tobytes()))
+            ends_a, ends_b, xs, ys = found
+            if len(ends_a) == len(a) == len(b):  # token by token
+                text = ";".join([left[x] + right[y] for x, y in zip(a, b)])
+            else:
+                text, i, j = [], 0, 0
+                for k, e in zip(ends_a, ends_b):
+                    text.append(left[a[i]] + right[b[j]] if k - i == e - j == 1 else f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:e]))}")
+                    i, j = k, e
+                text = ";".join(text)
+            out.append((len(a), len(b), len(ends_a), text, array(code, [x << shift | y for x, y in zip(xs, ys)]).tobytes()))
         return out
 
     def aligned(self, texts: list[str]) -> list[tuple]:
@@ -185,11 +193,12 @@ class Aligner:
         split = [self.chunks(t) if t else [] for t in texts]
         known: dict[str, tuple | None] = {}
         new: list[str] = []
-        for c in {c for s in split for c in s}:
-            if c in self.cache:
-                known[c] = self.cache[c]
-            elif c in self.old:
-                known[c] = self._keep(c, self.old[c])
+        cache, old = self.cache, self.old
+        for c in set().union(*split):
+            if c in cache:
+                known[c] = cache[c]
+            elif c in old:
+                known[c] = self._keep(c, old[c])
             else:
                 new.append(c)
         at = 0
@@ -203,7 +212,7 @@ class Aligner:
             at = to
         out = []
         for s in split:
-            rows = [known[c] for c in s]
+            rows = list(map(known.__getitem__, s))
             if not rows or None in rows:
                 out.append((0, 0, 0, None, np.zeros(0, self.kind), np.zeros(0, "i8")))
                 continue
