@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from wickwork.schema import SERIES
 
 @dataclass(frozen=True)
 class Affine:
-    """x' = a x + b; ``a`` 0 starts anew, a null ``a`` leaves x as it is (nothing, before the first start)."""
+    """x' = a x + b; ``a`` 0 starts anew, a null in either leaves x as it is (nothing, before the first start)."""
 
     a: Column
     b: Column
@@ -32,7 +34,7 @@ class Affine:
 
 @dataclass(frozen=True)
 class Hold:
-    """x' = x where low <= x <= high, else ``reset``; an empty band starts anew, a null ``low`` leaves x as it is."""
+    """x' = x where low <= x <= high, else ``reset``; an empty band starts anew, a null in any leaves x as it is."""
 
     low: Column
     high: Column
@@ -136,7 +138,10 @@ def run(rows: DataFrame, steps: dict[str, Affine | Hold], block: int) -> DataFra
 
     kinds = {name: _MAPS[type(s)] for name, s in steps.items()}
     args = {name: [f"_{name}_{k}" for k in range(len(s.columns()))] for name, s in steps.items()}
-    made = {c: x.cast("double") for name, s in steps.items() for c, x in zip(args[name], s.columns(), strict=True)}
+    made = {}
+    for name, s in steps.items():
+        known = reduce(and_, (c.isNotNull() for c in s.columns()))
+        made |= {c: F.when(known, x.cast("double")) for c, x in zip(args[name], s.columns(), strict=True)}
     work = staged(rows.withColumns(made).withColumn("_block", F.floor((F.col("rn") - 1) / block).cast("bigint")), "steps")
     keys, types = [*SERIES, "_block"], {f.name: f.dataType.simpleString() for f in work.schema.fields}
     named = ", ".join(f"{k} {types[k]}" for k in keys)
