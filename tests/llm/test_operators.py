@@ -424,75 +424,105 @@ def test_op6_hosts_rules_and_templates(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def shaped(segment):
+    return re.sub("[0-9]+", "{n}", segment)
+
+
+def plain_alike(kids, below, pool, o):
+    """The members of ``pool`` that are alike by two turns of the tests."""
+    among = set(pool)
+    for _ in range(2):
+        p_n, p_lab, p_bad = (sum(kids[k][c] for k in among) for c in ("n", "lab", "bad"))
+        shares = sum((below[k] for k in among), Counter())
+        kind = lambda s, shares=shares: "{*}" if shares.get(s, 0) <= o.max_mean else s
+        lumped = Counter()
+        for s, v in shares.items():
+            lumped[kind(s)] += v
+        free, alike = max(len(lumped) - 1, 1), set()
+        for k in pool if among else ():
+            n, n_lab, n_bad = (kids[k][c] for c in ("n", "lab", "bad"))
+            mine = Counter()
+            for s, v in below[k].items():
+                mine[kind(s)] += v
+            q = sum(v * v * p_n / lumped.get(s, 1) for s, v in mine.items()) / n - n
+            inside = k in among
+            lab, bad, others = p_lab - inside * n_lab, p_bad - inside * n_bad, p_n - inside * n
+            if n_lab and lab:
+                p = (p_bad + 1) / (p_lab + 2)
+                label = abs(n_bad / n_lab - bad / lab) <= o.z * math.sqrt(p * (1 - p) * (1 / n_lab + 1 / lab))
+            else:
+                label = not n_lab and not lab
+            if n >= o.min_urls and others >= o.min_urls and label and q <= free + o.z * math.sqrt(2 * free):
+                alike.add(k)
+        among &= alike
+    return among
+
+
 def plain_tree(leaves, o):
-    """{(host, shape): template} and {(host, template): purity} by recursion over a plain tree."""
+    """{(host, path): template} and {(host, template): purity} by recursion over a plain tree of {(host, path): (n, rule, bad)}."""
     templates = {}
+    scope = lambda rule: len([x for x in rule.split("/")[1:] if x])
 
     def branch(host, prefix, rows):
-        """rows: (rest, shape, n, lab, bad), rest a tuple of segments."""
+        """rows: (rest, path, n, rule, bad), rest a tuple of segments."""
         if len({r[0] for r in rows}) < 2:
-            for rest, shape, *_ in rows:
-                templates[host, shape] = "/" + "/".join((*prefix, *rest))
+            for rest, path, *_ in rows:
+                templates[host, path] = "/" + "/".join((*prefix, *map(shaped, rest)))
             return
-        for rest, shape, *_ in rows:
+        for rest, path, *_ in rows:
             if not rest:
-                templates[host, shape] = "/" + "/".join(prefix)
+                templates[host, path] = "/" + "/".join(prefix)
         rows = [r for r in rows if r[0]]
         kids, below = defaultdict(Counter), defaultdict(Counter)
-        for rest, _, n, lab, bad in rows:
-            kids[rest[0]].update({"n": n, "lab": lab, "bad": bad})
-            below[rest[0]][rest[1] if len(rest) > 1 else ""] += n
-        total, name = sum(k["n"] for k in kids.values()), {k: k for k in kids}
-        if len(kids) >= o.min_children and total < o.max_mean * len(kids):
-            name = dict.fromkeys(kids, "{*}")
-        elif len(kids) > 1:
-            among = set(kids)
-            for _ in range(2):
-                p_n, p_lab, p_bad = (sum(kids[k][c] for k in among) for c in ("n", "lab", "bad"))
-                shares = sum((below[k] for k in among), Counter())
-                free, alike = max(len(shares) - 1, 1), set()
-                for k in kids:
-                    n, n_lab, n_bad = kids[k]["n"], kids[k]["lab"], kids[k]["bad"]
-                    if not among:
-                        continue
-                    q = sum(v * v * p_n / shares.get(s, 1) for s, v in below[k].items()) / n - n
-                    lab, bad = (p_lab - n_lab, p_bad - n_bad) if k in among else (p_lab, p_bad)
-                    p = (p_bad + 1) / (p_lab + 2)
-                    fits = not n_lab or not lab or abs(n_bad / n_lab - bad / lab) <= o.z * math.sqrt(p * (1 - p) * (1 / n_lab + 1 / lab))
-                    if q <= free + o.z * math.sqrt(2 * free) and fits:
-                        alike.add(k)
-                among &= alike
+        for rest, _, n, rule, bad in rows:
+            wide = rule is not None and scope(rule) <= len(prefix)
+            kids[rest[0]].update({"n": n, "lab": n * wide, "bad": n * (wide and bad), "named": n * (rule is not None and not wide)})
+            below[rest[0]][shaped(rest[1]) if len(rest) > 1 else ""] += n
+        digits = {k for k in kids if re.search("[0-9]", k)}
+        light = {k for k in kids if k not in digits and kids[k]["n"] <= o.max_mean}
+        wild = (light | digits if len(light) >= o.min_children else digits if len(digits) > 1 else set())
+        shapes = {shaped(k) for k in wild}
+        name = {k: k for k in kids} | dict.fromkeys(wild, shapes.pop() if len(shapes) == 1 else "{*}")
+        rest = [k for k in kids if k not in wild and not kids[k]["named"] and kids[k]["n"] >= o.min_urls]
+        for labelled in (False, True):
+            among = plain_alike(kids, below, [k for k in rest if (kids[k]["lab"] > 0) == labelled], o)
             if len(among) > 1:
                 name |= dict.fromkeys(among, f"{{{min(among)}|{len(among)}}}")
         parts = defaultdict(list)
-        for rest, *more in rows:
-            parts[name[rest[0]]].append((rest[1:], *more))
+        for segments, *more in rows:
+            parts[name[segments[0]]].append((segments[1:], *more))
         for k, part in parts.items():
             branch(host, (*prefix, k), part)
 
     hosts = defaultdict(list)
-    for (host, shape), (n, lab, bad) in leaves.items():
-        hosts[host].append((tuple(shape.split("/")) if shape else (), shape, n, lab, bad))
+    for (host, path), leaf in leaves.items():
+        hosts[host].append((tuple(x for x in path.split("/") if x), path, *leaf))
     for host, rows in hosts.items():
         branch(host, (), rows)
-    ends = defaultdict(Counter)
-    for key, (n, lab, bad) in leaves.items():
-        ends[key[0], templates[key]].update({"lab": lab, "bad": bad})
-    nodes = defaultdict(Counter)
-    paths = {}
-    for (host, t), c in ends.items():
-        parts = [x for x in t.split("/") if x]
-        paths[host, t] = [(host, tuple(parts[:k])) for k in range(len(parts) + 1)]
-        for node in paths[host, t]:
-            nodes[node].update(c)
-    lab = sum(c["lab"] for c in ends.values())
+    spoken, ends = defaultdict(Counter), set()
+    for (host, path), (n, rule, bad) in leaves.items():
+        parts = tuple(x for x in templates[host, path].split("/") if x)
+        ends.add((host, templates[host, path]))
+        for depth in range(len(parts) + 1):
+            if rule is not None and scope(rule) <= depth:
+                key = (rule, bad, any(x.startswith("{") for x in parts[: scope(rule)]))
+                spoken[host, parts[:depth]][key] += n
+
+    def labels(node, depth):
+        """(labels, blocked) of a node by rules of at most ``depth`` segments."""
+        own = [(1 if vague else n, bad) for (rule, bad, vague), n in spoken[node].items() if scope(rule) <= depth]
+        return sum(n for n, _ in own), sum(n for n, bad in own if bad)
+
+    lab = sum(n for n, rule, _ in leaves.values() if rule is not None)
+    start = min(0.5, sum(n for n, rule, bad in leaves.values() if rule is not None and bad) / lab) if lab else 0.0
     purity = {}
-    for key, path in paths.items():
-        p = min(0.5, sum(c["bad"] for c in ends.values()) / lab) if lab else 0.0
-        for at, node in enumerate(path):
-            less = nodes[path[at + 1]] if at + 1 < len(path) else Counter()
-            p = (nodes[node]["bad"] - less["bad"] + o.prior_weight * p) / (nodes[node]["lab"] - less["lab"] + o.prior_weight)
-        purity[key] = p
+    for host, t in ends:
+        parts, p = tuple(x for x in t.split("/") if x), start
+        for depth in range(len(parts) + 1):
+            n, bad = labels((host, parts[:depth]), depth)
+            less, less_bad = labels((host, parts[: depth + 1]), depth) if depth < len(parts) else (0, 0)
+            p = (bad - less_bad + o.prior_weight * p) / (n - less + o.prior_weight)
+        purity[host, t] = p
     return templates, purity
 
 
@@ -518,19 +548,17 @@ def test_op6_tree_equals_a_plain_one(spark, source):
     from wickwork.llm.url_filter import RULES, TemplateOptions, url_filter
 
     o = TemplateOptions()
-    rules = RULES if source == "table" else (("h0.example/de/", "block"), ("h1.example/", "block"), ("h1.example/en/", "allow"), ("h2.example/user/a", "block"), ("h3.example/shop/tea/", "block"), ("h3.example/shop/ink/", "allow"))
+    rules = RULES if source == "table" else (("h0.example/de/", "block"), ("h1.example/", "block"), ("h1.example/en/", "allow"), ("h3.example/shop/tea/", "block"), ("h3.example/shop/ink/", "allow"), *((f"h2.example/user/{a}{b}", "block") for a in "abc" for b in "abcdef"))
     pages = spark.read.parquet(f"{SF}/pages.parquet") if source == "table" else spark.createDataFrame(list(enumerate(random_pages(source))), "page_id long, url string")
     got = url_filter(pages, rules, o).collect()
     assert len(got) == pages.count()
-    leaves = defaultdict(lambda: [0, 0, 0])
-    shape = lambda r: "/".join(re.sub("[0-9]+", "{n}", s) for s in r["path"].split("/") if s)
+    leaves = {}
     for r in got:
-        ruled = dict(rules).get(r["rule"])
-        for k, more in enumerate((1, ruled is not None, ruled == "block")):
-            leaves[r["host"], shape(r)][k] += more
+        n = leaves.get((r["host"], r["path"]), (0,))[0]
+        leaves[r["host"], r["path"]] = (n + 1, r["rule"], dict(rules).get(r["rule"]) == "block")
     templates, purity = plain_tree(leaves, o)
     for r in got:
-        assert r["template"] == templates[r["host"], shape(r)]
+        assert r["template"] == templates[r["host"], r["path"]]
         p = purity[r["host"], r["template"]]
         assert abs(r["purity"] - p) < 1e-9
         assert r["verdict"] == (dict(rules).get(r["rule"]) or ("block" if p >= o.purity else "allow"))
@@ -538,6 +566,40 @@ def test_op6_tree_equals_a_plain_one(spark, source):
         assert any("{*}" in r["template"] for r in got) and any("|" in r["template"] for r in got) and len({r["verdict"] for r in got if r["rule"] is None}) == 2
 
 
+def test_op6_templates_of_the_given_hosts(spark):
+    """Wildcards arise, hosts keep several templates, and no url goes for a label of a branch that it is not in."""
+    from wickwork.llm.url_filter import url_filter
+
+    got = url_filter(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    by_host = defaultdict(set)
+    for r in got:
+        by_host[r["host"]].add(r["template"])
+        assert r["rule"] is not None or r["verdict"] == "allow"
+    assert sum("{*}" in r["template"] for r in got) > len(got) / 2 and any("|" in r["template"] for r in got)
+    branches = defaultdict(Counter)
+    for r in got:
+        branches[r["host"]][r["path"].split("/")[1]] += 1
+    several = [h for h, b in branches.items() if h.endswith(".com") and b["de"] and len(b) > 1]
+    assert several and all(len(by_host[h]) > 1 for h in several)
+    for r in got:
+        if r["host"].endswith("example.com") and not r["path"].startswith("/de/"):
+            assert not r["template"].startswith("/de") and r["purity"] <= 0.5
+
+
+def test_op6_one_rule_is_one_label_of_a_wildcard(spark):
+    """A rule of a part of a wildcard's segments does not reject the rest, many rules do."""
+    from wickwork.llm.url_filter import url_filter
+
+    rows = [(k, f"http://a.example/p/{x}{y}/1") for k, (x, y) in enumerate((x, y) for x in "abcdefgh" for y in "ijklmnop")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    one = url_filter(pages, tuple((f"a.example/p/{x}", "block") for x in "abcdefg")).collect()
+    assert {r["template"] for r in one} == {"/p/{*}/{n}"}
+    few = url_filter(pages, (("a.example/p/a", "block"),)).collect()
+    assert {r["verdict"] for r in few if r["rule"] is None} == {"allow"} and {r["verdict"] for r in few if r["rule"]} == {"block"}
+    many = url_filter(pages, tuple((f"a.example/p/{x}{y}/", "block") for x in "abcdef" for y in "ijklmnop")).collect()
+    assert {r["verdict"] for r in many} == {"block"}
+
+
 def test_op6_odd_rows(spark):
     from wickwork.llm.url_filter import url_filter
 
