@@ -131,7 +131,7 @@ def test_op2_finders_on_random_text():
 
 
 def plain_disclosures(texts, o):
-    """{(entity, term): strength} by plain counts over sections, and the sections of each text."""
+    """{(entity, term): level} by plain counts over sections, and the sections of each text."""
     from wickwork.llm.pii import entity
 
     df, holders, both, n, every = Counter(), Counter(), Counter(), 0, []
@@ -147,44 +147,87 @@ def plain_disclosures(texts, o):
             terms = [m for m in part if not any(a < m.end() and m.start() < b for _, a, b in spans)]
             held.append((entities, terms))
             n += 1
-            df.update({m[0].lower() for m in part})
+            plain = {m[0].lower() for m in terms}
+            keys = plain | {t[:k] + "*" for t in plain for k in o.levels}
+            df.update(keys)
             holders.update(entities)
-            both.update({(e, m[0].lower()) for e in entities for m in terms})
+            both.update({(e, x) for e in entities for x in keys})
         every.append(held)
-    out = {}
-    for (e, t), c in both.items():
-        p = holders[e] / n
-        out[e, t] = math.log((c + o.smoothing * p) / (df[t] + o.smoothing) / p) / -math.log(p) if p < 1 else 0.0
-    return {k: v for k, v in out.items() if v >= o.generalise}, every
+
+    def disclosed(e, x):
+        c, d, z = both[e, x], df[x], o.z
+        p = c / d
+        low = (p + z * z / (2 * d) - z * math.sqrt(p * (1 - p) / d + z * z / (4 * d * d))) / (1 + z * z / d)
+        return low >= o.disclosed and low > holders[e] / n
+
+    def level(e, t):
+        return next((k for k, size in enumerate(o.levels) if not disclosed(e, t[:size] + "*")), len(o.levels))
+
+    return {(e, t): level(e, t) for e, t in both if not t.endswith("*") and disclosed(e, t)}, every
 
 
 @pytest.mark.parametrize("section", [256, 20])
-def test_op2_terms_against_plain_counts(spark, documents, section):
-    from wickwork.llm.pii import DisclosureOptions, find_pii
+def test_op2_terms_against_plain_counts(spark, section):
+    from wickwork.llm.pii import DisclosureOptions, disclosures, find_pii, scan
 
     o = DisclosureOptions(section=section)
-    ids = list(documents)
-    strong, every = plain_disclosures([documents[d] for d in ids], o)
-    got = {r["doc_id"]: r for r in find_pii(spark.read.parquet(f"{SF}/documents.parquet"), o).collect()}
-    assert strong
-    for d, held in zip(ids, every, strict=True):
+    rng = random.Random(section)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(2, 6))) for _ in range(400)]
+    people = [f"user{k}@corp.example" for k in range(12)]
+    texts = []
+    for k in range(250):
+        text = rng.choices(words, k=rng.randint(0, 90))
+        for who in rng.sample(range(12), rng.choice([0, 0, 1, 2])):
+            text[rng.randint(0, len(text)) : 0] = [people[who], *rng.sample([f"Nick{who}", f"zq{who}", f"ab{chr(99 + who)}", "team"], 2)]
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    strong, every = plain_disclosures(texts, o)
+    assert len(set(strong.values())) > 1
+    rows = disclosures(docs, scan(docs, o), o).collect()
+    assert {(r["entity"], r["term"]): r["level"] for r in rows} == strong and len(rows) == len(strong)
+    got = {r["doc_id"]: r for r in find_pii(docs, o).collect()}
+    for d, held in enumerate(every):
         revealed = {m[0].lower() for entities, terms in held for m in terms for e in entities if (e, m[0].lower()) in strong}
         want = sorted(f"term:{m.start()}:{m.end()}" for _, terms in held for m in terms if m[0].lower() in revealed)
         assert sorted(s for s in got[d]["spans"].split(",") if s.startswith("term")) == want
         assert got[d]["n_term"] == len(want)
 
 
+def test_op2_joins_without_broadcast(spark):
+    from wickwork.llm.pii import DisclosureOptions, find_pii
+
+    rows = [(k, f"mail user{k % 5}@corp.example by Nick{k % 5} of team") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide, narrow = (sorted(map(tuple, find_pii(docs, DisclosureOptions(broadcast_rows=n)).collect())) for n in (0, 50_000))
+    assert wide == narrow and all(r[5] == 1 for r in narrow)
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_op2_planted_terms_do_not_move_with_the_table(spark, times):
+    """A term beside its entity alone is found, one seen once or as often without it is not, whatever else the table holds."""
+    from wickwork.llm.pii import find_pii
+
+    rows = [(k, "meet Zanzibar or boss@corp.example near the office") for k in range(6)]
+    rows += [(10, "one unique sighting of ann@corp.example"), (11, "the office is near"), (12, "meet me")]
+    rows += [(100 + k, f"the office of number {k} is near and we meet or do not") for k in range(60 * times)]
+    got = {r["doc_id"]: r["spans"] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == "term:5:13,email:17:34" for k in range(6))
+    assert "term" not in got[10] and got[11] == got[12] == got[100] == ""
+
+
 def test_op2_sanitised_text(spark):
     from wickwork.llm.pii import find_pii, sanitise
 
-    rows = [(k, f"Common words here then Zanzibar writes to boss@corp.example about things") for k in range(8)] + [(100 + k, f"Common words here then things about writes to number {k}") for k in range(60)]
+    rows = [(k, "Common words here then Zanzibar and Qoph writes to boss@corp.example about things") for k in range(8)]
+    rows += [(100 + k, f"Common words here and then Zanzania and things about writes to number {k}") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in find_pii(docs).collect()}
     at = rows[0][1].index("Zanzibar")
     assert f"term:{at}:{at + 8}" in got[0]["spans"].split(",")
-    assert got[0]["n_term"] == 1 and got[100]["spans"] == ""
+    assert got[0]["n_term"] == 2 and got[100]["spans"] == ""
     clean = {r["doc_id"]: r["text"] for r in sanitise(docs).collect()}
-    assert clean[0] == "Common words here then [name] writes to [email] about things" and clean[100] == rows[8][1]
+    # The class of words in zanz is safe; no class of Qoph is, so it goes.
+    assert clean[0] == "Common words here then [zanz*] and  writes to [email] about things" and clean[100] == rows[8][1]
 
 
 def test_op2_rows_neither_multiply_nor_vanish(spark):

@@ -1,12 +1,15 @@
 """PII: exact patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 An entity is the value of a pattern match. Texts are cut into sections of ``section`` words; a section is the event that
-everything is counted by, over all documents: how many hold a term, an entity, and both. How strongly a term reveals an
-entity is its pointwise mutual information with the entity over the entity's information, log(P(e | t) / P(e)) / -log P(e):
-1 if the term never occurs without it, 0 if both are independent. P(e | t) = (both + k P(e)) / (df + k) is smoothed by
-``smoothing`` sections, so every entity is judged, and a term says more the oftener it was seen with it. Of terms that reach
-``generalise`` in a section of the entity, every occurrence in the whole document is a span of kind ``term``; in the
-sanitised text it becomes its class (name, capitals, code, number of its digits, word), and from ``remove`` on it is left out.
+everything is counted by, over all documents: how many hold a term outside matches, an entity, and both. How strongly a term
+discloses an entity is the lower confidence bound (Wilson's, at ``z`` deviations) of P(e | t) = both / df: one joint sighting is
+no proof, many are, and the bound does not move with the size of the corpus. A term discloses if that reaches ``disclosed``
+and is above P(e), so an entity that is everywhere is disclosed by nothing. In sections of the entity such terms are found,
+and all their occurrences in the whole document are spans of kind ``term``.
+
+Terms are generalised along a hierarchy that the corpus fills: classes of all words that begin alike, of ``levels`` letters.
+The disclosure of a class is its own, counted over the sections that hold any of its words. In the sanitised text a
+term becomes its narrowest class that does not disclose the entity, and is left out where each class does.
 
 Pairs are within sections, so they grow with the text, and are counted before a shuffle.
 
@@ -35,13 +38,14 @@ _TERM = re.compile(r"[^\W_]+")
 class DisclosureOptions:
     #: Words of a section: what one entity's pairs are bounded by.
     section: int = 256
-    smoothing: float = 1.0
-    generalise: float = 0.85
-    remove: float = 0.97
-    #: Sections from which on an (entity, term) pair is hot: such pairs, few for any input, are broadcast.
-    hot: int = 20_000
-    #: Entities (about 60 bytes each) that are broadcast at most.
+    z: float = 1.0
+    disclosed: float = 0.6
+    #: Letters of the classes of a term, narrowest first.
+    levels: tuple[int, ...] = (4, 2)
+    #: Rows (about 60 bytes each) of entities or of disclosures that are broadcast at most.
     broadcast_rows: int = 50_000
+    #: Tasks that the rows of a frequent term meet in.
+    salts: int = 16
 
 
 def entity(kind: str, value: str) -> str:
@@ -67,8 +71,9 @@ def sections(text: str, spans, size: int) -> list[dict]:
     return [{"entities": sorted(s["entities"]), "terms": s["terms"]} for s in out]
 
 
-def n_sections(words: int, size: int) -> int:
-    return max(1, -(-words // size))
+def class_of(term: str, letters: int) -> str:
+    """The key of a class of words; no term holds a star."""
+    return term[:letters] + "*"
 
 
 def identity() -> Column:
@@ -96,72 +101,115 @@ def scan(docs: DataFrame, o: DisclosureOptions) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, o: DisclosureOptions) -> DataFrame:
-    """term, df: sections that hold the term, counted per task before the shuffle; the term "" counts all sections."""
+    """term, df: sections that hold the term or class outside matches, counted per task before the shuffle; "" counts all sections."""
 
     def run(batches):
         from collections import Counter
 
         counts: Counter = Counter()
 
+        def add(terms: set) -> None:
+            counts.update(terms)
+            for k in o.levels:
+                counts.update({t[:k] + "*" for t in terms})
+            counts[""] += 1
+
         def out():
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "df"])
             counts.clear()
 
         for batch in sliced(batches):
             for t in batch.column("text").to_pylist():
-                words = _TERM.findall((t or "").lower() if (t or "").isascii() else " ".join(w.lower() for w in _TERM.findall(t or "")))
-                for at in range(0, len(words), o.section):
-                    counts.update(set(words[at : at + o.section]))
-                counts[""] += n_sections(len(words), o.section)
-            if len(counts) > 200_000:
-                yield from out()
+                t = t or ""
+                base = personal(t)
+                if base:
+                    for s in sections(t, base, o.section):
+                        add({x["term"] for x in s["terms"]})
+                else:
+                    words = _TERM.findall(t.lower()) if t.isascii() else [w.lower() for w in _TERM.findall(t)]
+                    for at in range(0, max(len(words), 1), o.section):
+                        add(set(words[at : at + o.section]))
+                if len(counts) > 200_000:
+                    yield from out()
         yield from out()
 
     return docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _pairs(scanned: DataFrame) -> DataFrame:
-    """key, entity, term: once for each section that holds both."""
+def _pairs(scanned: DataFrame, letters: int | None = None) -> DataFrame:
+    """key, entity, term: once for each section that holds both; with ``letters`` the term is its class."""
     one = scanned.select("key", F.explode("sections").alias("s")).filter(F.size("s.entities") > 0)
-    terms = F.array_distinct(F.transform("s.terms", lambda t: t["term"]))
+    name = (lambda t: t) if letters is None else (lambda t: F.concat(F.substring(t, 1, letters), F.lit("*")))
+    terms = F.array_distinct(F.transform("s.terms", lambda t: name(t["term"])))
     return one.select("key", terms.alias("terms"), F.explode("s.entities").alias("entity")).select("key", "entity", F.explode("terms").alias("term"))
 
 
+def bound(both: Column, df: Column, z: float) -> Column:
+    """Wilson's lower bound of a share."""
+    p = both / df
+    return (p + z * z / (2 * df) - z * F.sqrt(p * (1 - p) / df + z * z / (4 * df * df))) / (1 + z * z / df)
+
+
+def _within(rows: DataFrame, few: DataFrame, on: list[str], small: bool, by: str, salts: int) -> DataFrame:
+    """``rows`` joined to ``few`` (one row a key): broadcast where that is small, else the rows of a key meet in ``salts`` tasks, dealt by ``by``."""
+    if small:
+        return rows.join(F.broadcast(few), on)
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(few, [*on, "_salt"]).drop("_salt")
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> DataFrame:
-    """entity, term, both, holders, df, strength: the terms that reveal an entity to at least ``generalise``."""
+    """entity, term, both, holders, df, strength, level: the terms that disclose an entity, and their first class that does not.
+
+    Levels count from 0; ``len(o.levels)`` is removal.
+    """
     counts = staged(term_frequencies(docs, o), "term-frequencies")
     total = counts.filter("term = ''").select(F.col("df").alias("n"))
-    both = _pairs(scanned).groupBy("entity", "term").agg(F.count("*").alias("both"))
     holders = scanned.select(F.explode("sections").alias("s")).select(F.explode("s.entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders"))
     holders = staged(holders, "holders")
-    few = F.broadcast if holders.count() <= o.broadcast_rows else (lambda x: x)
-    joint = both.join(few(holders), "entity").join(counts, "term").join(F.broadcast(total), F.lit(True))  # one row
-    p = F.col("holders") / F.col("n")
-    strength = F.log((F.col("both") + F.lit(o.smoothing) * p) / (F.col("df") + F.lit(o.smoothing)) / p) / -F.log(p)
-    strength = F.when(p < 1, strength).otherwise(F.lit(0.0))
-    return joint.withColumn("strength", strength).filter(F.col("strength") >= o.generalise).select("entity", "term", "both", "holders", "df", "strength")
+    few_holders = holders.count() <= o.broadcast_rows
+
+    def judged(both: DataFrame) -> DataFrame:
+        # A frequent term meets many entities: its count is copied, not its pairs gathered.
+        joint = _within(_within(both, holders, ["entity"], few_holders, "term", o.salts), counts, ["term"], False, "entity", o.salts)
+        joint = joint.join(F.broadcast(total), F.lit(True)).withColumn("strength", bound(F.col("both"), F.col("df"), o.z))  # one row
+        return joint.filter((F.col("strength") >= o.disclosed) & (F.col("strength") > F.col("holders") / F.col("n")))
+
+    both = _pairs(scanned).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    # Below this many joint sightings the bound is under the threshold whatever else holds.
+    least = o.disclosed * o.z * o.z / (1 - o.disclosed) if o.disclosed < 1 else float("inf")
+    found = staged(judged(both.filter(F.col("both") >= least)).select("entity", "term", "both", "holders", "df", "strength"), "disclosing")
+    small = found.count() <= o.broadcast_rows
+    out = found.withColumn("level", F.lit(0))
+    for k, letters in enumerate(o.levels):
+        name = F.concat(F.substring("term", 1, letters), F.lit("*"))
+        asked = found.select("entity", name.alias("term")).distinct()
+        both = _within(_pairs(scanned, letters), asked, ["entity", "term"], small, "key", o.salts).groupBy("entity", "term").agg(F.count("*").alias("both"))
+        unsafe = judged(both).select("entity", F.col("term").alias("_class"), F.lit(True).alias("_unsafe"))
+        out = out.withColumn("_class", name).join(unsafe, ["entity", "_class"], "left")
+        # A class is passed on from only if all narrower ones were.
+        out = out.withColumn("level", F.when((F.col("level") == k) & F.col("_unsafe"), F.lit(k + 1)).otherwise(F.col("level"))).drop("_class", "_unsafe")
+    return out
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> DataFrame:
-    """key, terms: the spans (start, end, strength) of revealing terms, for documents that have any."""
-    found = staged(disclosures(docs, scanned, o).select("entity", "term", "both", "strength"), "disclosures")
-    pairs, pair = _pairs(scanned), ["entity", "term"]
-    hot = F.broadcast(found.filter(F.col("both") > o.hot).drop("both"))
-    rest = pairs.join(hot.select(*pair), pair, "left_anti").join(found.filter(F.col("both") <= o.hot).drop("both"), pair)
-    hits = pairs.join(hot, pair).unionByName(rest).groupBy("key", "term").agg(F.max("strength").alias("strength"))
-    hits = hits.groupBy("key").agg(F.collect_list(F.struct("term", "strength")).alias("hits"))
+    """key, terms: the spans (start, end, level) of disclosing terms, for documents that have any; of levels the widest."""
+    found = staged(disclosures(docs, scanned, o).select("entity", "term", "level"), "disclosures")
+    hits = _within(_pairs(scanned), found, ["entity", "term"], found.count() <= o.broadcast_rows, "key", o.salts)
+    hits = hits.groupBy("key", "term").agg(F.max("level").alias("level"))
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("term", "level")).alias("hits"))
     every = scanned.filter(F.size("sections") > 0).groupBy("key").agg(F.first(F.flatten(F.transform("sections", lambda s: s["terms"]))).alias("terms"))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("strength", pa.float64())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("level", pa.int32())]))
 
     def run(batches):
         for batch in sliced(batches):
             out = []
             for terms, hit in zip(batch.column("terms").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                strength = {h["term"]: h["strength"] for h in hit}
-                out.append([{"start": t["start"], "end": t["end"], "strength": strength[t["term"]]} for t in terms if t["term"] in strength])
+                level = {h["term"]: h["level"] for h in hit}
+                out.append([{"start": t["start"], "end": t["end"], "level": level[t["term"]]} for t in terms if t["term"] in level])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, kind)], names=["key", "terms"])
 
-    return every.join(hits, "key").select("key", "terms", "hits").mapInArrow(run, "key binary, terms array<struct<start:int,end:int,strength:double>>")
+    return every.join(hits, "key").select("key", "terms", "hits").mapInArrow(run, "key binary, terms array<struct<start:int,end:int,level:int>>")
 
 
 def find_pii(docs: DataFrame, options: DisclosureOptions | None = None) -> DataFrame:
@@ -171,7 +219,7 @@ def find_pii(docs: DataFrame, options: DisclosureOptions | None = None) -> DataF
     rows = scanned.drop("sections").join(term_spans(docs, scanned, o), "key", "left")
     start = lambda s: F.split(s, ":")[1].cast("int")
     base = F.filter(F.split("base", ","), lambda s: s != "")
-    more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,strength:double>>")), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
+    more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,level:int>>")), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
     # Base spans come in order and before a term that starts at the same place.
     both = F.transform(base, lambda s, i: F.struct(start(s).alias("at"), F.lit(0).alias("k"), i.alias("i"), s.alias("s")))
     both = F.concat(both, F.transform(more, lambda s, i: F.struct(start(s).alias("at"), F.lit(1).alias("k"), i.alias("i"), s.alias("s"))))
@@ -179,17 +227,13 @@ def find_pii(docs: DataFrame, options: DisclosureOptions | None = None) -> DataF
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.size(more).cast("long").alias("n_term"), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
 
-def term_class(term: str) -> str:
-    """What a generalised term becomes."""
-    if term.isdigit():
-        return f"[number of {len(term)} digits]"
-    if any(c.isdigit() for c in term):
-        return "[code]"
-    return "[capitals]" if len(term) > 1 and term.isupper() else "[name]" if term[0].isupper() else "[word]"
+def mark(term: str, level: int, o: DisclosureOptions) -> str:
+    """What a disclosing term becomes: its class, or nothing."""
+    return f"[{class_of(term.lower(), o.levels[level])}]" if level < len(o.levels) else ""
 
 
 def sanitise(docs: DataFrame, options: DisclosureOptions | None = None) -> DataFrame:
-    """doc_id and the sanitised text of every row: matches become their kind, terms their class or nothing."""
+    """doc_id and the sanitised text of every row: matches become their kind, terms the class that is safe, or nothing."""
     o = options or DisclosureOptions()
     scanned = staged(scan(docs, o), "scanned")
     rows = docs.select("doc_id", "text", identity().alias("key")).join(term_spans(docs, scanned, o), "key", "left")
@@ -201,7 +245,7 @@ def sanitise(docs: DataFrame, options: DisclosureOptions | None = None) -> DataF
             for t, more in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
                 t = t or ""
                 spans = [(a, b, f"[{k}]") for k, a, b in personal(t)]
-                spans += [(x["start"], x["end"], "" if x["strength"] >= o.remove else term_class(t[x["start"] : x["end"]])) for x in more or []]
+                spans += [(x["start"], x["end"], mark(t[x["start"] : x["end"]], x["level"], o)) for x in more or []]
                 out.append(replaced(t, spans))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
