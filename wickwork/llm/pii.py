@@ -170,8 +170,12 @@ def disclosures(docs: DataFrame, scanned: DataFrame, o: DisclosureOptions) -> Da
     few_holders = holders.count() <= o.broadcast_rows
 
     def judged(both: DataFrame) -> DataFrame:
-        # A frequent term meets many entities: its count is copied, not its pairs gathered.
-        joint = _within(_within(both, holders, ["entity"], few_holders, "term", o.salts), counts, ["term"], False, "entity", o.salts)
+        # The bound is at most both / df: terms too frequent for their best pair go before pairs meet their counts.
+        both = staged(both, "joint")
+        best = both.groupBy("term").agg(F.max("both").alias("best"))
+        able = staged(counts.join(best, "term").filter(F.col("best") >= F.col("df") * F.lit(o.disclosed)).drop("best"), "able")
+        joint = _within(both, able, ["term"], able.count() <= o.broadcast_rows, "entity", o.salts)
+        joint = _within(joint, holders, ["entity"], few_holders, "term", o.salts)
         joint = joint.join(F.broadcast(total), F.lit(True)).withColumn("strength", bound(F.col("both"), F.col("df"), o.z))  # one row
         return joint.filter((F.col("strength") >= o.disclosed) & (F.col("strength") > F.col("holders") / F.col("n")))
 
