@@ -76,10 +76,10 @@ def shape_of(segment: Column) -> Column:
     return F.regexp_replace(segment, "[0-9]+", "{n}")
 
 
-def _salted(rows: DataFrame, points: DataFrame, on: list[str], o: TemplateOptions) -> DataFrame:
+def _salted(rows: DataFrame, points: DataFrame, on: list[str], o: TemplateOptions, by: str = "path") -> DataFrame:
     """``rows`` left joined to ``points`` (one row a key): the rows of a key meet in ``o.salts`` tasks."""
     points = points.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(o.salts - 1))))
-    salt = F.pmod(F.xxhash64("path"), F.lit(o.salts)).cast("int")
+    salt = F.pmod(F.xxhash64(by), F.lit(o.salts)).cast("int")
     return rows.withColumn("_salt", salt).join(points, [*on, "_salt"], "left").drop("_salt")
 
 
@@ -126,9 +126,10 @@ def _level(rows: DataFrame, depth: int, o: TemplateOptions) -> DataFrame:
     points = children.groupBy(*point).agg(F.count(F.when(digits, 1)).alias("n_digits"), F.count(F.when(light, 1)).alias("n_light"))
     points = points.select(*point, (F.col("n_digits") > 1).alias("_digits"), (F.col("n_light") >= o.min_children).alias("_light"))
     varies = (digits & (F.col("_digits") | F.col("_light"))) | (light & F.col("_light"))
-    varying = children.join(points.filter("_digits OR _light"), point)
-    shapes = varying.filter(varies).groupBy(*point).agg(F.min(shape_of(F.col("child"))).alias("a"), F.max(shape_of(F.col("child"))).alias("b"))
-    wild = staged(varying.filter(varies).select(*point, "child").join(shapes.select(*point, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("{*}").alias("branch")), point), "wild")
+    varying = _salted(children, points.filter("_digits OR _light"), point, o, "child").filter(varies)
+    shapes = varying.groupBy(*point).agg(F.min(shape_of(F.col("child"))).alias("a"), F.max(shape_of(F.col("child"))).alias("b"))
+    shapes = shapes.select(*point, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("{*}").alias("branch"))
+    wild = staged(_salted(varying.select(*point, "child"), shapes, point, o, "child"), "wild")
     # Fenced: a rule names the child or something below it.
     pool = F.concat((F.col("shut") > 0).cast("string"), (F.col("open") > 0).cast("string"), (F.col("n_lab") > 0).cast("string"))
     fenced = (F.col("shut") > 0) | (F.col("open") > 0)
