@@ -101,6 +101,23 @@ def test_op1_odd_vectors_and_ties(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op1_finds_all_where_vectors_are_close_together(spark):
+    """Codes of few codebooks, which tell little of the score; long vectors and very small ones beside."""
+    from wickwork.llm.additive_ann import AdditiveOptions, nearest
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (1, 24)) + rng.normal(0, 1e-3, (4000, 24)), rng.normal(0, 1, (2000, 24)), rng.normal(0, 1, (60, 24)) * 50, rng.normal(0, 1, (40, 24)) * 1e-6])
+    x = x[rng.permutation(len(x))]
+    got = defaultdict(list)
+    found = nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), AdditiveOptions(codebooks=2, codewords=16, sample=500, shortlist=100), every=50)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, len(x), 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert set(got[q]) == set(np.argsort(-s)[:20].tolist())
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 

@@ -2,10 +2,12 @@
 
 Codebooks of full dimension are fitted one on the residuals of the others, on a bounded sample drawn by a hash of the
 id. Equal vectors become one row, with the ``k + 1`` smallest of their ids: no others can be among the nearest ``k``. Every
-vector is encoded by a beam search over sums of codewords, and stores its codes and the ratio of its norm to its
-reconstruction's. A query scores codes alone, by look-up tables of its inner products with the codewords; the ``shortlist``
-best of all tasks meet in a window, and only those are joined with their vectors and scored exactly. Queries go out in
-blocks of fixed size, each against all codes.
+vector is encoded by a beam search over sums of codewords, and stores its codes, the ratio of its norm to its
+reconstruction's and the length of what the reconstruction misses. A query scores codes by look-up tables of its inner
+products with the codewords. What a score may be off by is at most that length times the query's norm, so a vector whose
+score with this margin stays below the ``k`` best known can be left out for sure; the others are scored exactly in the same
+task, so no row distribution costs recall. The few best of each task meet in a window and are joined with their vectors.
+Queries go out in blocks of fixed size, each against all codes.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite parts
 take no part; a query has fewer than ``k`` results if there are fewer candidates; ties go to the smaller id; rows that
@@ -33,7 +35,7 @@ class AdditiveOptions:
     #: Rows that the codebooks are fitted on, about.
     sample: int = 16_000
     rounds: int = 8
-    #: Vectors a query that are scored exactly, over all tasks.
+    #: Vectors of the first batch of a task that are scored exactly for each query, to have a bound for the others.
     shortlist: int = 400
     #: Queries a block.
     block: int = 4096
@@ -115,7 +117,7 @@ def usable(col: str, size: int | None = None) -> Column:
 
 
 def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec: str = "embedding", id_: str = "vec_id") -> tuple[DataFrame, AdditiveQuantiser] | None:
-    """(first, hash, ids, x, codes, ratio) of every distinct usable vector, written in the shared folder, and the quantiser.
+    """(first, hash, ids, x, codes, ratio, miss) of every distinct usable vector, written in the shared folder, and the quantiser.
 
     ``first`` is the smallest of ``ids``; with the hash of the vector it names the row.
     """
@@ -145,47 +147,94 @@ def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec:
             if batch.num_rows:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 codes = q.encode(x)
-                near = np.sqrt((q.decode(codes).astype("f8") ** 2).sum(1))
-                ratio = np.where(near > 0, np.sqrt((x**2).sum(1)) / np.maximum(near, 1e-30), 1.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float64())], names=["first", "hash", "ids", "x", "codes", "ratio"])
+                made = q.decode(codes).astype("f8")
+                near, norm = _norms(made), _norms(x)
+                ratio = np.where(near > 1e-30, norm / np.maximum(near, 1e-30), 1.0)
+                # Beyond the range of float32 nothing is known of a score: the margin is without end then.
+                with np.errstate(all="ignore"):
+                    miss = _norms(x - made * ratio[:, None]) * (1 + 1e-6) + 1e-4 * (norm + near * ratio)
+                miss = np.where(np.isfinite(miss) & (norm < 1e15) & (near < 1e15) & (ratio < 1e15), miss, np.inf)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float64()), pa.array(miss, pa.float64())], names=["first", "hash", "ids", "x", "codes", "ratio", "miss"])
 
-    return staged(unique.mapInArrow(run, "first long, hash long, ids array<long>, x array<double>, codes binary, ratio double"), "codes"), quantiser
+    return staged(unique.mapInArrow(run, "first long, hash long, ids array<long>, x array<double>, codes binary, ratio double, miss double"), "codes"), quantiser
+
+
+def _norms(x):
+    """Euclidean lengths of rows, without overflow or loss of small ones."""
+    import numpy as np
+
+    scale = np.abs(x).max(1)
+    scale = np.where((scale > 0) & np.isfinite(scale), scale, 1.0)
+    return scale * np.sqrt(((x / scale[:, None]) ** 2).sum(1))
 
 
 def candidates(index: DataFrame, quantiser: AdditiveQuantiser, ids, q, o: AdditiveOptions) -> DataFrame:
-    """query_id, first, hash, approx: the best ``shortlist`` rows of each task by look-up tables, for a block of queries."""
+    """query_id, first, hash, near: the ``2 k`` best rows of each task, for a block of queries.
+
+    Codes are scored by look-up tables; rows that their margin of error cannot rule out are scored exactly.
+    """
     import numpy as np
 
-    held = index.sparkSession.sparkContext.broadcast((ids, q.astype("f4"), quantiser.books))
+    held, keep = index.sparkSession.sparkContext.broadcast((ids, q, quantiser.books)), 2 * o.k
+    group = 64  # queries at once
 
     def run(batches):
         ids, q, books = held.value
-        tables = np.ascontiguousarray(np.einsum("qd,mkd->qmk", q, books, optimize=True))
-        best = [(np.zeros(0, "f4"), np.zeros((0, 2), "i8"))] * len(ids)
+        length = _norms(q)
+        with np.errstate(all="ignore"):
+            tables = np.ascontiguousarray(np.einsum("qd,mkd->qmk", q.astype("f4"), books, optimize=True))
+        safe = np.isfinite(tables).all((1, 2)) & (length > 1e-15) & (length < 1e15)
+        best = [(np.zeros(0), np.zeros((0, 2), "i8"))] * len(ids)
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = np.stack([batch.column("first").to_numpy(), batch.column("hash").to_numpy()], 1)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "u1" if o.codewords <= 256 else "u2").reshape(len(names), -1)
-            columns, ratio = [codes[:, m].astype("i8") for m in range(codes.shape[1])], batch.column("ratio").to_numpy().astype("f4")
-            for k in range(len(ids)):
-                approx = tables[k, 0].take(columns[0])
-                for m in range(1, len(columns)):
-                    approx += tables[k, m].take(columns[m])
-                approx *= ratio
-                score, row = best[k]
-                at = np.arange(len(approx)) if len(score) < o.shortlist else np.flatnonzero(approx > score.min())
-                score, row = np.concatenate((score, approx[at])), np.concatenate((row, names[at]))
-                if len(score) > o.shortlist:
-                    top = np.argpartition(-score, o.shortlist - 1)[: o.shortlist]
-                    score, row = score[top], row[top]
-                best[k] = (score, row)
+            columns, ratio, miss = [codes[:, m].astype("i8") for m in range(codes.shape[1])], batch.column("ratio").to_numpy(), batch.column("miss").to_numpy()
+            for s in range(0, len(ids), group):
+                part = range(s, min(s + group, len(ids)))
+                asked = []
+                for k in part:
+                    score, row = best[k]
+                    if not safe[k]:
+                        asked.append(np.arange(len(names)))
+                        continue
+                    approx = tables[k, 0].take(columns[0])
+                    for m in range(1, len(columns)):
+                        approx += tables[k, m].take(columns[m])
+                    with np.errstate(all="ignore"):
+                        bound = approx * ratio + miss * length[k]
+                    bound[np.isnan(bound)] = np.inf
+                    least = score.min() if len(score) == keep else -np.inf
+                    if least == -np.inf and len(names) > o.shortlist:
+                        top = np.argpartition(-bound, o.shortlist - 1)[: o.shortlist]
+                        first = x[top] @ q[k]
+                        if len(first) > keep:
+                            least = np.partition(first, len(first) - keep)[len(first) - keep]
+                    # What the exact scores' own rounding may hide stays in.
+                    asked.append(np.flatnonzero(~(bound < least - 1e-9 * abs(least))))
+                # Where most rows remain, one product of matrices costs less than rows picked query by query.
+                many = sum(map(len, asked)) > 0.05 * len(names) * len(asked)
+                whole = q[s : s + len(asked)] @ x.T if many else None
+                for i, (k, at) in enumerate(zip(part, asked, strict=True)):
+                    exact = whole[i, at] if many else x[at] @ q[k]
+                    exact = np.where(np.isnan(exact), -np.inf, exact)
+                    score, row = best[k]
+                    score, row = np.concatenate((score, exact)), np.concatenate((row, names[at]))
+                    if len(score) > keep:
+                        # Ties go to the smaller id, so all that tie with the last one kept are put in order.
+                        edge = np.partition(score, len(score) - keep)[len(score) - keep]
+                        at = np.flatnonzero(score >= edge)
+                        at = at[np.lexsort((row[at, 1], row[at, 0], -score[at]))[:keep]]
+                        score, row = score[at], row[at]
+                    best[k] = (score, row)
         for s in range(0, len(ids), 256):
             part = best[s : s + 256]
             row = np.concatenate([r for _, r in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[s : s + 256], [len(x) for x, _ in part])), pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(np.concatenate([x for x, _ in part]), pa.float32())], names=["query_id", "first", "hash", "approx"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[s : s + 256], [len(x) for x, _ in part])), pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(np.concatenate([x for x, _ in part]), pa.float64())], names=["query_id", "first", "hash", "near"])
 
-    return index.select("first", "hash", "codes", "ratio").mapInArrow(run, "query_id long, first long, hash long, approx float")
+    return index.select("first", "hash", "x", "codes", "ratio", "miss").mapInArrow(run, "query_id long, first long, hash long, near double")
 
 
 def search(index: DataFrame, quantiser: AdditiveQuantiser, queries: DataFrame, options: AdditiveOptions | None = None) -> DataFrame:
@@ -210,8 +259,8 @@ def search(index: DataFrame, quantiser: AdditiveQuantiser, queries: DataFrame, o
             continue
         x = np.array(got.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)
         near = candidates(index, quantiser, got.column("query_id").to_numpy(), x, o)
-        w = Window.partitionBy("query_id").orderBy(F.desc("approx"), "first", "hash")
-        short = staged(near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= o.shortlist).select("query_id", "first", "hash"), "shortlist")
+        w = Window.partitionBy("query_id").orderBy(F.desc("near"), "first", "hash")
+        short = staged(near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * o.k).select("query_id", "first", "hash"), "shortlist")
         asked = F.broadcast(block.withColumnRenamed("x", "q"))  # about ``block`` rows
         exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         scored = short.join(index.select("first", "hash", "ids", "x"), ["first", "hash"]).join(asked, "query_id").select("query_id", "ids", exact.alias("score"))
