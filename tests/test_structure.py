@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 
@@ -64,3 +65,12 @@ def test_every_query_has_sql_or_says_why():
 
 def test_dates_are_dates(spark):
     assert isinstance(derived.daily_candles(spark, SF).first()["ts"], datetime.date)
+
+
+def test_structure_needs_one_sort_alone(spark):
+    """Breaks, ranges and legs are windows over the series in one order: none sorts the candles again by a key of its own."""
+    f = structure.structure_frame(candles(spark, [(10 + k % 3, 11 + k % 5, 8 - k % 4, 9 + k % 2) for k in range(30)]))
+    for made in (f, structure.gap_events(f)):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert set(re.findall(r"windowspecdefinition\(symbol_id#\d+L?, timeframe#\d+, (\w+)#", plan)) == {"ts"}
+        assert "Union" not in plan
