@@ -20,7 +20,8 @@ def as_of_rows(state: DataFrame, options: EngineOptions | None = None, start=Non
         rows = rows.filter(F.col("ts") >= F.lit(start))
     if end is not None:
         rows = rows.filter(F.col("ts") <= F.lit(end))
-    k = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts"))
+    # Without a start the candle's own number counts.
+    k = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")) if start is not None else F.col("rn")
     return rows.withColumn("_k", k - 1).filter((F.col("_k") % o.cadence == 0) & (F.col("rn") >= o.min_bars)).drop("_k")
 
 

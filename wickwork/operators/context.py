@@ -17,7 +17,9 @@ def quality_columns(bars: DataFrame, o: QualityOptions) -> DataFrame:
     volumes = F.collect_list("volume").over(last_n(o.window))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("most"))
     step = lambda a, v: F.struct(F.when(v == 0, a["run"] + 1).otherwise(0).alias("run"), F.greatest(a["most"], F.when(v == 0, a["run"] + 1).otherwise(0)).alias("most"))
-    return bars.withColumns({"traded_days": F.sum((F.col("volume") > 0).cast("int")).over(last_n(o.window)), "zero_run": F.aggregate(volumes, start, step)["most"]})
+    # Most windows hold no candle without volume, and need no look at each of theirs.
+    out = bars.withColumns({"traded_days": F.sum((F.col("volume") > 0).cast("int")).over(last_n(o.window)), "_zeros": F.max((F.col("volume") == 0).cast("int")).over(last_n(o.window)), "_volumes": volumes})
+    return out.withColumn("zero_run", F.when(F.col("_zeros") == 1, F.aggregate("_volumes", start, step)["most"]).otherwise(0)).drop("_zeros", "_volumes")
 
 
 def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -27,19 +29,20 @@ def missing_days(candles: DataFrame, calendar: DataFrame) -> DataFrame:
     return expected.join(candles.select(*SERIES, F.col("ts").alias("day")), [*SERIES, "day"], "left_anti")
 
 
-def with_missing(bars: DataFrame, calendar: DataFrame | None, o: QualityOptions) -> DataFrame:
+def with_missing(bars: DataFrame, calendar: DataFrame | None, o: QualityOptions, candles: DataFrame | None = None) -> DataFrame:
     """Adds n_missing: days of ``calendar`` (day) within the last ``window`` candles, as of each, that have no candle.
 
     Days are counted by ordinals: what lies between two candles is the difference of their ordinals. The calendar and the
     days of candles are one short table of dates (a century has 36,525), numbered in one order and joined by the day.
+    ``candles`` may name a table with the same candles that is cheaper to read for their days.
     """
     if calendar is None:
         return bars.withColumn("n_missing", F.lit(0).cast("bigint"))
-    days = bars.select(F.col("ts").cast("date").alias("_day"), F.lit(0).alias("_on")).distinct().unionByName(calendar.select(F.col("day").alias("_day"), F.lit(1).alias("_on")).distinct())
+    days = (bars if candles is None else candles).select(F.col("ts").cast("date").alias("_day"), F.lit(0).alias("_on")).distinct().unionByName(calendar.select(F.col("day").alias("_day"), F.lit(1).alias("_on")).distinct())
     days = days.groupBy("_day").agg(F.max("_on").alias("_on"))
     days = days.withColumn("_ordinal", F.sum("_on").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)))
     w = last_n(o.window)
-    rows = bars.withColumn("_day", F.col("ts").cast("date")).join(days, "_day")
+    rows = bars.withColumn("_day", F.col("ts").cast("date")).join(F.broadcast(days), "_day")  # a table of dates
     expected = F.col("_ordinal") - F.first("_ordinal").over(w) + F.first("_on").over(w)
     return rows.withColumn("n_missing", expected - F.sum("_on").over(w)).drop("_day", "_on", "_ordinal")
 
@@ -123,10 +126,15 @@ def simple_return(k: int) -> Column:
 
 def relative_strength(candles: DataFrame, index: DataFrame, short: int = 20, long: int = 60) -> DataFrame:
     """series, ts, rs_short, rs_long: returns over those of the index the same number of candles back."""
-    own = candles.select(*SERIES, "ts", simple_return(short).alias("_s"), simple_return(long).alias("_l"))
+    return with_strength(candles, index, short, long).select(*SERIES, "ts", "rs_short", "rs_long")
+
+
+def with_strength(candles: DataFrame, index: DataFrame, short: int = 20, long: int = 60) -> DataFrame:
+    """``candles`` with rs_short and rs_long."""
+    own = candles.withColumns({"_s": simple_return(short), "_l": simple_return(long)})
     bench = index.select("timeframe", "ts", simple_return(short).alias("_bs"), simple_return(long).alias("_bl"))
     rows = own.join(bench, ["timeframe", "ts"], "left")
-    return rows.select(*SERIES, "ts", F.when(F.col("_bs") != 0, F.col("_s") / F.col("_bs")).alias("rs_short"), F.when(F.col("_bl") != 0, F.col("_l") / F.col("_bl")).alias("rs_long"))
+    return rows.withColumns({"rs_short": F.when(F.col("_bs") != 0, F.col("_s") / F.col("_bs")), "rs_long": F.when(F.col("_bl") != 0, F.col("_l") / F.col("_bl"))}).drop("_s", "_l", "_bs", "_bl")
 
 
 __all__ = ["best_bands", "circuit_state", "last_trend", "market_states", "missing_days", "mtf_alignment", "quality_gate", "relative_strength", "suppressed", "window_indicators"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.operators.indicators import snapshot
+from wickwork.operators.indicators import WINDOWS, recent_indicators, snapshot
 from wickwork.operators.structure import breaks, events, swings
 from wickwork.schema import SERIES
 from wickwork.sources.store import Store
@@ -23,6 +23,10 @@ def latest_events(frame: DataFrame, mitigated: DataFrame) -> DataFrame:
 
 
 def persist_scan(store: Store, frame: DataFrame, mitigated: DataFrame) -> dict[str, int]:
-    """Puts snapshots and last events of ``frame`` (indicators and structure); the buckets written, none by a second run."""
-    values = snapshot(frame.filter(F.col("error").isNull()))
+    """Puts snapshots and last events of ``frame`` (recursive indicators and structure); the buckets written, none by a second run.
+
+    The indicators by windows are worked out here, for the last candles alone.
+    """
+    sound = frame.filter(F.col("error").isNull()).drop(*(c for i in WINDOWS for c in i.columns))
+    values = snapshot(recent_indicators(sound))
     return {"indicator_values": store.put("indicator_values", values), "structure_events": store.put("structure_events", latest_events(frame, mitigated))}

@@ -30,8 +30,7 @@ def stage1(
     if members is not None:
         daily = daily.join(members.select("symbol_id").distinct(), "symbol_id", "left_semi")
     state, mitigated = state_frame(daily, index, o, bands=bands, calendar=calendar)
-    w = Window.partitionBy(*SERIES)
-    last = state.withColumn("_last", F.max("ts").over(w)).filter("ts = _last").drop("_last")
+    last = last_rows(state)
     decided = reasoning(decide(last, o))
     planned = trade_plan(plan_inputs(decided.filter(F.col("outcome").isin("Buy", "StrongBuy")), mitigated, legs(state), o.risk), o.risk)
     plan = planned.select(*SERIES, *PLAN)
@@ -44,6 +43,11 @@ def stage1(
     return out.select("symbol_id", "ts", *sound, excluded.alias("excluded"), reason.alias("reasoning"))
 
 
+def last_rows(rows: DataFrame) -> DataFrame:
+    """The last candle of each series: its day is found in the keys alone."""
+    return rows.join(rows.groupBy(*SERIES).agg(F.max("ts").alias("ts")), [*SERIES, "ts"], "left_semi")
+
+
 def shortlist(scanned: DataFrame, options: EngineOptions | None = None) -> DataFrame:
     """The symbols of highest confidence that are not excluded; ties go to the smaller id."""
     n = (options or EngineOptions()).scan.shortlist
