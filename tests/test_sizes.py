@@ -46,7 +46,7 @@ def test_longest_run_without_volume(spark):
     c = spark.createDataFrame(rows, "symbol_id long, timeframe string, ts date, volume long")
     got = [r["zero_run"] for r in context.quality_columns(c, QualityOptions(window=10, min_traded_days=0)).orderBy("ts").collect()]
     for k, run in enumerate(got):
-        text = "".join("0" if v == 0 else "x" for v in volumes[max(0, k - 9) : k + 1])
+        text = "".join("0" if v == 0 else "x" for v in volumes[max(0, k - 9) : k + 1] if v is not None)
         assert run == max(map(len, text.split("x")))
 
 
