@@ -85,3 +85,14 @@ def test_ids_of_repeated_and_null_names(spark):
 
     got = allocate_ids(spark.createDataFrame([("B",), ("A",), ("B",), (None,), ("K",)], "nse_symbol string"), spark.createDataFrame([("K", 7), ("L", 9)], "nse_symbol string, symbol_id long"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == [("A", 10), ("B", 11), ("B", 11), ("K", 7), (None, None)]
+
+
+def test_blocks_of_candles_change_no_hit(spark, monkeypatch):
+    rng = random.Random(4)
+    zones = spans(rng, 80, 120)
+    candles = [(k % 3, "Daily", 1 + k // 3, low, low + rng.choice([0.0, 0.3, 5.0])) for k, low in enumerate(rng.uniform(0, 60) for _ in range(360))]
+    want = {(s, rn) for s, _, rn, lo, hi in candles for z in zones if z[0] == s and z[2] <= rn and (z[3] is None or rn < z[3]) and lo <= z[5] and hi >= z[4]}
+    for block in (1, 7, 512):
+        monkeypatch.setattr(intervals, "BLOCK", block)
+        got = intervals.overlapping(spark.createDataFrame(candles, "symbol_id long, timeframe string, rn int, low double, high double"), spark.createDataFrame(zones, ZONES))
+        assert {(r["symbol_id"], r["rn"]) for r in got.collect()} == want

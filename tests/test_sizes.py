@@ -60,3 +60,13 @@ def test_zones_meet_their_candles_across_many_blocks(spark):
     z = spark.sql(" union all ".join(f"select {zone}, {r} created_rn, {u}D upper, {v}D lower" for r, u, v in top)).join(frame.select("symbol_id").distinct(), "symbol_id")
     got = {(r["created_rn"], r["upper"]): (r["partial_rn"], r["full_rn"]) for r in structure.with_mitigation(z, frame).collect()}
     assert got == {(1, 21.2): (301, 301), (1, 23.55): (2601, 2601), (1, 24.45): (3501, 3501), (2602, 24.45): (3501, 3501), (1, 50.0): (None, None), (1, 10.5): (2, 2)}
+
+
+def test_the_state_moves_wide_rows_once(spark, monkeypatch):
+    plans = {}
+    kept = decision.staged
+    monkeypatch.setattr(decision, "staged", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), kept(df, name))[1])
+    c = candles(spark, walk(120))
+    state, _ = decision.state_frame(c, c)
+    assert plans["state"].split("+- Union")[0].count("Exchange") == 1 and "Join" not in plans["state"].split("Union")[0]
+    assert state.count() == 120

@@ -69,9 +69,9 @@ def quality_gate(candles: DataFrame, calendar: DataFrame | None = None, options:
     return last.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0).drop("_days")
 
 
-def circuit_state(band: Column | None = None, tolerance: float = 0.002) -> Column:
-    """None, UpperLocked or LowerLocked of each candle; needs columns of one series."""
-    pc, c = F.lag("close").over(series()), F.col("close")
+def circuit_state(band: Column | None = None, tolerance: float = 0.002, previous: Column | None = None) -> Column:
+    """None, UpperLocked or LowerLocked of each candle; needs columns of one series, or the ``previous`` close."""
+    pc, c = F.lag("close").over(series()) if previous is None else previous, F.col("close")
     locked = (F.col("high") == F.col("low")) & (F.col("low") == c)
     out = F.when(pc.isNull(), "None").when(locked, F.when(c > pc, "UpperLocked").otherwise("LowerLocked"))
     if band is not None:

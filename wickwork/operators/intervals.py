@@ -18,12 +18,19 @@ from wickwork.schema import SERIES
 #: Spans without an end reach to this candle number.
 LEVELS = 30
 FOREVER = 1 << LEVELS
+#: Candles that ``overlapping`` deals to nodes as one.
+BLOCK = 512
 
 
 def _at(level: Column, node: Column) -> Column:
     return F.struct(level.cast("int").alias("level"), node.cast("bigint").alias("node"))
 
 
+def _top(n: Column) -> Column:
+    """The highest level at which ``n`` lies in a node above 0."""
+    return F.length(F.bin(n.cast("bigint"))) - 1
+
+
 def span_nodes(start: Column, end: Column) -> Column:
     """The nodes of the numbers from ``start`` (at least 1) up to, not including, ``end`` (null: no end)."""
     a, b = start.cast("bigint"), F.coalesce(end.cast("bigint"), F.lit(FOREVER))
@@ -35,13 +42,13 @@ def span_nodes(start: Column, end: Column) -> Column:
         right = F.when((high % 2 == 1) & (low < high), _at(k, high - 1))
         return F.array(left, right)
 
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), nodes))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), _top(b)), nodes))
     return F.filter(every, lambda n: n.isNotNull())
 
 
 def candle_nodes(rn: Column) -> Column:
     """The nodes that hold candle ``rn``; those of number 0 belong to no span."""
-    every = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: _at(k, F.floor(rn / F.pow(F.lit(2.0), k))))
+    every = F.transform(F.sequence(F.lit(0), _top(rn)), lambda k: _at(k, F.floor(rn / F.pow(F.lit(2.0), k))))
     return F.filter(every, lambda n: n["node"] > 0)
 
 
@@ -60,16 +67,18 @@ def overlapping(candles: DataFrame, zones: DataFrame, width: float = 0.01) -> Da
     (from_rn <= rn < to_rn) whose prices meet the candle's. Each candle once.
 
     Pairs that meet share a node and a cell of ``width`` (a share of the price), so beyond those kept only zones that miss
-    the candle within a cell are looked at.
+    the candle within a cell, or within a block of candles, are looked at. Nodes are those of blocks of ``BLOCK`` candles up
+    to the last candle of the series, so a short series has few of them.
     """
     node = lambda df, nodes: df.select("*", F.explode(nodes).alias("_n"))
-    z = node(zones.select(*SERIES, "from_rn", "to_rn", "bottom", "top"), span_nodes(F.col("from_rn"), F.col("to_rn")))
-    z = z.select(*SERIES, "_n", F.explode(cells(F.col("bottom"), F.col("top"), width)).alias("_cell"), "bottom", "top")
-    c = node(candles.select(*SERIES, "rn", F.col("low").alias("_low"), F.col("high").alias("_high")), candle_nodes(F.col("rn")))
+    block = lambda rn: F.floor(F.col(rn) / BLOCK) + 1
+    ends = candles.groupBy(*SERIES).agg((F.max("rn") + 1).alias("_end"))
+    z = zones.select(*SERIES, "from_rn", "to_rn", "bottom", "top").join(ends, SERIES).withColumn("to_rn", F.least("to_rn", "_end")).filter(F.col("from_rn") < F.col("to_rn"))
+    z = node(z.withColumn("_last", F.col("to_rn") - 1), span_nodes(block("from_rn"), block("_last") + 1))
+    z = z.select(*SERIES, "_n", F.explode(cells(F.col("bottom"), F.col("top"), width)).alias("_cell"), "from_rn", "to_rn", "bottom", "top")
+    c = node(candles.select(*SERIES, "rn", F.col("low").alias("_low"), F.col("high").alias("_high")), candle_nodes(block("rn")))
     c = c.select(*SERIES, "rn", "_n", F.explode(cells(F.col("_low"), F.col("_high"), width)).alias("_cell"), "_low", "_high")
-
-
-    hits = c.join(z, [*SERIES, "_n", "_cell"]).filter((F.col("_low") <= F.col("top")) & (F.col("_high") >= F.col("bottom")))
+    hits = c.join(z, [*SERIES, "_n", "_cell"]).filter((F.col("_low") <= F.col("top")) & (F.col("_high") >= F.col("bottom")) & F.col("rn").between(F.col("from_rn"), F.col("to_rn") - 1))
     return candles.join(hits.select(*SERIES, "rn").distinct(), [*SERIES, "rn"], "left_semi")
 
 
