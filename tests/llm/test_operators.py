@@ -118,6 +118,15 @@ def test_op1_finds_all_where_vectors_are_close_together(spark):
         assert set(got[q]) == set(np.argsort(-s)[:20].tolist())
 
 
+def test_op1_fits_codebooks_in_a_task(spark, monkeypatch):
+    from wickwork.llm import additive_ann
+
+    monkeypatch.setattr(additive_ann.AdditiveQuantiser, "fit", None)  # in the driver alone
+    x = np.random.default_rng(4).normal(0, 1, (80, 8))
+    o = additive_ann.AdditiveOptions(codebooks=2, codewords=16)
+    assert additive_ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), o).count() == 80
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 

@@ -17,13 +17,18 @@ columns are left out.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.llm.common import hash_share, share_for, staged
+from wickwork.llm.common import hash_share, share_for, staged, worker_state
+
+if TYPE_CHECKING:
+    import numpy as np
 
 
 @dataclass(frozen=True)
@@ -50,7 +55,8 @@ class AdditiveQuantiser:
 
         self.books, self.o = books, options
         self.norms = (books.astype("f8") ** 2).sum(2).astype("f4")
-        self.cross = np.einsum("mkd,nld->mnkl", books, books).astype("f4")
+        flat = np.asarray(books, "f4").reshape(-1, books.shape[2])
+        self.cross = (flat @ flat.T).reshape(books.shape[:2] * 2).transpose(0, 2, 1, 3)
 
     @classmethod
     def fit(cls, x, o: AdditiveOptions) -> AdditiveQuantiser:
@@ -69,16 +75,17 @@ class AdditiveQuantiser:
                 c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
             rest -= c[(rest @ c.T * 2 - (c**2).sum(1)).argmax(1)]
             books.append(c)
-        out = cls(np.stack(books), o)
-        codes = out.encode(x)
+        start = np.stack(books)
+        codes = cls(start, o).encode(x)
         m, k = o.codebooks, o.codewords
-        gram, right = np.eye(m * k) * 0.05, np.zeros((m * k, x.shape[1]))
+        gram, right = np.zeros((m * k, m * k)), np.zeros((m * k, x.shape[1]))
+        np.fill_diagonal(gram, 0.05)
         at = codes.astype("i8") + np.arange(m) * k
         for i in range(m):
             np.add.at(right, at[:, i], x)
             for j in range(m):
                 np.add.at(gram, (at[:, i], at[:, j]), 1.0)
-        right += 0.05 * out.books.reshape(m * k, -1)
+        right += 0.05 * start.reshape(m * k, -1)
         return cls(np.linalg.solve(gram, right).reshape(m, k, -1).astype("f4"), o)
 
     def encode(self, x):
@@ -116,8 +123,8 @@ def usable(col: str, size: int | None = None) -> Column:
     return F.coalesce(ok & (F.size(c) == size) if size else ok, F.lit(False))
 
 
-def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec: str = "embedding", id_: str = "vec_id") -> tuple[DataFrame, AdditiveQuantiser] | None:
-    """(first, hash, ids, x, codes, ratio, miss) of every distinct usable vector, written in the shared folder, and the quantiser.
+def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec: str = "embedding", id_: str = "vec_id") -> tuple[DataFrame, np.ndarray] | None:
+    """(first, hash, ids, x, codes, ratio, miss) of every distinct usable vector, written in the shared folder, and the codebooks.
 
     ``first`` is the smallest of ``ids``; with the hash of the vector it names the row.
     """
@@ -130,21 +137,28 @@ def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec:
         return None
     d, n = sizes[0]["d"], sizes[0]["n"]
     rows = rows.filter(F.size("x") == d)
-    drawn = rows.filter(hash_share(F.col("vec_id")) < share_for(o.sample, n)).limit(2 * o.sample).toArrow()
-    if not drawn.num_rows:
-        drawn = rows.limit(o.sample).toArrow()
-    order = np.argsort(drawn.column("vec_id").to_numpy(), kind="stable")
-    x = np.array(drawn.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)[order]
-    quantiser = AdditiveQuantiser.fit(np.unique(x, axis=0), o)
-    held = vectors.sparkSession.sparkContext.broadcast(quantiser)
+    drawn = rows.filter(hash_share(F.col("vec_id")) < share_for(o.sample, n)).limit(2 * o.sample)
+    if drawn.isEmpty():
+        drawn = rows.limit(o.sample)
+
+    def fit(batches):
+        drawn = pa.Table.from_batches([b for b in batches if b.num_rows])
+        order = np.argsort(drawn.column("vec_id").to_numpy(), kind="stable")
+        x = np.array(drawn.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)[order]
+        books = AdditiveQuantiser.fit(np.unique(x, axis=0), o).books
+        yield pa.RecordBatch.from_arrays([pa.array([books.tobytes()], pa.binary())], names=["books"])
+
+    # Fitted in one task over the bounded sample: its matrices would take most of the driver's memory.
+    books = np.frombuffer(drawn.coalesce(1).mapInArrow(fit, "books binary").collect()[0]["books"], "f4").reshape(o.codebooks, o.codewords, d)
+    held, key = vectors.sparkSession.sparkContext.broadcast(books), f"additive-{uuid.uuid4().hex}"
     # The rank's limit is applied in each task before the shuffle, so a vector that very many rows share costs little.
     least = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("x").orderBy("vec_id"))).filter(F.col("r") <= o.k + 1)
     unique = least.groupBy("x").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("first"), F.xxhash64("x").alias("hash"), "ids", "x")
 
     def run(batches):
-        q = held.value
         for batch in batches:
             if batch.num_rows:
+                q = worker_state(key, lambda: AdditiveQuantiser(held.value, o))
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 codes = q.encode(x)
                 made = q.decode(codes).astype("f8")
@@ -156,7 +170,7 @@ def build_index(vectors: DataFrame, options: AdditiveOptions | None = None, vec:
                 miss = np.where(np.isfinite(miss) & (norm < 1e15) & (near < 1e15) & (ratio < 1e15), miss, np.inf)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio, pa.float64()), pa.array(miss, pa.float64())], names=["first", "hash", "ids", "x", "codes", "ratio", "miss"])
 
-    return staged(unique.mapInArrow(run, "first long, hash long, ids array<long>, x array<double>, codes binary, ratio double, miss double"), "codes"), quantiser
+    return staged(unique.mapInArrow(run, "first long, hash long, ids array<long>, x array<double>, codes binary, ratio double, miss double"), "codes"), books
 
 
 def _norms(x):
@@ -168,14 +182,14 @@ def _norms(x):
     return scale * np.sqrt(((x / scale[:, None]) ** 2).sum(1))
 
 
-def candidates(index: DataFrame, quantiser: AdditiveQuantiser, ids, q, o: AdditiveOptions) -> DataFrame:
+def candidates(index: DataFrame, books: np.ndarray, ids, q, o: AdditiveOptions) -> DataFrame:
     """query_id, first, hash, near: the ``2 k`` best rows of each task, for a block of queries.
 
     Codes are scored by look-up tables; rows that their margin of error cannot rule out are scored exactly.
     """
     import numpy as np
 
-    held, keep = index.sparkSession.sparkContext.broadcast((ids, q, quantiser.books)), 2 * o.k
+    held, keep = index.sparkSession.sparkContext.broadcast((ids, q, books)), 2 * o.k
     group = 64  # queries at once
 
     def run(batches):
@@ -237,7 +251,7 @@ def candidates(index: DataFrame, quantiser: AdditiveQuantiser, ids, q, o: Additi
     return index.select("first", "hash", "x", "codes", "ratio", "miss").mapInArrow(run, "query_id long, first long, hash long, near double")
 
 
-def search(index: DataFrame, quantiser: AdditiveQuantiser, queries: DataFrame, options: AdditiveOptions | None = None) -> DataFrame:
+def search(index: DataFrame, books: np.ndarray, queries: DataFrame, options: AdditiveOptions | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each of ``queries`` (query_id, x).
 
     Of a query id with several vectors the least vector is taken.
@@ -245,7 +259,7 @@ def search(index: DataFrame, quantiser: AdditiveQuantiser, queries: DataFrame, o
     import numpy as np
 
     o = options or AdditiveOptions()
-    spark, d = index.sparkSession, quantiser.books.shape[2]
+    spark, d = index.sparkSession, books.shape[2]
     queries = staged(queries.groupBy("query_id").agg(F.array_min(F.collect_set("x")).alias("x")), "queries")
     total = queries.count()
     if not total:
@@ -258,7 +272,7 @@ def search(index: DataFrame, quantiser: AdditiveQuantiser, queries: DataFrame, o
         if not got.num_rows:
             continue
         x = np.array(got.column("x").combine_chunks().flatten().to_numpy()).reshape(-1, d)
-        near = candidates(index, quantiser, got.column("query_id").to_numpy(), x, o)
+        near = candidates(index, books, got.column("query_id").to_numpy(), x, o)
         w = Window.partitionBy("query_id").orderBy(F.desc("near"), "first", "hash")
         short = staged(near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * o.k).select("query_id", "first", "hash"), "shortlist")
         asked = F.broadcast(block.withColumnRenamed("x", "q"))  # about ``block`` rows
@@ -282,7 +296,7 @@ def nearest(vectors: DataFrame, options: AdditiveOptions | None = None, every: i
     built = build_index(vectors, options)
     if built is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, quantiser = built
-    usable_rows = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding", quantiser.books.shape[2]) & (F.pmod("vec_id", F.lit(every)) == 0))
+    index, books = built
+    usable_rows = vectors.filter(F.col("vec_id").isNotNull() & usable("embedding", books.shape[2]) & (F.pmod("vec_id", F.lit(every)) == 0))
     queries = usable_rows.select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    return search(index, quantiser, queries, options)
+    return search(index, books, queries, options)
