@@ -67,3 +67,19 @@ def test_prefix_gives_the_same_values(spark):
 
 def test_empty_table(spark):
     assert I.indicator_frame(spark.createDataFrame([], CANDLES)).count() == 0
+
+
+def test_regression_equals_sliding_regressions_without_their_frame(spark):
+    from wickwork.functions.scalars import last_n
+
+    c = candles(spark, [(50 + (k * k) % 17, 80, 40, 50 + (k * k) % 17) for k in range(60)])
+    c = c.withColumn("close", F.when(~F.dayofmonth("ts").isin(9, 10), F.col("close")))
+    bars = I.window_indicators(I.prepared(c), ["RegressionChannel_20"])
+    assert "regr_" not in bars._jdf.queryExecution().analyzed().toString()
+    w = last_n(20)
+    slope, at = F.regr_slope("close", "rn").over(w), F.regr_intercept("close", "rn").over(w)
+    rest = F.sqrt(F.greatest(F.regr_syy("close", "rn").over(w) - slope * slope * F.regr_sxx("close", "rn").over(w), F.lit(0.0)) / 20)
+    rows = bars.withColumns({"s": slope, "v": at + slope * F.col("rn"), "r": rest}).filter("rn >= 20").collect()
+    for r in rows:
+        assert (r["regression_slope"], r["regression"], r["regression_upper"], r["regression_lower"]) == pytest.approx((r["s"], r["v"], r["v"] + 2 * r["r"], r["v"] - 2 * r["r"]), abs=1e-9)
+    assert len(rows) == 41
