@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.config import EngineOptions
-from wickwork.operators.decision import decide, state_frame
+from wickwork.functions.staging import staged
+from wickwork.operators.decision import candle_frame, decide, early_scores, frame_zones, states_of
 from wickwork.operators.risk import plan_inputs, trade_plan
 from wickwork.operators.structure import legs
 from wickwork.schema import SERIES
 
+#: What plans and trades read of a decision.
+CHOSEN = (*SERIES, "ts", "rn", "close", "direction", "atr_14", "low_swing", "high_swing", "outcome", "confidence")
+
 
 def as_of_rows(state: DataFrame, options: EngineOptions | None = None, start=None, end=None) -> DataFrame:
     """Every ``cadence``-th candle of each series in the window that has ``min_bars`` behind it."""
@@ -59,11 +63,13 @@ def simulate(plans: DataFrame, candles: DataFrame, default_horizon: int = 40) ->
 def trades(daily: DataFrame, index: DataFrame, options: EngineOptions | None = None, start=None, end=None, calendar: DataFrame | None = None) -> DataFrame:
     """One row a Buy or StrongBuy decision of the walk: decision, plan and simulated outcome."""
     o = options or EngineOptions()
-    state, mitigated = state_frame(daily, index, o, calendar=calendar)
-    decided = decide(as_of_rows(state, o, start, end), o)
-    chosen = decided.filter(F.col("outcome").isin("Buy", "StrongBuy"))
-    planned = trade_plan(plan_inputs(chosen, mitigated, legs(state), o.risk), o.risk).filter(F.col("plan_error").isNull())
-    out = simulate(planned, state.select(*SERIES, "rn", "ts", "high", "low", "close"), o.backtest.default_horizon)
+    frame = candle_frame(daily, index, o, calendar=calendar)
+    mitigated = frame_zones(frame)
+    # Only the candles that are decided meet zones, and what is chosen is written: it is read from several sides.
+    asked = early_scores(as_of_rows(frame, o, start, end), o)
+    chosen = staged(decide(states_of(asked, frame, mitigated, o), o).filter(F.col("outcome").isin("Buy", "StrongBuy")).select(*CHOSEN), "chosen")
+    planned = trade_plan(plan_inputs(chosen, mitigated, legs(frame), o.risk), o.risk).filter(F.col("plan_error").isNull())
+    out = simulate(planned, frame.select(*SERIES, "rn", "ts", "high", "low", "close"), o.backtest.default_horizon)
     return out.select("symbol_id", "ts", "outcome", "confidence", "direction", "entry", "stop_loss", "target1", "target2", "target3", "risk_reward", "result", "exit_price", "exit_ts", "holding_days", "r_multiple")
 
 

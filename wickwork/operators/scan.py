@@ -9,7 +9,7 @@ from wickwork.config import EngineOptions
 from wickwork.functions.scalars import is_confirmation_only
 from wickwork.functions.staging import staged
 from wickwork.operators.context import last_trend, mtf_alignment
-from wickwork.operators.decision import LAYERS, decide, reasoning, state_frame
+from wickwork.operators.decision import LAYERS, candle_frame, decide, frame_zones, last_states, reasoning
 from wickwork.operators.risk import plan_inputs, trade_plan
 from wickwork.operators.structure import legs
 from wickwork.schema import SERIES
@@ -29,10 +29,11 @@ def stage1(
     o = options or EngineOptions()
     if members is not None:
         daily = daily.join(members.select("symbol_id").distinct(), "symbol_id", "left_semi")
-    state, mitigated = state_frame(daily, index, o, bands=bands, calendar=calendar)
-    last = last_rows(state)
-    decided = reasoning(decide(last, o))
-    planned = trade_plan(plan_inputs(decided.filter(F.col("outcome").isin("Buy", "StrongBuy")), mitigated, legs(state), o.risk), o.risk)
+    frame = candle_frame(daily, index, o, bands=bands, calendar=calendar)
+    mitigated = frame_zones(frame)
+    # Written once: a filter by outcome would else be worked out below the joins, on every candle, wherever rows are read.
+    decided = staged(reasoning(decide(last_states(frame, mitigated, o), o)), "decided")
+    planned = trade_plan(plan_inputs(decided.filter(F.col("outcome").isin("Buy", "StrongBuy")), mitigated, legs(frame), o.risk), o.risk)
     plan = planned.select(*SERIES, *PLAN)
     out = decided.join(plan, SERIES, "left")
     # A series that failed is excluded with its message, and leaves the others alone.
@@ -43,11 +44,6 @@ def stage1(
     return out.select("symbol_id", "ts", *sound, excluded.alias("excluded"), reason.alias("reasoning"))
 
 
-def last_rows(rows: DataFrame) -> DataFrame:
-    """The last candle of each series: its day is found in the keys alone."""
-    return rows.join(rows.groupBy(*SERIES).agg(F.max("ts").alias("ts")), [*SERIES, "ts"], "left_semi")
-
-
 def shortlist(scanned: DataFrame, options: EngineOptions | None = None) -> DataFrame:
     """The symbols of highest confidence that are not excluded; ties go to the smaller id."""
     n = (options or EngineOptions()).scan.shortlist
