@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tests.test_indicators import candles
 from tests.test_sizes import walk
-from wickwork.operators import backtest, decision, scan
+from wickwork.operators import backtest, decision, indicators, persist, scan, structure
+from wickwork.schema import SERIES
 
 
 def several(spark, n=(150, 90, 130)):
@@ -67,3 +68,27 @@ def test_trades_are_those_of_the_whole_state(spark):
     want = {(r["symbol_id"], r["ts"]): (r["outcome"], r["confidence"]) for r in decided.collect()}
     found = {(r["symbol_id"], r["ts"]): (r["outcome"], r["confidence"]) for r in got.collect()}
     assert found.items() <= want.items() and len(want) - len(found) <= 2  # plans without a risk are left out
+
+
+def test_last_events_are_those_of_the_whole_series(spark):
+    c = several(spark)
+    found = 0
+    for days in (0, 3, 11):  # the last candle is another one each time
+        f = structure.structure_frame(c.filter(F.col("ts") <= F.date_sub(F.lit("2026-03-20").cast("date"), days))).localCheckpoint()
+        z = structure.with_mitigation(structure.zones(f), f)
+        last = f.groupBy(*SERIES).agg(F.max("ts").alias("ts"))
+        want = rows_of(structure.events(f, z).join(last, [*SERIES, "ts"], "left_semi").distinct(), "symbol_id", "ts", "event")
+        got = persist.latest_events(f, z).filter("detail = ''")
+        assert rows_of(got, "symbol_id", "ts", "event_type") == want
+        found += len(want)
+    assert found
+
+
+def test_cumulative_indicators_are_not_summed_again(spark):
+    folded = indicators.fold_indicators(indicators.prepared(candles(spark, walk(150))))
+    whole = indicators.window_indicators(folded, list(indicators.CUMULATIVE))
+    a, b = indicators.recent_indicators(folded), indicators.recent_indicators(whole)
+    columns = [x for i in indicators.REGISTRY.values() for x in i.columns]
+    assert a.orderBy("rn").select(*columns).tail(5) == b.orderBy("rn").select(*columns).tail(5)
+    # Candles whose look-back is cut off take no slow path by lists: they have no line.
+    assert b.filter("regression is null").count() == 19 and b.filter("regression is not null").count() == indicators.RECENT - 19

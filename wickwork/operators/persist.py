@@ -5,28 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.operators.indicators import WINDOWS, recent_indicators, snapshot
-from wickwork.operators.structure import breaks, events, swings
+from wickwork.config import StructureOptions
+from wickwork.functions.staging import staged
+from wickwork.operators.indicators import CUMULATIVE, WINDOWS, recent_indicators, snapshot, tail_of
+from wickwork.operators.structure import absorbing, breaks, candle_events, swings
 from wickwork.schema import SERIES
 from wickwork.sources.store import Store
 
+#: What breaks, swings and events read of a frame.
+EVENT_COLUMNS = (
+    *SERIES, "ts", "rn", "open", "high", "low", "close", "close_1", "volume", "atr_14", "volume_sma", "swing", "swing_price", "swing_ts", "high_swing", "low_swing", "is_higher_or_lower",
+    "break_dir", "break_kind", "broken_price", "trend", "is_ranging", "was_ranging", "leg_kind", "leg_dir", "trend_leg_run",
+)
 
-def latest_events(frame: DataFrame, mitigated: DataFrame) -> DataFrame:
-    """series, ts, event_type, detail: breaks, confirmed swings and events of the last candle of each series."""
-    keys = [*SERIES, "ts"]
-    last = frame.groupBy(*SERIES).agg(F.max("ts").alias("ts"))
+
+def latest_events(frame: DataFrame, mitigated: DataFrame, options: StructureOptions | None = None) -> DataFrame:
+    """series, ts, event_type, detail: breaks, confirmed swings and events of the last candle of each series.
+
+    Events are stamped at most a look-ahead after the candle that calls for them, so the last candles alone are looked at;
+    absorption at the last one meets the zones and swing prices of the whole series.
+    """
+    o, keys = options or StructureOptions(), [*SERIES, "ts"]
+    tail = staged(tail_of(frame.select(*EVENT_COLUMNS), max(o.trap_lookahead, o.gap_reversal_lookahead) + 1), "last-candles")
+    last = tail_of(tail, 1)
     side = F.when(F.col("direction") == 1, "Bullish").otherwise("Bearish")
-    b = breaks(frame).select(*keys, F.col("kind").alias("event_type"), F.concat_ws(" ", side, F.lit("through"), F.format_string("%.2f", "broken_price")).alias("detail"))
-    s = swings(frame).select(*SERIES, F.col("confirmed_ts").alias("ts"), F.concat(F.lit("Swing"), "swing").alias("event_type"), F.concat_ws(" ", F.format_string("%.2f", "price"), F.lit("of"), F.col("ts").cast("string")).alias("detail"))
-    e = events(frame, mitigated).select(*keys, F.col("event").alias("event_type"), F.lit("").alias("detail")).distinct()
-    return b.unionByName(s).unionByName(e).join(last, keys, "left_semi")
+    b = breaks(tail).select(*keys, F.col("kind").alias("event_type"), F.concat_ws(" ", side, F.lit("through"), F.format_string("%.2f", "broken_price")).alias("detail"))
+    s = swings(tail).select(*SERIES, F.col("confirmed_ts").alias("ts"), F.concat(F.lit("Swing"), "swing").alias("event_type"), F.concat_ws(" ", F.format_string("%.2f", "price"), F.lit("of"), F.col("ts").cast("string")).alias("detail"))
+    e = candle_events(tail, o).unionByName(absorbing(frame, mitigated, o, last).drop("rn"))
+    e = e.select(*keys, F.col("event").alias("event_type"), F.lit("").alias("detail")).distinct()
+    return b.unionByName(s).unionByName(e).join(last.select(*keys), keys, "left_semi")
 
 
 def persist_scan(store: Store, frame: DataFrame, mitigated: DataFrame) -> dict[str, int]:
     """Puts snapshots and last events of ``frame`` (recursive indicators and structure); the buckets written, none by a second run.
 
-    The indicators by windows are worked out here, for the last candles alone.
+    The indicators by windows are worked out here, for the last candles alone, but for those that sum from the first candle
+    on where the frame has them.
     """
-    sound = frame.filter(F.col("error").isNull()).drop(*(c for i in WINDOWS for c in i.columns))
+    sound = frame.filter(F.col("error").isNull()).drop(*(c for i in WINDOWS if i.key not in CUMULATIVE for c in i.columns))
     values = snapshot(recent_indicators(sound))
     return {"indicator_values": store.put("indicator_values", values), "structure_events": store.put("structure_events", latest_events(frame, mitigated))}
