@@ -10,6 +10,7 @@ from wickwork.functions.scalars import is_confirmation_only
 from wickwork.functions.staging import staged
 from wickwork.operators.context import last_trend, mtf_alignment
 from wickwork.operators.decision import LAYERS, candle_frame, decide, frame_zones, last_states, reasoning
+from wickwork.operators.ends import long_series_of, series_ends
 from wickwork.operators.risk import plan_inputs, trade_plan
 from wickwork.operators.structure import legs
 from wickwork.schema import SERIES
@@ -29,11 +30,8 @@ def stage1(
     o = options or EngineOptions()
     if members is not None:
         daily = daily.join(members.select("symbol_id").distinct(), "symbol_id", "left_semi")
-    frame = candle_frame(daily, index, o, bands=bands, calendar=calendar)
-    mitigated = frame_zones(frame)
-    # Written once: a filter by outcome would else be worked out below the joins, on every candle, wherever rows are read.
-    decided = staged(reasoning(decide(last_states(frame, mitigated, o), o)), "decided")
-    planned = trade_plan(plan_inputs(decided.filter(F.col("outcome").isin("Buy", "StrongBuy")), mitigated, legs(frame), o.risk), o.risk)
+    decided, live, turns = _decided(daily, index, o, bands, calendar)
+    planned = trade_plan(plan_inputs(decided.filter(F.col("outcome").isin("Buy", "StrongBuy")), live, turns, o.risk), o.risk)
     plan = planned.select(*SERIES, *PLAN)
     out = decided.join(plan, SERIES, "left")
     # A series that failed is excluded with its message, and leaves the others alone.
@@ -44,6 +42,25 @@ def stage1(
     return out.select("symbol_id", "ts", *sound, excluded.alias("excluded"), reason.alias("reasoning"))
 
 
+def _decided(daily: DataFrame, index: DataFrame, o: EngineOptions, bands: DataFrame | None, calendar: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the decision at each series' last candle, the zones that live there, the series' legs).
+
+    Series that a task can hold take two ordered passes; longer ones the frame of all candles, by scans of blocks.
+    """
+    long = long_series_of(daily)
+    some = not long.isEmpty()
+    state, zones, turns = series_ends(daily.join(long, SERIES, "left_anti") if some else daily, index, o, calendar, bands)
+    turns = legs(turns)
+    if some:
+        frame = candle_frame(daily.join(long, SERIES, "left_semi"), index, o, bands=bands, calendar=calendar)
+        mitigated = frame_zones(frame)
+        state = state.unionByName(last_states(frame, mitigated, o).select(*state.columns))
+        zones = zones.unionByName(mitigated.select(*zones.columns))
+        turns = turns.unionByName(legs(frame))
+    # Written once: a filter by outcome would else be worked out below the joins, on every candle, wherever rows are read.
+    return staged(reasoning(decide(state, o)), "decided"), zones.filter(F.col("full_rn").isNull()), turns
+
+
 def shortlist(scanned: DataFrame, options: EngineOptions | None = None) -> DataFrame:
     """The symbols of highest confidence that are not excluded; ties go to the smaller id."""
     n = (options or EngineOptions()).scan.shortlist
