@@ -11,8 +11,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_operators import odd_documents
-from wickwork.llm.parity_join import Bands, Frequencies, JoinOptions, ShingleSets, block_keys, parity, set_components
+from wickwork.llm.parity_join import Bands, Frequencies, JoinOptions, ShingleSets, block_keys, met, parity, set_components
 from wickwork.llm.token_alignment import MARK, Aligner, AlignmentOptions, align_tokenizers, byte_level
 from wickwork.llm.vector_codes import Codebook, CodeOptions, codebooks_digest, lloyd_round, train_codes, vector_codes
 
@@ -62,6 +64,21 @@ def near_copies(seed, groups=12, size=14):
     return [(1000 + 7 * k if k % 31 else None, t) for k, t in enumerate(out)] + [(5, None), (6, ""), (7, " \n"), (8, out[0])]
 
 
+def test_op11_moves_a_long_and_an_int_a_block(spark):
+    """Blocks and digests survive the narrow row, their ends included, and are dealt once."""
+    docs = spark.createDataFrame([([0, 1, (1 << 44) - 1, (1 << 43) + 5], (1 << 52) - 1), ([7], 0), ([1], (1 << 51) + 12345), ([1 << 20], 1 << 51), ([9], (1 << 20) - 1)], "keys array<long>, t long")
+    assert sorted(map(tuple, met(docs).collect())) == sorted((k, r["t"]) for r in docs.collect() for k in r["keys"])
+    plan = met(docs).groupBy("bucket").agg(F.min("t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_min" in plan
+    moved = plan[plan.index("Exchange hashpartitioning") :].split("Project [", 1)[1].split("\n", 1)[0]
+    assert "AS both" in moved and "AS high" in moved and "centre" not in moved
+    x = np.arange(1, 400, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    bands = Bands(JoinOptions())
+    for j in (bands.of(len(x)), bands.of(len(x)) - 1):
+        keys = block_keys(np.sort(x), np.ones(len(x), bool), j, bands)
+        assert int(keys.max()) < 1 << 44 and set((keys & np.uint64(1)).tolist()) == {j & 1}
+
+
 @pytest.mark.parametrize("options", [JoinOptions(), JoinOptions(rare=3, turns=1, group=8, broadcast_rows=5), JoinOptions(rare=0, rare_share=0.0, turns=0, group=4)])
 def test_components_equal_a_plain_join(spark, options):
     rows = near_copies(3)

@@ -33,6 +33,11 @@ from wickwork.llm.common import sliced, staged, text_of, worker_state
 from wickwork.llm.minhash_dedup import _mix, blocks, by_key, components
 
 
+#: Bits of a block's key and of a text's digest. The bits of a key and the low ones of a digest fill one long of a shuffled row.
+KEY_BITS, TEXT_BITS = 44, 52
+LOW = 64 - KEY_BITS
+
+
 @dataclass(frozen=True)
 class JoinOptions:
     words: int = 4
@@ -142,7 +147,9 @@ def parity(hashes, bits: int):
 
 
 def block_keys(hashes, rare, j: int, bands: Bands):
-    """The keys of the blocks in which a set can meet its partners in band j; the last bit tells odd from even bands."""
+    """The keys of the blocks in which a set can meet its partners in band j: of 44 bits, as two blocks that share a key cost
+    a comparison and no result; the last bit tells odd from even bands.
+    """
     import numpy as np
 
     k, d = bands.count(j), bands.difference(j)
@@ -158,7 +165,7 @@ def block_keys(hashes, rare, j: int, bands: Bands):
             gone = np.setdiff1d(np.arange(k), block)
             block, word = np.concatenate((block, gone)), np.concatenate((word, np.zeros(len(gone), "u8")))
         place = _mix(block.astype("u8") + np.uint64((level << 20 | j) << 40 | 1))
-        return _mix(word ^ place) & ~np.uint64(1) | np.uint64(j & 1), filled
+        return _mix(word ^ place) >> np.uint64(64 - KEY_BITS) & ~np.uint64(1) | np.uint64(j & 1), filled
 
     keys, filled = made(hashes[rare], 0, False)
     if filled > d:
@@ -255,14 +262,25 @@ def sketched(docs: DataFrame, known: Frequencies, o: JoinOptions) -> DataFrame:
     return docs.select("doc_id", "text", _node().alias("node")).mapInArrow(run, f"doc_id {kind}, node binary, n long, keys array<long>")
 
 
+def met(keys: DataFrame) -> DataFrame:
+    """bucket, t of every block of every row of ``keys`` (keys, t), dealt by bucket. Most blocks hold one text, so sums of a task
+    would be as many and wider than their rows: a row is moved as a long and an int.
+    """
+    rows = keys.select(F.explode("keys").alias("bucket"), "t")
+    rows = rows.select(F.shiftleft("bucket", LOW).bitwiseOR(F.col("t").bitwiseAND(F.lit((1 << LOW) - 1))).alias("both"), F.shiftright(F.shiftleft("t", 64 - TEXT_BITS), 32).cast("int").alias("high"))
+    bucket = F.shiftrightunsigned("both", LOW)
+    t = F.shiftleft(F.col("high").cast("long").bitwiseAND(F.lit((1 << 32) - 1)), LOW).bitwiseOR(F.col("both").bitwiseAND(F.lit((1 << LOW) - 1)))
+    return rows.repartition(bucket).select(bucket.alias("bucket"), t.alias("t"))
+
+
 def members_of(rows: DataFrame, o: JoinOptions) -> DataFrame:
     """bucket, node, n, t (digest of node), centre (the least t of its block), size (rows of the block): the texts of every
     block that holds two texts or more. Of blocks that hold the same texts one stays: the others' pairs are the same.
     """
-    keys = rows.filter(F.col("node").isNotNull()).withColumn("t", F.xxhash64("node"))
-    # Two texts with one 64-bit digest in a block, or two blocks with equal sums of 62 bits, would be taken for one.
+    keys = rows.filter(F.col("node").isNotNull()).withColumn("t", F.shiftrightunsigned(F.xxhash64("node"), 64 - TEXT_BITS))
+    # Two texts with one digest of 52 bits in a block, or two blocks with equal sums of 62 bits, would be taken for one.
     low = lambda k: F.sum(F.shiftright("t", k).bitwiseAND(F.lit((1 << 31) - 1)))
-    held = keys.select(F.explode("keys").alias("bucket"), "t").groupBy("bucket").agg(F.min("t").alias("centre"), F.max("t").alias("last"), F.count("*").alias("size"), low(0).alias("x"), low(31).alias("y"))
+    held = met(keys).groupBy("bucket").agg(F.min("t").alias("centre"), F.max("t").alias("last"), F.count("*").alias("size"), low(0).alias("x"), low(31).alias("y"))
     one = held.filter("centre < last").groupBy("centre", "last", "size", "x", "y", F.col("bucket").bitwiseAND(F.lit(1)).alias("odd")).agg(F.min("bucket").alias("bucket"))
     shared = staged(one.select("bucket", "centre", "size"), "shared-blocks")
     few = F.broadcast(shared) if shared.count() <= o.broadcast_rows else shared
