@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import odd_documents
-from wickwork.llm.parity_join import Bands, Frequencies, JoinOptions, ShingleSets, block_keys, met, parity, set_components
+from wickwork.llm.parity_join import Bands, Frequencies, JoinOptions, ShingleSets, active_sets, block_keys, frequencies, met, parity, possible, set_components, settled, sketched
 from wickwork.llm.token_alignment import MARK, Aligner, AlignmentOptions, align_tokenizers, byte_level
 from wickwork.llm.vector_codes import Codebook, CodeOptions, codebooks_digest, lloyd_round, train_codes, vector_codes
 
@@ -79,6 +79,23 @@ def test_op11_moves_a_long_and_an_int_a_block(spark):
         assert int(keys.max()) < 1 << 44 and set((keys & np.uint64(1)).tolist()) == {j & 1}
 
 
+def test_op11_blocks_of_two_bands_with_one_key_stay_apart(spark):
+    """Keys of 44 bits meet by chance: texts of bands 2 apart in one bucket have sketches of different lengths."""
+    o, bands, words = JoinOptions(), Bands(JoinOptions()), [f"w{k}" for k in range(400)]
+    bands.of(400)
+    j = bands.of(60)
+    sizes = (60, 60, bands.starts[j + 2] + 1, bands.starts[j + 4] + 1)
+    texts = [" ".join(words[k % 2 : n + 3 + k % 2]) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sketched(docs, frequencies(docs, o), o).filter("node is not null")
+    sets = active_sets(docs, rows, rows, o)
+    assert {(r["n"], r["band"] - j) for r in sets.collect()} == {(60, 0), (sizes[2], 2), (sizes[3], 4)}
+    groups = sets.select(F.lit(5).cast("long").alias("bucket"), F.lit(j % 2).alias("at"), "node", F.col("node").alias("label"))
+    pair = {bytes(r["node"]) for r in sets.filter("n = 60").collect()}
+    assert {bytes(r["node"]) for r in possible(groups, sets, o).collect()} == pair
+    assert [{bytes(r["a"]), bytes(r["b"])} for r in settled(groups, sets, o).collect()] == [pair]
+
+
 @pytest.mark.parametrize("options", [JoinOptions(), JoinOptions(rare=3, turns=1, group=8, broadcast_rows=5), JoinOptions(rare=0, rare_share=0.0, turns=0, group=4)])
 def test_components_equal_a_plain_join(spark, options):
     rows = near_copies(3)

@@ -359,10 +359,14 @@ def linked(pairs: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
 
 
 def _placed(groups: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
-    """``groups`` (bucket, at, node, label) with n, the sketch for the block's band, and whether the set is of the band above."""
+    """``groups`` (bucket, at, node, label) with n, the block's band, the sketch for it, and whether the set is of the band above.
+
+    Among many blocks some of bands 2, 4, ... apart have one key. Their sets never link, and their sketches differ in length:
+    a group is the members of one bucket and one band.
+    """
     above = (F.col("band") % 2) != F.col("at")
     rows = groups.join(sets.select("node", "n", "band", "own", "below", *more), "node")
-    return rows.select("bucket", "at", "node", "label", "n", above.alias("above"), F.when(above, F.col("below")).otherwise(F.col("own")).alias("sketch"), *more)
+    return rows.select("bucket", "at", "node", "label", "n", (F.col("band") - above.cast("int")).alias("of"), above.alias("above"), F.when(above, F.col("below")).otherwise(F.col("own")).alias("sketch"), *more)
 
 
 class _Group:
@@ -397,7 +401,7 @@ def possible(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
                 keep[i] = keep[near] = True
         return t.select(["bucket", "at", "node", "label"]).filter(pa.array(keep))
 
-    return _placed(groups, sets).groupBy("bucket").applyInArrow(run, "bucket long, at int, node binary, label binary")
+    return _placed(groups, sets).groupBy("bucket", "of").applyInArrow(run, "bucket long, at int, node binary, label binary")
 
 
 def settled(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
@@ -419,7 +423,7 @@ def settled(groups: DataFrame, sets: DataFrame, o: JoinOptions) -> DataFrame:
                         g.label[g.label == g.label[k]] = g.label[i]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return _placed(groups, sets, "hashes").groupBy("bucket").applyInArrow(run, "a binary, b binary")
+    return _placed(groups, sets, "hashes").groupBy("bucket", "of").applyInArrow(run, "a binary, b binary")
 
 
 def labelled(left: DataFrame, links: list[DataFrame]) -> DataFrame:
