@@ -655,6 +655,31 @@ def test_op6_templates_of_the_given_hosts(spark):
             assert not r["template"].startswith("/de") and r["purity"] <= 0.5
 
 
+def broadcast_rows(spark):
+    """The rows of all broadcasts of the session so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, out = store.executionsList(), []
+    for i in range(runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(i).executionId()), store.planGraph(runs.apply(i).executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())] if node.name() == "BroadcastExchange" else []
+            found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            out += [int(x.get().replace(",", "")) for x in found if x.isDefined()]
+    return out
+
+
+def test_op6_broadcasts_no_table_that_grows_with_the_paths(spark):
+    """One host with many variable segments: what its paths need is merged, and only hot keys are sent to all tasks."""
+    from wickwork.llm.url_filter import TemplateOptions, url_filter
+
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://a.example.com/', if(id % 3 = 0, 'de', 'en'), '/', id, '/', id % 7) AS url")
+    seen = len(broadcast_rows(spark))
+    got = {o.hot: url_filter(pages, options=o).select("page_id", "template", "verdict", "purity").orderBy("page_id").collect() for o in (TemplateOptions(hot=500), TemplateOptions(hot=10_000))}
+    sent = broadcast_rows(spark)[seen:]
+    assert sent and max(sent) <= 1000
+    assert got[500] == got[10_000] and len(got[500]) == 3000 and {r["verdict"] for r in got[500]} == {"block", "allow"}
+
+
 def test_op6_one_rule_is_one_label_of_a_wildcard(spark):
     """A rule of a part of a wildcard's segments does not reject the rest, many rules do."""
     from wickwork.llm.url_filter import url_filter
