@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.config import EngineOptions
-from wickwork.functions.staging import staged
-from wickwork.operators.decision import candle_frame, decide, early_scores, frame_zones, states_of
+from wickwork.functions.scalars import series
 from wickwork.operators.risk import plan_inputs, trade_plan
-from wickwork.operators.structure import legs
+from wickwork.operators.walks import CHOSEN, walked
 from wickwork.schema import SERIES
 
-#: What plans and trades read of a decision.
-CHOSEN = (*SERIES, "ts", "rn", "close", "direction", "atr_14", "low_swing", "high_swing", "outcome", "confidence")
+__all__ = ["CHOSEN", "as_of_rows", "buckets", "marked_as_of", "simulate", "trades"]
 
 
-def as_of_rows(state: DataFrame, options: EngineOptions | None = None, start=None, end=None) -> DataFrame:
-    """Every ``cadence``-th candle of each series in the window that has ``min_bars`` behind it."""
-    o = (options or EngineOptions()).backtest
-    rows = state
-    if start is not None:
-        rows = rows.filter(F.col("ts") >= F.lit(start))
+def marked_as_of(rows: DataFrame, options: EngineOptions | None = None, start=None, end=None) -> DataFrame:
+    """Adds _asked: every ``cadence``-th candle of each series in the window that has ``min_bars`` behind it."""
+    o, ts = (options or EngineOptions()).backtest, F.col("ts")
+    k, inside = F.col("rn"), F.lit(True)
+    if start is not None:  # without a start the candle's own number counts
+        inside = ts >= F.lit(start)
+        k = k - F.min(F.when(inside, F.col("rn"))).over(Window.partitionBy(*SERIES)) + 1
     if end is not None:
-        rows = rows.filter(F.col("ts") <= F.lit(end))
-    # Without a start the candle's own number counts.
-    k = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts")) if start is not None else F.col("rn")
-    return rows.withColumn("_k", k - 1).filter((F.col("_k") % o.cadence == 0) & (F.col("rn") >= o.min_bars)).drop("_k")
+        inside = inside & (ts <= F.lit(end))
+    return rows.withColumn("_asked", F.coalesce(inside & ((k - 1) % o.cadence == 0) & (F.col("rn") >= o.min_bars), F.lit(False)))
+
+
+def as_of_rows(state: DataFrame, options: EngineOptions | None = None, start=None, end=None) -> DataFrame:
+    """The rows that ``marked_as_of`` asks for."""
+    return marked_as_of(state, options, start, end).filter("_asked").drop("_asked")
 
 
 def simulate(plans: DataFrame, candles: DataFrame, default_horizon: int = 40) -> DataFrame:
@@ -63,13 +65,10 @@ def simulate(plans: DataFrame, candles: DataFrame, default_horizon: int = 40) ->
 def trades(daily: DataFrame, index: DataFrame, options: EngineOptions | None = None, start=None, end=None, calendar: DataFrame | None = None) -> DataFrame:
     """One row a Buy or StrongBuy decision of the walk: decision, plan and simulated outcome."""
     o = options or EngineOptions()
-    frame = candle_frame(daily, index, o, calendar=calendar)
-    mitigated = frame_zones(frame)
-    # Only the candles that are decided meet zones, and what is chosen is written: it is read from several sides.
-    asked = early_scores(as_of_rows(frame, o, start, end), o)
-    chosen = staged(decide(states_of(asked, frame, mitigated, o), o).filter(F.col("outcome").isin("Buy", "StrongBuy")).select(*CHOSEN), "chosen")
-    planned = trade_plan(plan_inputs(chosen, mitigated, legs(frame), o.risk), o.risk).filter(F.col("plan_error").isNull())
-    out = simulate(planned, frame.select(*SERIES, "rn", "ts", "high", "low", "close"), o.backtest.default_horizon)
+    chosen, zones, turns = walked(daily, index, lambda rows: marked_as_of(rows, o, start, end), o, calendar)
+    planned = trade_plan(plan_inputs(chosen, zones, turns, o.risk), o.risk).filter(F.col("plan_error").isNull())
+    numbered = daily.select(*SERIES, F.row_number().over(series()).alias("rn"), "ts", "high", "low", "close")
+    out = simulate(planned, numbered, o.backtest.default_horizon)
     return out.select("symbol_id", "ts", "outcome", "confidence", "direction", "entry", "stop_loss", "target1", "target2", "target3", "risk_reward", "result", "exit_price", "exit_ts", "holding_days", "r_multiple")
 
 
