@@ -6,7 +6,7 @@ from tests.test_indicators import candles
 from tests.test_narrow import index, rows_of, several
 from tests.test_sizes import walk
 from wickwork.config import EngineOptions, StructureOptions
-from wickwork.operators import backtest, decision, ends, walks
+from wickwork.operators import backtest, decision, ends, indicators, persist, structure, walks
 
 
 def test_states_of_a_walk_are_those_of_all_candles(spark):
@@ -34,8 +34,8 @@ def test_decisions_write_candles_alone(spark, monkeypatch):
         monkeypatch.setattr(decision, name, None)
     got = walks.decided_frame(c, index(spark))
     assert rows_of(got, "symbol_id", "ts", "confidence", "outcome") == want
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(symbol_id") <= 2 and plan.count("MapInArrow") == 2  # the index has its own
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(symbol_id")
+    assert moved(got) == moved(decision.quality_context(c, index(spark), EngineOptions(), None, None))  # the first window, and those of the index
 
 
 def test_long_series_walk_by_blocks(spark, monkeypatch):
@@ -48,3 +48,19 @@ def test_long_series_walk_by_blocks(spark, monkeypatch):
     assert rows_of(walks.decided_frame(c, index(spark)), *columns) == want
     assert rows_of(walks.last_scores(c, index(spark)), *scores) == last
     assert rows_of(backtest.trades(c, index(spark)), "symbol_id", "ts", "outcome", "target1", "result", "r_multiple") == trades
+
+
+def test_ends_are_stored_as_those_of_the_whole_frame(spark):
+    """Last events and indicator values, also of a series that misses a price, without a frame of all candles."""
+    c = several(spark, (150, 90, 30))
+    c = c.unionByName(candles(spark, walk(120, 7)).withColumn("symbol_id", F.lit(9).cast("bigint")).withColumn("close", F.when(F.dayofyear("ts") != 75, F.col("close"))))
+    o = StructureOptions(absorption_multiple=1.01, absorption_max_body=101.0)
+    bars = indicators.window_indicators(indicators.fold_indicators(indicators.prepared(c)), ["VolumeSMA_20", *indicators.CUMULATIVE])
+    whole = structure.structure_frame(None, o, bars).cache()
+    f, z = persist.ends_of_series(c, o)
+    columns = ("symbol_id", "ts", "event_type", "detail")
+    want = rows_of(persist.latest_events(whole, structure.with_mitigation(structure.zones(whole), whole), o), *columns)
+    assert want and rows_of(persist.latest_events(f, z, o), *columns) == want
+    assert f.filter("rsi_14 is not null").count() < whole.filter("rsi_14 is not null").count()
+    values = [indicators.snapshot(indicators.recent_indicators(x.filter("error is null").drop(*(k for i in indicators.WINDOWS if i.key not in indicators.CUMULATIVE for k in i.columns)))) for x in (f, whole)]
+    assert rows_of(values[0], *values[0].columns) == rows_of(values[1], *values[0].columns)
