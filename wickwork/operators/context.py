@@ -133,7 +133,7 @@ def with_strength(candles: DataFrame, index: DataFrame, short: int = 20, long: i
     """``candles`` with rs_short and rs_long."""
     own = candles.withColumns({"_s": simple_return(short), "_l": simple_return(long)})
     bench = index.select("timeframe", "ts", simple_return(short).alias("_bs"), simple_return(long).alias("_bl"))
-    rows = own.join(bench, ["timeframe", "ts"], "left")
+    rows = own.join(F.broadcast(bench), ["timeframe", "ts"], "left")  # a table of dates
     return rows.withColumns({"rs_short": F.when(F.col("_bs") != 0, F.col("_s") / F.col("_bs")), "rs_long": F.when(F.col("_bl") != 0, F.col("_l") / F.col("_bl"))}).drop("_s", "_l", "_bs", "_bl")
 
 
